@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash_dedup
+from . import line_dedup, minhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +26,29 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate documents on 4-word shingles; see :func:`minhash_dedup.near_duplicates`."""
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
+@query
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines shared by three documents or more go; see :class:`line_dedup.LineIndex`."""
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents"), min_docs=3, min_chars=20)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["op8_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, line, pos, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), repeated AS (
+  SELECT key, max(doc_id) AS last_doc FROM lines WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT l.doc_id, l.line, l.pos, r.key IS NOT NULL AND l.doc_id <> r.last_doc AS gone
+  FROM lines l LEFT JOIN repeated r ON l.key = r.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
