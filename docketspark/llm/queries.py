@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash_dedup, packing
+from . import embedding_dedup, line_dedup, minhash_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,12 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of one label with a cosine of at least 0.93; see :func:`embedding_dedup.near_duplicates`."""
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate documents on 4-word shingles; see :func:`minhash_dedup.near_duplicates`."""
