@@ -9,8 +9,9 @@ shingle sets.
 
 A bucket never yields all its pairs.  It links its members to one centre, the confirmed links are contracted to
 components, and only buckets that still hold several components go on: first with other centres, at last with
-every pair of members of different components, in blocks of bounded size.  Every bucket so ends either in one
-component or with all pairs between its components checked, which gives the components of all links found.
+all pairs of members of different components, compared on their full sets in blocks of bounded size, each of
+which returns no more links than it joins components.  Every bucket so ends either in one component or with all
+pairs between its components checked, which gives the components of all links in it.
 
 Results for odd input: a null or blank text has an empty set and is linked with nothing; a null ``doc_id`` is
 linked with nothing, has a null ``component_id`` and is kept; rows that repeat a ``doc_id`` share a component;
@@ -32,7 +33,9 @@ from .shared import by_batch, cut, empty, join_checked, ship
 BANDS, ROWS, SKETCH_BITS = 24, 4, 512
 #: Standard errors below the threshold at which a sketch's estimate sets a pair aside.
 SLACK = 5.0
-#: Members of a bucket that one block holds at most on each side.
+#: Rounds in which each open bucket links its members to one centre.
+TURNS = 2
+#: Documents that one block holds at most on each side.
 BLOCK = 400
 
 
@@ -96,9 +99,22 @@ def features(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int) ->
     return by_batch(plain, work, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sketch binary")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose full shingle sets have ``100 * intersection >= percent * union``."""
-    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+def sift(pairs: DataFrame, marks: DataFrame, bits: int, n: int, percent: int) -> DataFrame:
+    """Pairs whose odd sketches don't rule out the threshold."""
+    least = percent / 100
+    floor = least - SLACK * (least * (1 - least) / n) ** 0.5
+    most = max(d for d in range(bits) if likeness(np.array([d]), bits, n)[0] >= floor)
+    longs = [f"conv(hex(substring(sketch, {8 * k + 1}, 8)), 16, -10)" for k in range(bits // 64)]
+    marks = marks.select("doc_id", F.array(*[F.expr(f"cast({x} as bigint)") for x in longs]).alias("sketch"))
+    joined = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(
+        marks.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b"
+    )
+    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(bits // 64)), F.lit(0))
+    return joined.where(apart <= most).select("a", "b")
+
+
+def packed_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, items``: the full shingle sets of the wanted documents."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, bounds = W.word_hashes(batch.column("text").to_pylist())
@@ -106,6 +122,13 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Da
         packed = [W.pack(runs[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "items"])
 
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return by_batch(join_checked(texts, wanted, "doc_id", "left_semi"), sets, "doc_id long, items binary")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose full shingle sets have ``100 * intersection >= percent * union``."""
+
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -114,61 +137,104 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Da
             good.append(100 * both >= percent * (len(one) + len(two) - both))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chosen = join_checked(texts, wanted, "doc_id", "left_semi")
-    items = by_batch(chosen, sets, "doc_id long, items binary")
+    items = packed_sets(docs, cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), shingle)
     both = pairs.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(
         items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b"
     )
     return by_batch(both.select("a", "b", "x", "y"), compare, "a long, b long").distinct()
 
 
-def sift(pairs: DataFrame, marks: DataFrame, bits: int, n: int, percent: int) -> DataFrame:
-    """Pairs whose odd sketches don't rule out the threshold."""
-    least = percent / 100
-    floor = least - SLACK * (least * (1 - least) / n) ** 0.5
-    most = max(d for d in range(bits) if likeness(np.array([d]), bits, n)[0] >= floor)
-    longs = [f"conv(hex(substring(sketch, {8 * k + 1}, 8)), 16, -10)" for k in range(bits // 64)]
-    marks = marks.select("doc_id", F.array(*[F.expr(f"cast({x} as bigint)") for x in longs]).alias("sketch"))
-    joined = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(
-        marks.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b"
+def units(open_rows: DataFrame) -> DataFrame:
+    """``unit, doc_id, component``: what is still to be compared, with no pair lost and few met twice.
+
+    Buckets that share documents make one unit, so a group that meets in every band is compared once; where
+    chains of buckets would make a unit larger than the work in its buckets, each bucket is a unit.
+    """
+    rows = open_rows.select("bucket", "doc_id", "component").distinct()
+    first = rows.groupBy("bucket").agg(F.min("doc_id").alias("b"))
+    chains = components(rows.join(first, "bucket").select(F.col("doc_id").alias("a"), "b"))
+    rows = cut(rows.join(chains.select(F.col("node").alias("doc_id"), F.col("component").alias("chain")), "doc_id"))
+
+    def cost(keys: list[str], members: DataFrame) -> DataFrame:
+        sizes = members.groupBy(*keys, "component").count().groupBy(*keys).agg(F.sum("count").alias("m"), F.max("count").alias("x"))
+        return sizes.select(*keys, (F.col("m") * (F.col("m") - F.col("x"))).cast("double").alias("cost"))
+
+    single = cost(["chain", "bucket"], rows).groupBy("chain").agg(F.sum("cost").alias("single"))
+    whole = cost(["chain"], rows.select("chain", "doc_id", "component").distinct())
+    choice = single.join(whole, "chain").select("chain", (F.col("cost") <= F.col("single")).alias("together"))
+    return (
+        rows.join(choice, "chain")
+        .select(F.when(F.col("together"), F.xxhash64("chain")).otherwise(F.col("bucket")).alias("unit"), "doc_id", "component")
+        .distinct()
     )
-    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(bits // 64)), F.lit(0))
-    return joined.where(apart <= most).select("a", "b")
 
 
-def blocks(members: DataFrame, bits: int, n: int, percent: int) -> DataFrame:
-    """All pairs ``(a, b)`` of members of one bucket and different components that sketches don't rule out.
+def settle(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join the components of each unit, from all pairs of different components.
 
-    ``members (bucket, doc_id, component, sketch)`` are dealt into blocks of a bucket; every block meets every
-    other of its bucket once, so no task holds more than two blocks.
+    ``members (unit, doc_id, component)``: those outside a unit's largest component are compared with all, on
+    full sets, in blocks of bounded size; a block returns a spanning set of its links.
     """
-    least = percent / 100
-    floor = least - SLACK * (least * (1 - least) / n) ** 0.5
-    sizes = members.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    ship(members.sparkSession)
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "doc_id", "component", "sketch"
+    sizes = members.groupBy("unit", "component").count()
+    sizes = sizes.groupBy("unit").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("m"))
+    sizes = sizes.select(
+        "unit",
+        F.col("top.component").alias("main"),
+        F.ceil(F.col("m") / BLOCK).cast("int").alias("n_members"),
+        F.ceil((F.col("m") - F.col("top.count")) / BLOCK).cast("int").alias("n_others"),
     )
-
-    def work(key, table):
-        first, second = key[1].as_py(), key[2].as_py()
-        own = table.column("own").to_numpy()
-        ids, parts = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
-        marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
-        found = []
-        for i in left:
-            j = right[(parts[right] != parts[i]) & ((first != second) | (ids[right] > ids[i]))]
-            if len(j):
-                apart = np.bitwise_count(marks[j] ^ marks[i]).sum(axis=1)
-                j = j[likeness(apart, bits, n) >= floor]
-                found.append(np.stack([np.maximum(ids[j], ids[i]), np.minimum(ids[j], ids[i])]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return spread.groupBy("bucket", "first", "second").applyInArrow(work, "a long, b long").distinct()
+    known = cut(members.join(sizes, "unit"))
+    spot = F.xxhash64("doc_id")
+    everyone = known.select(
+        "unit", "doc_id", "component", F.lit(False).alias("other"), F.pmod(spot, F.col("n_members")).cast("int").alias("row"),
+        F.explode(F.sequence(F.lit(0), F.col("n_others") - 1)).alias("column"),
+    )
+    others = known.where("component <> main").select(
+        "unit", "doc_id", "component", F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0), F.col("n_members") - 1)).alias("row"),
+        F.pmod(spot, F.col("n_others")).cast("int").alias("column"),
+    )
+    items = packed_sets(docs, cut(known.select("doc_id").distinct()), shingle).dropDuplicates(["doc_id"])
+    ship(docs.sparkSession)
+    dealt = everyone.unionByName(others).join(items, "doc_id")
+
+    def work(key, rows):
+        other = rows.column("other").to_numpy(zero_copy_only=False)
+        ids, parts = rows.column("doc_id").to_numpy(), rows.column("component").to_numpy()
+        sets = [W.unpack(x) for x in rows.column("items").to_pylist()]
+        left, right = np.flatnonzero(~other), np.flatnonzero(other)
+        edges = []
+        if len(left) and len(right):
+            a, b = np.concatenate([sets[k] for k in left]), np.concatenate([sets[k] for k in right])
+            a_doc, b_doc = (np.repeat(np.arange(len(x)), [len(sets[k]) for k in x]) for x in (left, right))
+            shared = np.intersect1d(a, b)
+            both = np.zeros((len(left), len(right)), np.float32)
+            a_at, b_at = np.searchsorted(shared, a), np.searchsorted(shared, b)
+            a_in, b_in = (np.append(shared, 0)[at] == x if len(shared) else np.zeros(len(x), bool) for at, x in ((a_at, a), (b_at, b)))
+            a_at, a_doc, b_at, b_doc = a_at[a_in], a_doc[a_in], b_at[b_in], b_doc[b_in]
+            for low in range(0, len(shared), 4096):
+                x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+                here = (a_at >= low) & (a_at < low + 4096)
+                x[a_doc[here], a_at[here] - low] = 1
+                here = (b_at >= low) & (b_at < low + 4096)
+                y[b_doc[here], b_at[here] - low] = 1
+                both += x @ y.T
+            n = np.array([len(x) for x in sets])
+            linked = 100 * both.astype(np.int64) >= percent * (n[left][:, None] + n[right][None, :] - both.astype(np.int64))
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for i, j in zip(*np.nonzero(linked & (parts[left][:, None] != parts[right][None, :])), strict=True):
+                p, q = root(int(parts[left[i]])), root(int(parts[right[j]]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    edges.append((max(ids[left[i]], ids[right[j]]), min(ids[left[i]], ids[right[j]])))
+        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+
+    return dealt.groupBy("unit", "row", "column").applyInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -195,25 +261,23 @@ def near_duplicates(
     links, checked = empty(docs.sparkSession, "a long, b long"), empty(docs.sparkSession, "a long, b long")
     open_rows = buckets.withColumn("component", F.col("doc_id"))
     found = None
-    for turn in range(4):
-        if turn == 3:
-            pairs = blocks(open_rows.join(heads, "doc_id").drop("band"), bits, n, percent)
-        else:
-            order = F.xxhash64("doc_id", F.lit(turn)) if turn == 0 else F.xxhash64("doc_id", "bucket", F.lit(turn))
-            centres = open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id", "component")).alias("c"))
-            pairs = (
-                open_rows.join(centres, "bucket")
-                .where("component <> c.component")
-                .select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b"))
-                .distinct()
-            )
-            pairs = sift(pairs, heads, bits, n, percent)
-        pairs = cut(pairs.join(checked, ["a", "b"], "left_anti"))
+    for turn in range(TURNS + 1):
+        if turn == TURNS:
+            links = cut(links.union(settle(docs, cut(units(open_rows)), shingle, percent)))
+            found = cut(components(links))
+            break
+        order = F.xxhash64("doc_id", F.lit(turn)) if turn == 0 else F.xxhash64("doc_id", "bucket", F.lit(turn))
+        centres = open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id", "component")).alias("c"))
+        pairs = (
+            open_rows.join(centres, "bucket")
+            .where("component <> c.component")
+            .select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b"))
+            .distinct()
+        )
+        pairs = cut(sift(pairs, heads, bits, n, percent).join(checked, ["a", "b"], "left_anti"))
         checked = checked.union(pairs)
         links = cut(links.union(confirm(docs, pairs, shingle, percent)))
         found = cut(components(links))
-        if turn == 3:
-            break
         open_rows = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
             "component", F.coalesce("component", "doc_id")
         )
