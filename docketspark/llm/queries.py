@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, minhash_dedup, packing
+from . import embedding_dedup, line_dedup, minhash_dedup, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +35,40 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
 
 
+#: Host, path and verdict of the rules; the longest that fits wins.
+RULES: list[url_filter.Rule] = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's url; see :func:`url_filter.judge`."""
+    return url_filter.judge(table(spark, folder, "pages"), RULES, default="allow")
+
+
+SQL["op5_url_filter"] = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0
+    THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN instr(rest, '/') > 0 THEN substr(rest, instr(rest, '/')) ELSE '' END AS path FROM parts
+), rules(rhost, rpath, rverdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+  SELECT s.page_id, s.host, s.path, r.rhost || r.rpath AS rule, r.rverdict,
+    row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS n
+  FROM split s LEFT JOIN rules r ON (s.host = r.rhost OR ends_with(s.host, '.' || r.rhost)) AND starts_with(s.path, r.rpath)
+)
+SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fits WHERE n = 1
+"""
+
+
 @query
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines shared by three documents or more go; see :class:`line_dedup.LineIndex`."""
