@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, minhash_dedup, packing, url_filter
+from . import embedding_dedup, line_dedup, minhash_dedup, packing, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,6 +69,20 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 """
 
 
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of every document; see :func:`toxicity.grade`."""
+    docs = table(spark, folder, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document; see :func:`quality.classify`."""
+    docs = table(spark, folder, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, folder, "labels")), least=0.3)
+
+
 @query
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines shared by three documents or more go; see :class:`line_dedup.LineIndex`."""

@@ -61,7 +61,7 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
-def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``mapInArrow`` of a function on one record batch; it never sees more than one batch at a time."""
 
     ship(df.sparkSession)
@@ -86,3 +86,21 @@ def slices(batch: pa.RecordBatch, limit: int = 8 * GROUP_BYTES) -> Iterator[pa.R
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def held_out(doc_id) -> F.Column:
+    """Whether a document belongs to the held-out fold: crc32 of its id as text, modulo 5, is 0."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """``doc_id, text, label`` of at most ``bound`` labelled documents outside the held-out fold.
+
+    The sample is the ``bound`` smallest hashes of the ids, so it is the same for every partitioning; it is small
+    by construction and is the only broadcast side.  Null labels are left out, of repeated ones the largest holds.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return plain.join(F.broadcast(chosen), "doc_id")

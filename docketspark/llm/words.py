@@ -84,10 +84,12 @@ def pieces(data: bytes, limit: int, parts: np.ndarray):
     yield data[at:]
 
 
-def word_hashes(texts: list, separators: bytes = SPACES, limit: int = GROUP_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    texts: list, separators: bytes = SPACES, limit: int = GROUP_BYTES, prefix: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts (A-Z lower-cased) and each text's first index into them, with the end.
 
-    None counts as an empty text.
+    None counts as an empty text.  With ``prefix`` only so many bytes of each word are hashed.
     """
     parts = table(separators)
     out, counts = [], np.zeros(len(texts) + 1, np.int64)
@@ -100,7 +102,7 @@ def word_hashes(texts: list, separators: bytes = SPACES, limit: int = GROUP_BYTE
             return
         data = np.frombuffer(b" ".join(group), np.uint8)
         starts, ends = spans(data, parts)
-        out.append(polynomial(WEIGHTS[data], starts, ends))
+        out.append(polynomial(WEIGHTS[data], starts, ends if prefix is None else np.minimum(ends, starts + prefix)))
         firsts = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))[:-1]
         which = np.searchsorted(firsts, starts, "right") - 1
         np.add.at(counts, np.array(owners)[which] + 1, 1)
