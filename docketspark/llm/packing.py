@@ -68,7 +68,7 @@ def encoder(data: str):
     if plain:
         joined = ["".join(x if isinstance(x, list) else x.split(" ")) for x in merges]
         order = [vocab[x] for x in joined]
-        plain = order == sorted(order) and len(vocab) - len(joined) - len(special) == 256
+        plain = order == sorted(order) and len(vocab.keys() - special.keys()) - len(joined) == 256
     if plain:
         alphabet = byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): k for token, k in vocab.items() if token not in special}
