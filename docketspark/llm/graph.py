@@ -31,7 +31,6 @@ def components(links: DataFrame) -> DataFrame:
         low = cut(low)
         after = low.select(F.col("from").alias("to"), F.col("to").alias("further"))
         step = low.join(after, "to", "left").select("from", F.coalesce("further", "to").alias("into"))
-        step = cut(step)
         nodes = nodes.join(step.withColumnRenamed("from", "component"), "component", "left").select(
             "node", F.coalesce("into", "component").alias("component")
         )

@@ -8,9 +8,9 @@ high.  Pairs whose estimate is far below the threshold are set aside; all others
 shingle sets.
 
 A bucket never yields all its pairs.  It links its members to one centre, the confirmed links are contracted to
-components, and only buckets that still hold several components go on: first with other centres, at last with
-all pairs of members of different components, compared on their full sets in blocks of bounded size, each of
-which returns no more links than it joins components.  Every bucket so ends either in one component or with all
+components, and only buckets that still hold several components go on: all pairs of members of different
+components are compared on their full sets in blocks of bounded size, each of which returns no more links than it
+joins components.  Every bucket so ends either in one component or with all
 pairs between its components checked, which gives the components of all links in it.
 
 Results for odd input: a null or blank text has an empty set and is linked with nothing; a null ``doc_id`` is
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .shared import by_batch, cut, empty, join_checked, ship
+from .shared import by_batch, cut, join_checked, ship
 
 #: With 24 bands of 4 a pair of similarity 0.8 is missed three times in a million.
 BANDS, ROWS, SKETCH_BITS = 24, 4, 512
 #: Standard errors below the threshold at which a sketch's estimate sets a pair aside.
 SLACK = 5.0
-#: Rounds in which each open bucket links its members to one centre.
-TURNS = 2
+#: Orders that pick the buckets' centres: a group that meets in every bucket gets so many centres.
+CENTRES = 3
 #: Documents that one block holds at most on each side.
 BLOCK = 400
 
@@ -258,33 +258,23 @@ def near_duplicates(
     buckets = classes.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     buckets = buckets.join(repeated_buckets(buckets), "bucket", "left_semi")
     buckets = cut(buckets)
-    links, checked = empty(docs.sparkSession, "a long, b long"), empty(docs.sparkSession, "a long, b long")
-    open_rows = buckets.withColumn("component", F.col("doc_id"))
-    found = None
-    for turn in range(TURNS + 1):
-        if turn == TURNS:
-            links = cut(links.union(settle(docs, cut(units(open_rows)), shingle, percent)))
-            found = cut(components(links))
-            break
-        order = F.xxhash64("doc_id", F.lit(turn)) if turn == 0 else F.xxhash64("doc_id", "bucket", F.lit(turn))
-        centres = open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "doc_id", "component")).alias("c"))
-        pairs = (
-            open_rows.join(centres, "bucket")
-            .where("component <> c.component")
-            .select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b"))
-            .distinct()
-        )
-        pairs = cut(sift(pairs, heads, bits, n, percent).join(checked, ["a", "b"], "left_anti"))
-        checked = checked.union(pairs)
-        links = cut(links.union(confirm(docs, pairs, shingle, percent)))
-        found = cut(components(links))
-        open_rows = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-            "component", F.coalesce("component", "doc_id")
-        )
-        several = open_rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-        open_rows = cut(open_rows.join(several.select("bucket"), "bucket", "left_semi"))
-        if open_rows.isEmpty():
-            break
+    order = F.xxhash64("doc_id", F.pmod(F.col("band"), F.lit(CENTRES)))
+    centres = buckets.groupBy("bucket").agg(F.min_by("doc_id", F.struct(order, "doc_id")).alias("centre"))
+    pairs = (
+        buckets.join(centres, "bucket")
+        .where("doc_id <> centre")
+        .select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b"))
+        .distinct()
+    )
+    links = cut(confirm(docs, cut(sift(pairs, heads, bits, n, percent)), shingle, percent))
+    found = cut(components(links))
+    open_rows = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+        "component", F.coalesce("component", "doc_id")
+    )
+    several = open_rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    open_rows = cut(open_rows.join(several.select("bucket"), "bucket", "left_semi"))
+    if not open_rows.isEmpty():
+        found = cut(components(links.union(settle(docs, cut(units(open_rows)), shingle, percent))))
     heads = classes.select("k1", "k2", F.col("doc_id").alias("node")).join(found, "node", "left")
     heads = heads.select("k1", "k2", F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
