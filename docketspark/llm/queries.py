@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, minhash_dedup, packing, quality, toxicity, url_filter
+from . import embedding_dedup, imatch, line_dedup, minhash_dedup, packing, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,47 @@ def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"), least=0.93)
 
 
+@query
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """I-Match fingerprints of all texts and of their edited texts; see :func:`imatch.compare_edits`."""
+    return imatch.compare_edits(table(spark, folder, "documents"))
+
+
+def _imatch_sql() -> str:
+    """The same in DuckDB SQL, from the same band and sub-lexicons."""
+
+    def part(tests: list[tuple[int, str]]) -> str:
+        chosen = " AND ".join(f"substr(md5(x), {k}, 1) {'= ' + repr('0') if d == '0' else '< ' + repr('4')}" for k, d in tests)
+        terms = f"list_filter(terms, lambda x: {chosen})" if tests else "terms"
+        return f"CASE WHEN len({terms}) > 0 THEN substr(md5(array_to_string({terms}, ' ')), 1, 8) ELSE '' END"
+
+    hashes = ",\n  ".join(part(x) for x in imatch.SUBSETS)
+    like = """CASE WHEN len(list_filter(list_zip(a.hashes, {0}.hashes), lambda p: p[1] <> '' OR p[2] <> '')) = 0 THEN 1.0
+    ELSE len(list_filter(list_zip(a.hashes, {0}.hashes), lambda p: (p[1] <> '' OR p[2] <> '') AND p[1] = p[2])) * 1.0
+      / len(list_filter(list_zip(a.hashes, {0}.hashes), lambda p: p[1] <> '' OR p[2] <> '')) END"""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+nexts AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM d),
+edits AS (SELECT n.doc_id, n.next_id, length(n.text) AS n_chars,
+  left(n.text, length(n.text) - length(n.text) // 3) || left(x.text, length(n.text) // 3) AS edited
+  FROM nexts n JOIN d x ON x.doc_id = n.next_id),
+texts AS (SELECT doc_id, 0 AS kind, text FROM d UNION ALL SELECT doc_id, 1, edited FROM edits),
+bag AS (SELECT doc_id, kind, list_distinct(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS bag FROM texts),
+lexicon AS (SELECT term FROM (SELECT unnest(bag) AS term FROM bag WHERE kind = 0) GROUP BY term
+  HAVING count(*) >= {imatch.AT_LEAST} AND count(*) >= {imatch.LEAST} * (SELECT count(*) FROM d) AND count(*) <= {imatch.MOST} * (SELECT count(*) FROM d)),
+kept AS (SELECT doc_id, kind, list(term) AS kept FROM (SELECT doc_id, kind, unnest(bag) AS term FROM bag) JOIN lexicon USING (term) GROUP BY doc_id, kind),
+chosen AS (SELECT b.doc_id, b.kind, list_sort(coalesce(k.kept, b.bag)) AS terms FROM bag b LEFT JOIN kept k ON b.doc_id = k.doc_id AND b.kind = k.kind),
+prints AS (SELECT doc_id, kind, [{hashes}] AS hashes FROM chosen)
+SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, array_to_string(a.hashes, '-') AS fingerprint,
+  array_to_string(b.hashes, '-') AS edited_fingerprint, {like.format('b')} AS near_edited, {like.format('c')} AS near_next
+FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1
+JOIN prints c ON c.doc_id = e.next_id AND c.kind = 0
+"""
+
+
+SQL["op2_document_fingerprints"] = _imatch_sql()
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate documents on 4-word shingles; see :func:`minhash_dedup.near_duplicates`."""
