@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, imatch, line_dedup, minhash_dedup, packing, quality, toxicity, url_filter
+from . import embedding_dedup, imatch, line_dedup, minhash_dedup, packing, quality, sentencepiece_numpy, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,6 +70,16 @@ JOIN prints c ON c.doc_id = e.next_id AND c.kind = 0
 SQL["op2_document_fingerprints"] = _imatch_sql()
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's ids and what they decode to, as digests; see :mod:`sentencepiece_numpy`."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = sentencepiece_numpy.decode(sentencepiece_numpy.encode(table(spark, folder, "documents"), model), model)
+    return both.select(
+        "doc_id", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate documents on 4-word shingles; see :func:`minhash_dedup.near_duplicates`."""
