@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, imatch, line_dedup, minhash_dedup, packing, quality, sentencepiece_numpy, toxicity, url_filter
+from . import embedding_dedup, imatch, line_dedup, minhash_dedup, packing, quality, sentencepiece_numpy, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,6 +160,15 @@ FROM judged GROUP BY doc_id
 """
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that smaller documents hold too; see :mod:`substring_dedup`."""
+    kept = substring_dedup.dedup_passages(table(spark, folder, "documents"), least=50, shingle=5, similarity=0.8)
+    return kept.select(
+        "doc_id", "n_words", "n_repeated", "others", (F.col("n_repeated") > 0).alias("repeated"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as token pieces in sequences of at most 1024; see :func:`packing.pack`."""
