@@ -11,9 +11,9 @@ from .shared import cut
 def components(links: DataFrame) -> DataFrame:
     """Component of every node of ``links (a long, b long)``: rows ``(node, component)``, the smallest node's id.
 
-    Each round maps every node to its smallest neighbour (followed once more), then contracts the links to the
-    mapped nodes; links shrink every round, and only joins and pre-aggregated minima run, so one node with very
-    many links costs no single task.  Self links only add their node; nulls are not allowed.
+    Each round maps every node to the smallest of its neighbours and itself, then contracts the links to the mapped
+    nodes; links shrink every round, and only joins and pre-aggregated minima run, so one node with very many links
+    costs no single task.  Self links only add their node; nulls are not allowed.
     """
     links = links.select("a", "b").where("a is not null and b is not null")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("component", F.col("node"))
@@ -29,13 +29,11 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("a").alias("from"), F.least("a", "b").alias("to"))
         )
         low = cut(low)
-        after = low.select(F.col("from").alias("to"), F.col("to").alias("further"))
-        step = low.join(after, "to", "left").select("from", F.coalesce("further", "to").alias("into"))
-        nodes = nodes.join(step.withColumnRenamed("from", "component"), "component", "left").select(
-            "node", F.coalesce("into", "component").alias("component")
+        nodes = nodes.join(low.withColumnRenamed("from", "component"), "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component")
         )
-        first = step.select(F.col("from").alias("a"), F.col("into").alias("x"))
-        second = step.select(F.col("from").alias("b"), F.col("into").alias("y"))
+        first = low.select(F.col("from").alias("a"), F.col("to").alias("x"))
+        second = low.select(F.col("from").alias("b"), F.col("to").alias("y"))
         left = (
             left.join(first, "a")
             .join(second, "b")

@@ -147,26 +147,11 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Da
 def units(open_rows: DataFrame) -> DataFrame:
     """``unit, doc_id, component``: what is still to be compared, with no pair lost and few met twice.
 
-    Buckets that share documents make one unit, so a group that meets in every band is compared once; where
-    chains of buckets would make a unit larger than the work in its buckets, each bucket is a unit.
+    Open buckets that have their smallest component in common make one unit, so a group that meets in every band is
+    compared once.  A component is in at most ``bands`` buckets for each of its documents, which bounds a unit.
     """
-    rows = open_rows.select("bucket", "doc_id", "component").distinct()
-    first = rows.groupBy("bucket").agg(F.min("doc_id").alias("b"))
-    chains = components(rows.join(first, "bucket").select(F.col("doc_id").alias("a"), "b"))
-    rows = cut(rows.join(chains.select(F.col("node").alias("doc_id"), F.col("component").alias("chain")), "doc_id"))
-
-    def cost(keys: list[str], members: DataFrame) -> DataFrame:
-        sizes = members.groupBy(*keys, "component").count().groupBy(*keys).agg(F.sum("count").alias("m"), F.max("count").alias("x"))
-        return sizes.select(*keys, (F.col("m") * (F.col("m") - F.col("x"))).cast("double").alias("cost"))
-
-    single = cost(["chain", "bucket"], rows).groupBy("chain").agg(F.sum("cost").alias("single"))
-    whole = cost(["chain"], rows.select("chain", "doc_id", "component").distinct())
-    choice = single.join(whole, "chain").select("chain", (F.col("cost") <= F.col("single")).alias("together"))
-    return (
-        rows.join(choice, "chain")
-        .select(F.when(F.col("together"), F.xxhash64("chain")).otherwise(F.col("bucket")).alias("unit"), "doc_id", "component")
-        .distinct()
-    )
+    low = open_rows.groupBy("bucket").agg(F.min("component").alias("unit"))
+    return open_rows.join(low, "bucket").select("unit", "doc_id", "component").distinct()
 
 
 def settle(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
