@@ -4,8 +4,8 @@ A corpus pass counts in how many documents each word occurs.  The lexicon keeps
 frequency lies in a band: those in at least ``least`` and at most ``most`` of all documents.  Since a document
 holds D different words on average, no more than D / ``least`` words can pass, whatever the size of the corpus, so
 the lexicon may ride along as a constant of the plan.  A document's fingerprint takes its distinct lexicon words
-in sorted order and hashes them once whole and once for each of several random sub-lexicons, which hold a quarter,
-a sixteenth, a 64th and a 256th of the words (by hex digits of the word's MD5).  Small edits leave some of the
+in sorted order and hashes them once whole and once for each of 52 random sub-lexicons, which hold a quarter, a
+sixteenth, a 64th or a 256th of the words (by digits of the word's MD5).  Small edits leave some of the
 sub-lexicons' hashes alone, so the share of equal hashes is a likeness.
 
 Results for odd input: a null text counts as empty; a text without lexicon words is fingerprinted by all its
@@ -23,14 +23,11 @@ from pyspark.sql import functions as F
 
 #: Band of the document frequency, as shares of the documents, and the least number of documents.
 LEAST, MOST, AT_LEAST = 0.005, 0.2, 2
-#: Digits of a word's MD5 (from 1) that must be in 0-3 or 0 for the word to be in a sub-lexicon.
-SUBSETS: list[list[tuple[int, str]]] = [
-    [],
-    *([(k, "0123")] for k in (1, 2, 3)),
-    *([(k, "0")] for k in (4, 5, 6, 7)),
-    *([(k, "0"), (k + 1, "0123")] for k in range(8, 24, 2)),
-    *([(a, "0"), (b, "0")] for a, b in ((24, 25), (26, 27), (28, 29), (30, 31), (24, 26), (25, 27), (28, 30), (29, 31))),
-]
+#: A sub-lexicon holds the words whose MD5, read in digits 0-3, begins so: all, a quarter, 1/16, 1/64 or 1/256 of them.
+QUARTERS = [str(k) for k in range(4)]
+SIXTEENTHS = [a + b for a in QUARTERS for b in QUARTERS]
+SUBSETS = ["", *QUARTERS, *SIXTEENTHS, *(x + "0" for x in SIXTEENTHS), *(x + "00" for x in SIXTEENTHS)]
+HEX, BASE4 = "0123456789abcdef", "0000111122223333"
 WHITE = r"[\x20\x09-\x0D]+"
 #: Buckets of the lexicon constant, and at most so many ranges of documents when they are put in order.
 LEXICON_BUCKETS, COARSE, FINE, PER_RANGE = 4096, 128, 512, 2000
@@ -62,30 +59,36 @@ def constant(terms: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "array<array<string>>")
 
 
-def fingerprint(text: Column, lexical: Column) -> tuple[Column, Column]:
-    """The text's chosen words with their digits (to be named ``marked``), and from these the array of hashes: of the whole lexicon and of each sub-lexicon; empty where no word is in it."""
-    own = words(text)
-    kept = F.filter(own, lambda x: F.array_contains(F.element_at(lexical, slot(x) + 1), x))
-    chosen = F.array_sort(F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(own)))
-    marked = F.transform(chosen, lambda x: F.struct(x.alias("term"), F.md5(x.cast("binary")).alias("digits")))
+def in_lexicon(terms: Column, lexical: Column) -> Column:
+    return F.filter(terms, lambda x: F.array_contains(F.element_at(lexical, slot(x) + 1), x))
 
-    def hashed(tests: list[tuple[int, str]]) -> Column:
-        def inside(x: Column) -> Column:
-            out = F.lit(True)
-            for k, digits in tests:
-                digit = F.substring(x["digits"], k, 1)
-                out = out & (digit == "0" if digits == "0" else digit < "4")
-            return out
 
-        part = F.filter("marked", inside)["term"] if tests else F.col("marked")["term"]
-        return F.when(F.size(part) > 0, F.substring(F.md5(F.array_join(part, " ").cast("binary")), 1, 8)).otherwise("")
+def digit_is(n: int, digit: str):
+    return lambda x: x[f"q{n}"] == digit
 
-    return marked, F.array(*[hashed(x) for x in SUBSETS])
 
+def with_fingerprint(df: DataFrame, kept: str, own: str, name: str) -> DataFrame:
+    """Add the array of a text's hashes, one for each sub-lexicon, empty where it holds no word of it.
 
-def with_fingerprint(df: DataFrame, text: str, lexical: Column, name: str) -> DataFrame:
-    marked, hashes = fingerprint(F.col(text), lexical)
-    return df.withColumn("marked", marked).withColumn(name, hashes).drop("marked")
+    ``kept`` are the text's lexicon words and ``own`` all its words.  Each sub-lexicon is sifted from the next
+    larger one, column by column, so a word is looked at about nine times for all of them.
+    """
+    columns = df.columns
+    df = df.withColumn("__chosen", F.array_sort(F.array_distinct(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(own)))))
+    digits = lambda x: F.translate(F.substring(F.md5(x.cast("binary")), 1, 4), HEX, BASE4)
+    df = df.withColumn("__marked", F.transform("__chosen", lambda x: F.struct(x.alias("term"), digits(x).alias("q"))))
+    df = df.withColumn(
+        "__", F.transform("__marked", lambda x: F.struct(x["term"].alias("term"), *[F.substring(x["q"], k, 1).alias(f"q{k}") for k in (1, 2, 3, 4)]))
+    )
+    depth = {n: [x for x in SUBSETS if len(x) == n] for n in (1, 2, 3, 4)}
+    for n, prefixes in depth.items():
+        df = df.withColumns({f"__{x}": F.filter(f"__{x[:-1]}", digit_is(n, x[-1])) for x in prefixes})
+
+    def hashed(x: str) -> Column:
+        part = F.col(f"__{x}")
+        return F.when(F.size(part) > 0, F.substring(F.md5(F.array_join(part["term"], " ").cast("binary")), 1, 8)).otherwise("")
+
+    return df.withColumn(name, F.array(*[hashed(x) for x in SUBSETS])).select(*columns, name)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -129,16 +132,28 @@ def compare_edits(docs: DataFrame, least: float = LEAST, most: float = MOST) ->
     """
     plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lexical = constant(lexicon(plain, least, most))
-    near = with_next(with_fingerprint(plain, "text", lexical, "hashes"), ["text", "hashes"])
-    n_chars = F.length("text")
-    cut = F.floor(n_chars / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    near = near.withColumn("edited", edited).withColumn("n_chars", n_chars.cast("long")).drop("text", "next_text")
-    near = with_fingerprint(near, "edited", lexical, "edited_hashes")
+    marked = plain.withColumn("own", words(F.col("text"))).withColumn("kept", F.array_distinct(in_lexicon(F.col("own"), lexical)))
+    marked = with_fingerprint(marked, "kept", "own", "hashes").drop("own")
+    near = with_next(marked, ["text", "kept", "hashes"]).withColumn("n_chars", F.length("text"))
+    cut = F.floor(F.col("n_chars") / 3).cast("int")
+    near = near.withColumn("head", F.substring(F.col("text"), F.lit(1), F.col("n_chars") - cut)).withColumn(
+        "tail", F.substring(F.col("next_text"), F.lit(1), cut)
+    )
+    # words of either part are in the lexicon if their own text's are; only the word across the cut is new
+    near = near.withColumn("a", F.split(F.lower("head"), WHITE)).withColumn("b", F.split(F.lower("tail"), WHITE))
+    across = F.array(F.concat(F.element_at("a", -1), F.element_at("b", 1)))
+    edited = F.filter(F.concat(F.slice("a", 1, F.size("a") - 1), F.col("across"), F.slice("b", 2, F.size("b"))), lambda x: x != "")
+    near = near.withColumn("across", across).withColumn("own", edited)
+    known = F.concat("kept", "next_kept", in_lexicon(F.col("across"), lexical))
+    near = near.withColumn("edited_kept", F.array_intersect("own", known)).select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"),
+        "hashes", "next_hashes", "edited_kept", "own",
+    )
+    near = with_fingerprint(near, "edited_kept", "own", "edited_hashes")
     return near.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         F.array_join("hashes", "-").alias("fingerprint"),
         F.array_join("edited_hashes", "-").alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import by_batch, cut, empty, join_checked, ship
+from .shared import by_batch, cut, empty, join_checked, rewrite, ship
 
 WHITE = " \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -124,6 +124,14 @@ def line_keys(text: str | None, min_chars: int) -> list[bytes]:
     return out
 
 
+def without_lines(text: str | None, drop: list, min_chars: int) -> tuple[str, int]:
+    """A text without the lines of some keys, and how many lines went."""
+    gone = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in drop}
+    lines = (text or "").split("\n")
+    kept = [line for line, key in zip(lines, line_keys(text, min_chars), strict=True) if key not in gone]
+    return "\n".join(kept), len(lines) - len(kept)
+
+
 def postings(docs: DataFrame, min_chars: int) -> DataFrame:
     """``h1, h2, doc_id``: the keys of every document, each once."""
 
@@ -208,13 +216,16 @@ class LineIndex:
         sure = self.counts.where(F.col("n_docs") >= self.min_docs)
         return maybe.join(sure, ["h1", "h2"]).where("doc_id <> last_doc").select("doc_id", "h1", "h2")
 
+    def listed(self, rows: DataFrame | None = None) -> DataFrame:
+        """``doc_id, hint``: the keys each document loses."""
+        return cut(self.drops(rows)).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hint"))
+
     def apply(self, docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
         """``doc_id, text, n_lines, n_dropped`` with the dropped lines gone, a row for each row of ``docs``.
 
         ``rows`` are the documents' postings, for documents that are not in the index.
         """
-        gone = cut(self.drops(rows))
-        listed = gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+        listed = self.listed(rows).withColumnRenamed("hint", "gone")
         plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         both = join_checked(plain, listed, "doc_id", "left")
         least = self.min_chars
@@ -224,14 +235,9 @@ class LineIndex:
             for text, drop in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 text = text or ""
                 n_lines.append(text.count("\n") + 1)
-                if drop:
-                    keys = {np.array([x["h1"], x["h2"]], "<i8").tobytes() for x in drop}
-                    kept = [line for line, key in zip(text.split("\n"), line_keys(text, least), strict=True) if key not in keys]
-                    n_dropped.append(n_lines[-1] - len(kept))
-                    text = "\n".join(kept)
-                else:
-                    n_dropped.append(0)
+                text, dropped = without_lines(text, drop, least) if drop else (text, 0)
                 texts.append(text)
+                n_dropped.append(dropped)
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                 ["doc_id", "text", "n_lines", "n_dropped"],
@@ -278,3 +284,9 @@ def _moved(filters: DataFrame, moves: DataFrame, counts: DataFrame, min_docs: in
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """Drop lines that at least ``min_docs`` documents share from all but the largest ``doc_id`` holding them."""
     return LineIndex.over(docs, min_docs, min_chars).apply(docs)
+
+
+def clean_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
+    """``docs`` with all their columns, without the lines that :func:`dedup_lines` drops."""
+    hints = LineIndex.over(docs, min_docs, min_chars).listed()
+    return rewrite(docs, hints, lambda text, drop: without_lines(text, drop, min_chars)[0])

@@ -273,3 +273,9 @@ def near_duplicates(
 
 def repeated_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("bucket").count().where("count > 1").select("bucket")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` but those linked to a smaller document, with all their columns."""
+    gone = cut(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct())
+    return join_checked(docs, gone, "doc_id", "left_anti").select(*docs.columns)

@@ -38,9 +38,9 @@ def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def _imatch_sql() -> str:
     """The same in DuckDB SQL, from the same band and sub-lexicons."""
 
-    def part(tests: list[tuple[int, str]]) -> str:
-        chosen = " AND ".join(f"substr(md5(x), {k}, 1) {'= ' + repr('0') if d == '0' else '< ' + repr('4')}" for k, d in tests)
-        terms = f"list_filter(terms, lambda x: {chosen})" if tests else "terms"
+    def part(prefix: str) -> str:
+        digits = f"translate(substr(md5(x), 1, 4), '{imatch.HEX}', '{imatch.BASE4}')"
+        terms = f"list_filter(terms, lambda x: starts_with({digits}, '{prefix}'))" if prefix else "terms"
         return f"CASE WHEN len({terms}) > 0 THEN substr(md5(array_to_string({terms}, ' ')), 1, 8) ELSE '' END"
 
     hashes = ",\n  ".join(part(x) for x in imatch.SUBSETS)

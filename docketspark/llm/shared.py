@@ -104,3 +104,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return plain.join(F.broadcast(chosen), "doc_id")
+
+
+def rewrite(docs: DataFrame, hints: DataFrame, work: Callable[[str | None, object], str | None], limit: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` with the text of every document that ``hints (doc_id, hint)`` names replaced by ``work(text, hint)``.
+
+    All columns and rows are kept; ``n_chars``, where it exists, follows the text.
+    """
+    hints, names = hints.select("doc_id", F.col("hint").alias("__hint")), list(docs.columns)
+    joined = join_checked(docs, hints, "doc_id", "left", limit).select(*names, "__hint")
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, given = batch.column("text").to_pylist(), batch.column("__hint")
+        for k in given.is_valid().to_numpy(zero_copy_only=False).nonzero()[0]:
+            texts[k] = work(texts[k], given[k].as_py())
+        columns = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in names]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    out = by_batch(joined, change, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
