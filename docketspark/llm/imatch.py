@@ -139,12 +139,12 @@ def compare_edits(docs: DataFrame, least: float = LEAST, most: float = MOST) ->
     near = near.withColumn("head", F.substring(F.col("text"), F.lit(1), F.col("n_chars") - cut)).withColumn(
         "tail", F.substring(F.col("next_text"), F.lit(1), cut)
     )
-    # words of either part are in the lexicon if their own text's are; only the word across the cut is new
+    # whole words of either part are words of their own text; only the word across the cut and the last one may be new
     near = near.withColumn("a", F.split(F.lower("head"), WHITE)).withColumn("b", F.split(F.lower("tail"), WHITE))
-    across = F.array(F.concat(F.element_at("a", -1), F.element_at("b", 1)))
-    edited = F.filter(F.concat(F.slice("a", 1, F.size("a") - 1), F.col("across"), F.slice("b", 2, F.size("b"))), lambda x: x != "")
-    near = near.withColumn("across", across).withColumn("own", edited)
-    known = F.concat("kept", "next_kept", in_lexicon(F.col("across"), lexical))
+    across = F.concat(F.element_at("a", -1), F.element_at("b", 1))
+    edited = F.concat(F.slice("a", 1, F.size("a") - 1), F.slice("edges", 1, 1), F.slice("b", 2, F.size("b")))
+    near = near.withColumn("edges", F.array(across, F.element_at("b", -1))).withColumn("own", F.filter(edited, lambda x: x != ""))
+    known = F.concat("kept", "next_kept", in_lexicon(F.col("edges"), lexical))
     near = near.withColumn("edited_kept", F.array_intersect("own", known)).select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.concat("head", "tail"), 256).alias("edited_sha256"),
         "hashes", "next_hashes", "edited_kept", "own",
