@@ -254,13 +254,15 @@ class Encoder:
 
     def encode(self, texts: list) -> list[np.ndarray]:
         parts = [self.words(x or "") for x in texts]
-        wanted = set().union(*parts) if parts else set()
-        if len(self.known) + len(wanted) > WORDS_KEPT:
-            self.known.clear()
-        new = [x for x in wanted if x not in self.known]
-        self.known.update(zip(new, encode_words(self.pieces, new), strict=True))
         known = self.known
-        return [np.array([k for x in part for k in known[x]], np.int32) for part in parts]
+        new = [x for x in set().union(*parts) if x not in known]
+        made = dict(zip(new, encode_words(self.pieces, new), strict=True))
+        if len(known) < WORDS_KEPT:  # common words come early and stay; later new ones serve their batch only
+            known.update(made)
+            made = known
+        else:
+            made.update((x, known[x]) for x in set().union(*parts) if x in known)
+        return [np.array([k for x in part for k in made[x]], np.int32) for part in parts]
 
     def decode(self, ids: list[int]) -> str:
         out = self.pieces.out
@@ -301,7 +303,10 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = encoder(shared.value)
-        texts = [made.decode(x.as_py() or []) for x in batch.column("ids")]
+        lists = batch.column("ids")
+        flat, sizes = lists.flatten().to_numpy(), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        texts = [made.decode(flat[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return by_batch(encoded.select("doc_id", "ids"), work, "doc_id long, ids array<int>, text string")
