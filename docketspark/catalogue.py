@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import queries  # noqa: F401  registers
+from .queries.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
