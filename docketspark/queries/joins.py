@@ -1 +1,269 @@
-"""x"""
+"""Joins, enrichment, entity resolution, comparison and fan-out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.dates import iso
+from ..operators import relational as R
+from ..plans import fanout
+from .base import Tables, query
+
+
+@query("""SELECT o_orderstatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus""")
+def q_join_inner(t: Tables) -> DataFrame:
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, array_to_string(list_transform(list_sort(list(l_linenumber * 1000000 + l_partkey)), lambda x: CAST(x AS VARCHAR)), ';') AS children FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, children FROM orders LEFT JOIN c ON l_orderkey = o_orderkey""")
+def q_join_collect(t: Tables) -> DataFrame:
+    """Children of each parent as one array, in a fixed order, beside parents without any."""
+    child = (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("c")
+    nested = R.nest(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), child), "o_orderkey", ["c"], ["c"], "children")
+    joined = F.array_join(F.transform("children", lambda x: x["c"].cast("string")), ";")
+    return t.orders.join(nested, "o_orderkey", "left").select("o_orderkey", joined.alias("children"))
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def q_child_counts(t: Tables) -> DataFrame:
+    counts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return t.orders.select("o_orderkey").join(counts, "o_orderkey", "left").select("o_orderkey", zero("n"), zero("returned"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, unnest([o_orderkey % 2500, o_custkey % 2000]) AS ref, unnest([0, 1]) AS pos FROM orders)
+SELECT o_orderkey, string_agg(coalesce(p_brand, '(unresolved)'), ';' ORDER BY pos) AS notes FROM r LEFT JOIN part ON p_partkey = ref GROUP BY o_orderkey""")
+def q_ref_lookup(t: Tables) -> DataFrame:
+    """Inline references, split from text, looked up with a default and collected in their order."""
+    text = F.concat_ws(", ", F.col("o_orderkey") % 2500, F.col("o_custkey") % 2000)
+    refs = t.orders.select("o_orderkey", F.posexplode(T.tokens(text)).alias("pos", "ref")).withColumn("p_partkey", F.col("ref").cast("long"))
+    found = refs.join(t.part.select("p_partkey", "p_brand"), "p_partkey", "left")
+    note = F.struct("pos", F.coalesce("p_brand", F.lit("(unresolved)")).alias("note"))
+    return found.groupBy("o_orderkey").agg(F.array_join(F.array_sort(F.collect_list(note))["note"], ";").alias("notes"))
+
+
+@query("""WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey)
+SELECT r_name, string_agg(n_name || ':' || coalesce(n, 0), ',' ORDER BY n_name) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN c ON c_nationkey = n_nationkey GROUP BY r_name""")
+def q_three_way_nest(t: Tables) -> DataFrame:
+    counts = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    rows = t.nation.join(counts, "n_nationkey", "left").join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    entry = F.struct("n_name", F.coalesce("n", F.lit(0)).cast("string").alias("n"))
+    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.concat_ws(":", x["n_name"], x["n"]))
+    return rows.groupBy("r_name").agg(F.array_join(listed, ",").alias("nations"))
+
+
+@query("""WITH k AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderdate DESC, o_orderkey) AS rn FROM orders)
+SELECT c_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) AS children FROM customer LEFT JOIN k ON o_custkey = c_custkey AND rn <= 3 GROUP BY c_custkey""")
+def q_parent_children(t: Tables) -> DataFrame:
+    """At most three children of each parent, flagged ones first, then the latest."""
+    order = [F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1), F.desc("o_orderdate"), F.asc("o_orderkey")]
+    kept = R.top_per_group(t.orders, ["o_custkey"], order, 3).withColumnRenamed("o_custkey", "c_custkey")
+    nested = R.nest(kept, "c_custkey", ["rn", "o_orderkey"], ["rn"], "children")
+    joined = F.array_join(F.transform("children", lambda x: x["o_orderkey"].cast("string")), ",")
+    return t.customer.select("c_custkey").join(nested, "c_custkey", "left").select("c_custkey", joined.alias("children"))
+
+
+@query("""WITH q AS (SELECT o_orderkey, o_custkey % 2000 AS ref, o_custkey % 25 AS nat, CASE o_orderkey % 4 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' ELSE 'NONE' END AS seg, o_orderdate AS d FROM orders),
+t1 AS (SELECT c_custkey AS ref, c_nationkey AS nat, c_custkey AS id FROM customer),
+t2 AS (SELECT c_nationkey AS nat, c_mktsegment AS seg, min(c_custkey) AS id FROM customer GROUP BY 1, 2 HAVING count(DISTINCT c_custkey) = 1),
+t3 AS (SELECT s_suppkey AS ref, min(s_suppkey) AS id FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1),
+t4 AS (SELECT n_nationkey AS nat, TIMESTAMP '1995-01-01' + INTERVAL (n_nationkey * 60) DAY AS a, TIMESTAMP '1995-01-01' + INTERVAL (n_nationkey * 60 + 400) DAY AS b, n_nationkey AS id FROM nation),
+m4 AS (SELECT q.o_orderkey, min(t4.id) AS id FROM q JOIN t4 ON q.nat = t4.nat AND q.d BETWEEN t4.a AND t4.b GROUP BY 1 HAVING count(DISTINCT t4.id) = 1)
+SELECT q.o_orderkey, coalesce(t1.id, t2.id, t3.id, m4.id) AS id, CASE WHEN t1.id IS NOT NULL THEN 1 WHEN t2.id IS NOT NULL THEN 2 WHEN t3.id IS NOT NULL THEN 3 WHEN m4.id IS NOT NULL THEN 4 END AS tier
+FROM q LEFT JOIN t1 ON q.ref = t1.ref AND q.nat = t1.nat LEFT JOIN t2 ON q.nat = t2.nat AND q.seg = t2.seg LEFT JOIN t3 ON q.ref = t3.ref LEFT JOIN m4 ON m4.o_orderkey = q.o_orderkey""")
+def q_tiered_resolution(t: Tables) -> DataFrame:
+    """Four ordered tiers, each a join on keys that lead to exactly one entity; the last by a term's interval."""
+    seg = F.when(F.col("o_orderkey") % 4 == 0, "AUTOMOBILE").when(F.col("o_orderkey") % 4 == 1, "BUILDING").otherwise("NONE")
+    asked = t.orders.select(
+        "o_orderkey", (F.col("o_custkey") % 2000).alias("ref"), (F.col("o_custkey") % 25).cast("int").alias("nat"), seg.alias("seg"), F.col("o_orderdate").alias("d")
+    )
+    one = t.customer.select(F.col("c_custkey").alias("ref"), F.col("c_nationkey").alias("nat"), F.col("c_custkey").alias("id1"))
+    two = R.unique_by(t.customer.select(F.col("c_nationkey").alias("nat"), F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("id2")), ["nat", "seg"], "id2")
+    three = R.unique_by(t.supplier.select(F.col("s_suppkey").alias("ref"), F.col("s_suppkey").alias("id3")), ["ref"], "id3")
+    start = F.lit("1995-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("n_nationkey") * 60)
+    terms = t.nation.select(F.col("n_nationkey").alias("nat"), start.alias("a"), (start + F.make_dt_interval(F.lit(400))).alias("b"), F.col("n_nationkey").cast("long").alias("id4"))
+    within = asked.join(terms, "nat").where("d between a and b").select("o_orderkey", "id4")
+    four = R.unique_by(within, ["o_orderkey"], "id4")
+    rows = asked.join(one, ["ref", "nat"], "left").join(two, ["nat", "seg"], "left").join(three, "ref", "left").join(four, "o_orderkey", "left")
+    ids = ["id1", "id2", "id3", "id4"]
+    tier = F.coalesce(*[F.when(F.col(x).isNotNull(), k + 1) for k, x in enumerate(ids)])
+    return rows.select("o_orderkey", F.coalesce(*ids).alias("id"), tier.alias("tier"))
+
+
+@query("""WITH p AS (SELECT s_suppkey, nullif(CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END, '') AS a, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s_suppkey, coalesce(a, CASE WHEN s_suppkey % 3 = 0 THEN n_name END, 'unknown') AS ticker FROM p""")
+def q_fallback_chain(t: Tables) -> DataFrame:
+    """First map that knows the key, else the next one, else a default."""
+    first = t.supplier.where("s_suppkey % 2 = 0").select("s_suppkey", F.col("s_name").alias("a"))
+    second = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("b"))
+    rows = t.supplier.join(first, "s_suppkey", "left").join(second, "s_nationkey", "left")
+    return rows.select("s_suppkey", F.coalesce("a", F.when(F.col("s_suppkey") % 3 == 0, F.col("b")), F.lit("unknown")).alias("ticker"))
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS name, 'T' || c_custkey AS ticker FROM customer),
+b AS (SELECT name, ticker, row_number() OVER (PARTITION BY name ORDER BY length(ticker), ticker) AS rn FROM c)
+SELECT name, ticker FROM b WHERE rn = 1""")
+def q_name_resolution(t: Tables) -> DataFrame:
+    """A normalised name leads to its shortest identifier."""
+    names = t.customer.select(F.col("c_mktsegment").alias("name"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("ticker"))
+    keyed = R.rank_one(names.withColumn("key", T.normalize_name(F.col("name"))), ["key"], [F.length("ticker"), F.asc("ticker")]).select("key", "ticker")
+    asked = names.select(F.concat(F.lower("name"), F.lit(", Inc.")).alias("asked"), "name").distinct()
+    return asked.withColumn("key", T.normalize_name(F.col("asked"))).join(keyed, "key").select("name", "ticker")
+
+
+@query("""WITH s AS (SELECT p_brand, p_partkey, p_type, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN contains(p_type, 'STEEL') THEN 0 ELSE 1 END, CASE WHEN p_size < 25 THEN 0 ELSE 1 END, length(p_name), p_partkey) AS rn
+FROM part WHERE p_size > 5) SELECT p_brand, p_partkey FROM s WHERE rn = 1""")
+def q_best_match(t: Tables) -> DataFrame:
+    """Of the candidates that qualify the best by preferences, then the shortest name."""
+    order = [
+        F.when(F.col("p_type").contains("STEEL"), 0).otherwise(1), F.when(F.col("p_size") < 25, 0).otherwise(1), F.length("p_name"), F.asc("p_partkey")
+    ]
+    return R.rank_one(t.part.where("p_size > 5"), ["p_brand"], order).select("p_brand", "p_partkey")
+
+
+@query("""SELECT s_suppkey, s_suppkey % 3 <> 2 AS matches FROM supplier""")
+def q_names_match(t: Tables) -> DataFrame:
+    """Variants of a name match, another name does not."""
+    k, name = F.col("s_suppkey") % 3, F.regexp_replace("s_name", "[#0-9]+", " Alpha ")
+    other = F.when(k == 0, F.concat(F.lit("The "), name, F.lit(" Corp."))).when(k == 1, F.concat(name, F.lit(" Gamma"))).otherwise("Omega Delta")
+    return t.supplier.select("s_suppkey", T.names_match(name, other).alias("matches"))
+
+
+@query("""WITH w AS (SELECT user_id, min(ts) + INTERVAL 1 DAY AS a, min(ts) + INTERVAL 5 DAY AS b FROM events GROUP BY user_id)
+SELECT e.user_id, count(*) AS n FROM events e JOIN w ON e.user_id = w.user_id AND e.ts BETWEEN w.a AND w.b GROUP BY e.user_id""")
+def q_interval_join(t: Tables) -> DataFrame:
+    first = F.min("ts")
+    windows = t.events.groupBy("user_id").agg((first + F.expr("interval 1 day")).alias("a"), (first + F.expr("interval 5 day")).alias("b"))
+    return t.events.join(windows, "user_id").where("ts between a and b").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+HELD = """h AS (SELECT l_suppkey, p_brand, date_trunc('quarter', l_shipdate) AS q, sum(l_quantity) AS shares FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3)"""
+
+
+def _held(t: Tables) -> DataFrame:
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    return rows.groupBy("l_suppkey", "p_brand", F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("q")).agg(F.sum("l_quantity").alias("shares"))
+
+
+@query(f"""WITH {HELD}, n AS (SELECT * FROM h WHERE q = DATE '1998-04-01'), b AS (SELECT * FROM h WHERE q = DATE '1998-01-01'),
+j AS (SELECT coalesce(n.l_suppkey, b.l_suppkey) AS l_suppkey, coalesce(n.p_brand, b.p_brand) AS p_brand, n.shares AS now, b.shares AS before FROM n FULL JOIN b ON n.l_suppkey = b.l_suppkey AND n.p_brand = b.p_brand)
+SELECT l_suppkey, p_brand, now, before, CASE WHEN now IS NULL THEN -before WHEN coalesce(before, 0) = 0 THEN now ELSE now - before END AS change,
+CASE WHEN now IS NULL THEN 'closed' WHEN coalesce(before, 0) = 0 THEN 'new' WHEN now > before THEN 'increased' WHEN now < before THEN 'decreased' ELSE 'unchanged' END AS position_change,
+CASE WHEN now IS NULL THEN -100.0::DOUBLE WHEN coalesce(before, 0) > 0 THEN floor((now - before) / before * 10000 + 0.5) / 100 END AS pct FROM j""")
+def q_position_change(t: Tables) -> DataFrame:
+    """Full outer comparison of one quarter with the one before, with closed positions."""
+    held = _held(t)
+    now, before = (held.where(F.col("q") == F.lit(day).cast("date")).drop("q") for day in ("1998-04-01", "1998-01-01"))
+    compared = R.full_compare(now, before, ["l_suppkey", "p_brand"], "shares")
+    pct = F.floor((F.col("now") - F.col("before")) / F.col("before") * 10000 + 0.5) / 100
+    return compared.withColumn("pct", F.when(F.col("now").isNull(), -100.0).when(F.coalesce("before", F.lit(0.0)) > 0, pct))
+
+
+@query(f"""WITH {HELD}, s AS (SELECT l_suppkey, q, sum(shares) AS shares FROM h GROUP BY 1, 2)
+SELECT a.l_suppkey, strftime(a.q, '%Y-%m-%d') AS quarter, a.shares, b.shares AS prior_shares FROM s a LEFT JOIN s b ON a.l_suppkey = b.l_suppkey AND b.q = a.q - INTERVAL 3 MONTH""")
+def q_prior_period(t: Tables) -> DataFrame:
+    """The value of the calendar quarter before, which may be missing; a join on the computed key, not a lag."""
+    sums = t.lineitem.groupBy("l_suppkey", F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("q")).agg(F.sum("l_quantity").alias("shares"))
+    prior = sums.select("l_suppkey", F.add_months("q", 3).alias("q"), F.col("shares").alias("prior_shares"))
+    return sums.join(prior, ["l_suppkey", "q"], "left").select("l_suppkey", iso(F.col("q")).alias("quarter"), "shares", "prior_shares")
+
+
+def _keys(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k"))
+
+
+@query("SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def q_missing(t: Tables) -> DataFrame:
+    return R.missing(*_keys(t), "k")
+
+
+@query("SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def q_extra(t: Tables) -> DataFrame:
+    return R.missing(t.lineitem.select(F.col("l_orderkey").alias("k")), t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k")), "k")
+
+
+@query("SELECT count(DISTINCT c_custkey) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def q_present(t: Tables) -> DataFrame:
+    source, held = _keys(t)
+    return source.distinct().join(held, "k", "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) AND o_orderstatus <> 'F')
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS backlog FROM b ORDER BY o_orderdate, o_orderkey LIMIT 100""")
+def q_backlog(t: Tables) -> DataFrame:
+    """What is not loaded and not marked as final, oldest first, capped, with the total."""
+    done = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))
+    waiting = t.orders.where("o_orderstatus <> 'F'").join(done, "o_orderkey", "left_anti")
+    total = waiting.agg(F.count("*").alias("backlog")).withColumn("one", F.lit(1))
+    first = R.top(waiting, [F.asc("o_orderdate"), F.asc("o_orderkey")], 100).select("o_orderkey", "rn", F.lit(1).alias("one"))
+    return first.join(F.broadcast(total), "one").drop("one")
+
+
+@query("""WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 10 < 7), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 10 > 2)
+SELECT CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS side, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+def q_set_diff_report(t: Tables) -> DataFrame:
+    a = t.orders.where("o_orderkey % 10 < 7").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("a")).distinct()
+    b = t.lineitem.where("l_orderkey % 10 > 2").select(F.col("l_orderkey").alias("k"), F.lit(1).alias("b")).distinct()
+    side = F.when(F.col("a").isNull(), "right_only").when(F.col("b").isNull(), "left_only").otherwise("both")
+    return a.join(b, "k", "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def q_except(t: Tables) -> DataFrame:
+    source, held = _keys(t)
+    return source.subtract(held)
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def q_intersect(t: Tables) -> DataFrame:
+    source, held = _keys(t)
+    return source.intersect(held)
+
+
+@query("""SELECT 'trade' AS part, o_orderkey AS id, o_custkey AS owner FROM orders WHERE o_custkey < 40 UNION ALL
+SELECT 'baseline', c_custkey, c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_custkey < 40)""")
+def q_baseline(t: Tables) -> DataFrame:
+    """Rows with the matching baselines beside them, tagged."""
+    trades = t.orders.where("o_custkey < 40").select(F.lit("trade").alias("part"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"))
+    owners = trades.select(F.col("owner").alias("c_custkey"))
+    base = t.customer.join(owners, "c_custkey", "left_semi").select(F.lit("baseline").alias("part"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("owner"))
+    return trades.unionByName(base)
+
+
+def sources(t: Tables) -> list[fanout.Source]:
+    """Five tables that answer for a customer, a nation, or a part."""
+
+    def by(column: str, name: str):
+        return lambda ids: F.col(column) == ids[name] if name in ids else None
+
+    one = lambda name, table, bind, order, key: fanout.Source(name, lambda: getattr(t, table), bind, order, F.to_json(F.struct("*")), F.col(key))
+    return [
+        one("orders", "orders", by("o_custkey", "customer"), (F.desc("o_orderdate"), F.asc("o_orderkey")), "o_orderkey"),
+        one("customers", "customer", by("c_nationkey", "nation"), (F.desc("c_acctbal"), F.asc("c_custkey")), "c_custkey"),
+        one("suppliers", "supplier", by("s_nationkey", "nation"), (F.desc("s_acctbal"), F.asc("s_suppkey")), "s_suppkey"),
+        one("events", "events", by("user_id", "customer"), (F.desc("ts"), F.asc("event_id")), "event_id"),
+        one("parts", "part", by("p_size", "size"), (F.desc("p_retailprice"), F.asc("p_partkey")), "p_partkey"),
+    ]
+
+
+IDENTIFIERS = {"customer": 37, "nation": 7}
+FANOUT_SQL = """f AS (
+SELECT 'orders' AS source, CAST(o_orderkey AS VARCHAR) AS key, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders WHERE o_custkey = 37 UNION ALL
+SELECT 'customers', CAST(c_custkey AS VARCHAR), row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) FROM customer WHERE c_nationkey = 7 UNION ALL
+SELECT 'suppliers', CAST(s_suppkey AS VARCHAR), row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) FROM supplier WHERE s_nationkey = 7 UNION ALL
+SELECT 'events', CAST(event_id AS VARCHAR), row_number() OVER (ORDER BY ts DESC, event_id) FROM events WHERE user_id = 37)"""
+
+
+@query(f"WITH {FANOUT_SQL} SELECT source, rank, key FROM f WHERE rank <= 6")
+def q_fanout(t: Tables) -> DataFrame:
+    return fanout.fan_out(sources(t), IDENTIFIERS, 5).select("source", "rank", "key")
+
+
+@query(f"""WITH {FANOUT_SQL} SELECT source, count(*) FILTER (WHERE rank <= 5) AS n, max(rank) > 5 AS has_more,
+array_to_string(list_sort(list(key) FILTER (WHERE rank <= 5)), ',') AS keys FROM f WHERE rank <= 6 GROUP BY source""")
+def q_fanout_summary(t: Tables) -> DataFrame:
+    return fanout.summary(fanout.fan_out(sources(t), IDENTIFIERS, 5), 5)
