@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Largest number of ids that a join may broadcast (16 bytes each, so 16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Documents of one Arrow batch are worked on in groups of about so many bytes.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 def cut(df: DataFrame) -> DataFrame:
