@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def top(df: DataFrame, order: Sequence[Column], n: int, ordinal: str = "rn") -> DataFrame:
     """The first ``n`` rows in a total order, numbered; a top-k, so only ``n`` rows of each task are moved."""
     first = df.orderBy(*order).limit(n)
-    return first.withColumn(ordinal, F.row_number().over(Window.orderBy(*order)))
+    return first.withColumn(ordinal, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def rank_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -21,7 +21,7 @@ def rank_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, ordinal: str = "rn") -> DataFrame:
-    return df.withColumn(ordinal, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(ordinal) <= n)
+    return df.withColumn(ordinal, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col(ordinal) <= n)
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:

@@ -39,12 +39,12 @@ def fan_out(sources: list[Source], identifiers: dict, limit: int = 5, wanted: li
         table = source.table()
         try:
             rows = table.where(predicate).orderBy(*source.order).limit(limit + 1)
-            rank = F.row_number().over(Window.orderBy(*source.order))
+            rank = F.row_number().over(Window.orderBy(*source.order)).cast("long")
             parts.append(rows.select(F.lit(source.name).alias("source"), rank.alias("rank"), source.key.cast("string").alias("key"), source.payload.alias("payload")))
         except Exception as error:  # noqa: BLE001  analysis errors of one source stay with it
             text = str(error).split("\n")[0]
             parts.append(
-                table.sparkSession.range(1).select(F.lit(source.name).alias("source"), F.lit(0).alias("rank"), F.lit("error").alias("key"), F.lit(text).alias("payload"))
+                table.sparkSession.range(1).select(F.lit(source.name).alias("source"), F.lit(0).cast("long").alias("rank"), F.lit("error").alias("key"), F.lit(text).alias("payload"))
             )
     return reduce(DataFrame.unionByName, parts)
 

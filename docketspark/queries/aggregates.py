@@ -227,7 +227,7 @@ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_s
 def q_ordinal(t: Tables) -> DataFrame:
     columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     ordinal = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*columns, "l_shipdate"))
-    return t.lineitem.select("l_orderkey", *columns, ordinal.alias("ordinal"))
+    return t.lineitem.select("l_orderkey", *columns, ordinal.cast("long").alias("ordinal"))
 
 
 @query("""SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders

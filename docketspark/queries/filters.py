@@ -88,7 +88,7 @@ def q_delimited(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT event_type, sum(CAST(props->>'k' AS BIGINT)) AS k_sum, count(*) AS n FROM events GROUP BY event_type""")
+@query("""SELECT event_type, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS n FROM events GROUP BY event_type""")
 def q_json_props(t: Tables) -> DataFrame:
     k = F.from_json("props", "k long")["k"]
     return t.events.groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count("*").alias("n"))
@@ -211,7 +211,7 @@ def q_two_windows(t: Tables) -> DataFrame:
 
 @query("SELECT year(o_orderdate) AS y, count(*) AS n FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY 1")
 def q_year_window(t: Tables) -> DataFrame:
-    return t.orders.select(F.year("o_orderdate").alias("y")).where("y between 1996 and 1998").groupBy("y").agg(F.count("*").alias("n"))
+    return t.orders.select(F.year("o_orderdate").cast("long").alias("y")).where("y between 1996 and 1998").groupBy("y").agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN '2031-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders)
@@ -223,9 +223,9 @@ def q_future_guard(t: Tables) -> DataFrame:
     return rows.where((F.col("day") == "") | (F.substring("day", 1, 4).try_cast("int") <= 2026))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_type), 'steel')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_type), 'econ')")
 def q_substring_long(t: Tables) -> DataFrame:
-    return t.part.where(T.safe_substring(F.col("p_type"), "Steel")).select("p_partkey", "p_name")
+    return t.part.where(T.safe_substring(F.col("p_type"), "Econ")).select("p_partkey", "p_name")
 
 
 @query(r"""SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\ble\b')""")
@@ -243,9 +243,9 @@ def q_substring_scalar_or_array(t: Tables) -> DataFrame:
     return t.customer.join(lists, "c_custkey", "left").where(found).select("c_custkey")
 
 
-@query("""SELECT p_partkey FROM part WHERE contains(lower(p_name), 'part 1') OR contains(lower(p_type), 'brass') OR contains(lower(p_brand), 'brand#4')""")
+@query("""SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_type), 'promo') OR contains(lower(p_brand), 'brand#4')""")
 def q_text_search_multi(t: Tables) -> DataFrame:
-    columns = {"p_name": "part 1", "p_type": "brass", "p_brand": "brand#4"}
+    columns = {"p_name": "widget", "p_type": "promo", "p_brand": "brand#4"}
     found = F.lit(False)
     for name, needle in columns.items():
         found = found | T.safe_substring(F.col(name), needle)

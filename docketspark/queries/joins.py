@@ -115,12 +115,12 @@ def q_name_resolution(t: Tables) -> DataFrame:
     return asked.withColumn("key", T.normalize_name(F.col("asked"))).join(keyed, "key").select("name", "ticker")
 
 
-@query("""WITH s AS (SELECT p_brand, p_partkey, p_type, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN contains(p_type, 'STEEL') THEN 0 ELSE 1 END, CASE WHEN p_size < 25 THEN 0 ELSE 1 END, length(p_name), p_partkey) AS rn
+@query("""WITH s AS (SELECT p_brand, p_partkey, p_type, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN contains(p_type, 'SMALL') THEN 0 ELSE 1 END, CASE WHEN p_size < 25 THEN 0 ELSE 1 END, length(p_name), p_partkey) AS rn
 FROM part WHERE p_size > 5) SELECT p_brand, p_partkey FROM s WHERE rn = 1""")
 def q_best_match(t: Tables) -> DataFrame:
     """Of the candidates that qualify the best by preferences, then the shortest name."""
     order = [
-        F.when(F.col("p_type").contains("STEEL"), 0).otherwise(1), F.when(F.col("p_size") < 25, 0).otherwise(1), F.length("p_name"), F.asc("p_partkey")
+        F.when(F.col("p_type").contains("SMALL"), 0).otherwise(1), F.when(F.col("p_size") < 25, 0).otherwise(1), F.length("p_name"), F.asc("p_partkey")
     ]
     return R.rank_one(t.part.where("p_size > 5"), ["p_brand"], order).select("p_brand", "p_partkey")
 
@@ -173,10 +173,10 @@ def q_prior_period(t: Tables) -> DataFrame:
 
 
 def _keys(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k"))
+    return t.customer.select(F.col("c_custkey").alias("k")), t.orders.where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("k"))
 
 
-@query("SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 11 = 0)")
 def q_missing(t: Tables) -> DataFrame:
     return R.missing(*_keys(t), "k")
 
@@ -186,7 +186,7 @@ def q_extra(t: Tables) -> DataFrame:
     return R.missing(t.lineitem.select(F.col("l_orderkey").alias("k")), t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k")), "k")
 
 
-@query("SELECT count(DISTINCT c_custkey) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("SELECT count(DISTINCT c_custkey) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 11 = 0)")
 def q_present(t: Tables) -> DataFrame:
     source, held = _keys(t)
     return source.distinct().join(held, "k", "left_semi").agg(F.count("*").alias("n"))
@@ -212,13 +212,13 @@ def q_set_diff_report(t: Tables) -> DataFrame:
     return a.join(b, "k", "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 11 = 0")
 def q_except(t: Tables) -> DataFrame:
     source, held = _keys(t)
     return source.subtract(held)
 
 
-@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 11 = 0")
 def q_intersect(t: Tables) -> DataFrame:
     source, held = _keys(t)
     return source.intersect(held)

@@ -245,11 +245,11 @@ def q_date_correction(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", D.corrected_date(value, {"cycle": F.lit(None).cast("int"), "filed": year}).alias("x")).select("o_orderkey", "x.*")
 
 
-@query("""SELECT p_partkey, contains(upper(p_type), 'STEEL') AS is_director, contains(upper(p_type), 'BRASS') AS is_officer, contains(p_name, '10') AS is_ten_percent FROM part""")
+@query("""SELECT p_partkey, contains(upper(p_type), 'SMALL') AS is_director, contains(upper(p_type), 'PROMO') AS is_officer, contains(upper(p_brand), '10') AS is_ten_percent FROM part""")
 def q_role_flags(t: Tables) -> DataFrame:
-    text = F.regexp_replace(F.regexp_replace(F.upper("p_type"), "STEEL", "DIRECTOR"), "BRASS", "OFFICER")
+    text = F.concat(F.regexp_replace(F.regexp_replace(F.upper("p_type"), "SMALL", "Director"), "PROMO", "an officer"), F.col("p_brand"))
     flags = C.role_flags(text)
-    return t.part.select("p_partkey", flags["is_director"].alias("is_director"), flags["is_officer"].alias("is_officer"), F.col("p_name").contains("10").alias("is_ten_percent"))
+    return t.part.select("p_partkey", *[flags[x].alias(x) for x in ("is_director", "is_officer", "is_ten_percent")])
 
 
 @query(r"""SELECT p_partkey, CASE WHEN p_type = '' THEN 'other' WHEN regexp_matches(p_type, '(?i)^(small|medium)') THEN 'low' WHEN regexp_matches(p_type, '(?i)(large|economy)') THEN 'high' ELSE 'other' END AS grade FROM part""")

@@ -1 +1,92 @@
-"""x"""
+"""Incremental operators and event windows, in their batch form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import relational as R
+from .base import Tables, query
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS seq FROM orders""")
+def q_upsert(t: Tables) -> DataFrame:
+    """A base and a changed part of it, merged by key; the later sequence stays."""
+    base = t.orders.select("o_orderkey", "o_orderstatus", F.lit(1).alias("seq"))
+    changes = t.orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(2).alias("seq"))
+    return R.upsert(base, changes, ["o_orderkey"], "seq")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def q_stream_dedup(t: Tables) -> DataFrame:
+    """Events that arrive twice count once."""
+    again = t.events.where("event_id % 3 = 0")
+    return t.events.unionByName(again).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY user_id""")
+def q_stream_replay(t: Tables) -> DataFrame:
+    """What a replay of the whole stream adds up to."""
+    return t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
+
+
+@query("""SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY event_type""")
+def q_late_filter(t: Tables) -> DataFrame:
+    """Events behind the watermark, two days before the latest event, are dropped."""
+    mark = t.events.agg((F.max("ts") - F.expr("interval 2 days")).alias("mark")).withColumn("one", F.lit(1))
+    rows = t.events.withColumn("one", F.lit(1)).join(F.broadcast(mark), "one").where("ts >= mark")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def q_tumbling(t: Tables) -> DataFrame:
+    grouped = t.events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return grouped.select(F.date_format(F.col("w")["start"], "yyyy-MM-dd HH:mm").alias("w"), "event_type", "n")
+
+
+@query("""SELECT strftime(a + INTERVAL (k * 30) MINUTE, '%Y-%m-%d %H:%M') AS w, count(*) AS n
+FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE AS a, unnest([0, 1]) AS k FROM events) GROUP BY 1""")
+def q_sliding(t: Tables) -> DataFrame:
+    grouped = t.events.groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return grouped.select(F.date_format(F.col("w")["start"], "yyyy-MM-dd HH:mm").alias("w"), "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, k""")
+def q_session(t: Tables) -> DataFrame:
+    grouped = t.events.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return grouped.select("user_id", F.date_format(F.col("w")["start"], "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
+def q_rate_window(t: Tables) -> DataFrame:
+    """Hits of a user in the hour before each hit; the exact limiter with rejections is a stateful stream."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0
+    window = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)
+    return t.events.select("event_id", "user_id", seconds.alias("s")).select("event_id", F.count("*").over(window).alias("in_window"))
+
+
+PRUNE = """x AS (SELECT (SELECT count(*) FROM customer) AS have, (SELECT count(*) FROM customer WHERE {0}) AS got)"""
+
+
+@query(f"""WITH {PRUNE.format("c_custkey % 10 < 7")} SELECT c_custkey FROM customer, x WHERE NOT c_custkey % 10 < 7 AND got >= 0.5 * have""")
+def q_guarded_prune(t: Tables) -> DataFrame:
+    """Keys missing from a fresh snapshot are deleted, unless the snapshot is less than half of what is held."""
+    whole = t.customer.select("c_custkey")
+    fresh, stunted = whole.where("c_custkey % 10 < 7"), whole.where("c_custkey % 10 < 2")
+    return R.guarded_prune(whole, fresh, "c_custkey").unionByName(R.guarded_prune(whole, stunted, "c_custkey"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' AND c_custkey % 10 >= 7 THEN 'terminated' WHEN c_mktsegment = 'BUILDING' THEN 'terminated' ELSE 'active' END AS status,
+CASE WHEN c_mktsegment <> 'BUILDING' AND c_custkey % 10 >= 7 THEN '2026-01-01' END AS observed FROM customer""")
+def q_guarded_soft_delete(t: Tables) -> DataFrame:
+    """Active rows a source no longer lists are marked, with the day this was seen; history stays."""
+    held = t.customer.select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "terminated").otherwise("active").alias("status"))
+    active = held.where("status = 'active'")
+    fresh = active.where("c_custkey % 10 < 7")
+    gone = R.guarded_prune(active, fresh, "c_custkey").withColumn("gone", F.lit(True))
+    rows = held.join(gone, "c_custkey", "left")
+    return rows.select(
+        "c_custkey", F.when(F.col("gone"), "terminated").otherwise(F.col("status")).alias("status"), F.when(F.col("gone"), "2026-01-01").alias("observed")
+    )
