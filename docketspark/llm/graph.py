@@ -11,22 +11,24 @@ from .shared import cut
 def components(links: DataFrame) -> DataFrame:
     """Component of every node of ``links (a long, b long)``: rows ``(node, component)``, the smallest node's id.
 
-    Each round maps every node to the smallest of its neighbours and itself, then contracts the links to the mapped
-    nodes; links shrink every round, and only joins and pre-aggregated minima run, so one node with very many links
-    costs no single task.  Self links only add their node; nulls are not allowed.
+    Nodes have a fixed random rank, a hash of the id.  Each round maps every node to the lowest-ranked of its neighbours
+    and itself, then contracts the links to the mapped nodes: a star is done in two rounds, and a chain of any ids loses
+    a fixed share of its nodes every round.  Only joins and pre-aggregated minima run, so one node with very many links
+    costs no single task.  Self links only add their node; null ends are left out.
     """
     links = links.select("a", "b").where("a is not null and b is not null")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("component", F.col("node"))
     left = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
     while True:
         left = cut(left)
         if left.isEmpty():
-            return nodes
+            break
         low = (
             left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
             .groupBy("a")
-            .agg(F.min("b").alias("b"))
-            .select(F.col("a").alias("from"), F.least("a", "b").alias("to"))
+            .agg(F.min(rank("b")).alias("best"))
+            .select(F.col("a").alias("from"), F.when(F.col("best") < rank("a"), F.col("best")["b"]).otherwise(F.col("a")).alias("to"))
         )
         low = cut(low)
         nodes = nodes.join(low.withColumnRenamed("from", "component"), "component", "left").select(
@@ -41,3 +43,5 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
             .distinct()
         )
+    least = nodes.groupBy("component").agg(F.min("node").alias("least"))
+    return nodes.join(least, "component").select("node", F.col("least").alias("component"))

@@ -23,10 +23,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .shared import by_batch, cut, ship
 
@@ -51,6 +49,9 @@ def encoder(data: str):
     Byte-level BPE whose ids follow its merges is run by tiktoken, about five times as fast with the same ids;
     any other tokenizer file runs as it is.
     """
+    import tiktoken  # only tasks load the tokenizers
+    from tokenizers import Tokenizer
+
     spec = json.loads(data)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
