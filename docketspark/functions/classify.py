@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPEN, COMP, TRANSFER, UNKNOWN = "OPEN_MARKET", "EQUITY_COMP", "NON_OPEN_MARKET_TRANSFER", "INSUFFICIENT_DATA"
-#: First letters of transaction codes and what they mean.
+#: First letters of transaction codes and what they mean.
 NATURES = {OPEN: ["P", "S"], COMP: ["A", "M", "I", "C", "X", "O"], TRANSFER: ["D", "F", "G", "W", "Z", "U"]}
+#: Words that mark a gift.
 GIFT_WORDS = r"(?i)\b(contribution|contributed|gift(?:ed|ing|s)?|donat\w*|charitab\w*)\b"
-#: Dates that mean "no date" in two of the date fields.
+#: Dates that mean "no date" in two of the date fields, the flags, and each field's latest plausible date.
 NO_DATE = ["2050-12-31", "2050-08-31"]
 SENTINEL, ANOMALY = "sec_perpetual_sentinel", "anomalous_year_likely_filer_entry"
 LATEST = {"transaction_date": "2027-01-01", "period_of_report": "2027-01-01", "exercise_date": "2050-01-01", "expiration_date": "2050-01-01"}

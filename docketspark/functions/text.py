@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 #: A word boundary of ASCII words only, as browsers and RE2 define it; Java's is Unicode-aware.
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-#: Suffixes of names that a generation adds.
+#: Suffixes of names that a generation adds.
 GENERATION = r"(?i),\s*(jr|sr|ii|iii|iv|v)\.?\s*$"
-#: Words of company names that say nothing of the company.
+#: Words of company names that say nothing of the company.
 LEGAL_WORDS = r"\b(INC(ORPORATED)?|CORP(ORATION)?|CO(MPANY)?|LTD|LIMITED|PLC|LLC|LP|HOLDINGS?|HLDGS|GROUP|GRP|TRUST|TR)\b"
-#: Block tags that part words, and the named entities that pages use.
+#: Block tags that part words, and the named entities that pages use.
 BLOCK_TAGS = r"(?i)</?(p|div|br|li|ul|ol|tr|td|th|h[1-6]|table|section|article|nav)[^>]*>"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
