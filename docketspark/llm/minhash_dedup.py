@@ -34,9 +34,9 @@ BANDS, ROWS, SKETCH_BITS = 24, 4, 512
 #: Standard errors below the threshold at which a sketch's estimate sets a pair aside.
 SLACK = 5.0
 #: Orders that pick the buckets' centres: a group that meets in every bucket gets so many centres.
-CENTRES = 3
+CENTRES = 4
 #: Documents that one block holds at most on each side.
-BLOCK = 400
+BLOCK = 800
 
 
 def samples(runs: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
@@ -212,11 +212,14 @@ def settle(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
                     x = parent[x]
                 return x
 
-            for i, j in zip(*np.nonzero(linked & (parts[left][:, None] != parts[right][None, :])), strict=True):
-                p, q = root(int(parts[left[i]])), root(int(parts[right[j]]))
+            i, j = np.nonzero(linked & (parts[left][:, None] != parts[right][None, :]))
+            names, at = np.unique(parts, return_inverse=True)
+            _, first = np.unique(at[left[i]] * len(names) + at[right[j]], return_index=True)  # one link for two components
+            for i, j in zip(left[i[first]], right[j[first]], strict=True):
+                p, q = root(int(parts[i])), root(int(parts[j]))
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-                    edges.append((max(ids[left[i]], ids[right[j]]), min(ids[left[i]], ids[right[j]])))
+                    edges.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
 
     return dealt.groupBy("unit", "row", "column").applyInArrow(work, "a long, b long").distinct()
