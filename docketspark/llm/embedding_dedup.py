@@ -5,7 +5,8 @@ all, so copies cost one row.  Each class vector is turned by pseudo-random rotat
 Hadamard transform, three times over); its hash is the coordinate of largest magnitude with its sign.  A table's
 bucket joins ``hashes`` such values, and every vector also enters the buckets of its next most likely values
 (multiprobe).  Vectors of one label that share a bucket are candidates; a bucket is worked on in blocks of bounded
-size, every block meeting every other once, and a pair is only settled in the first bucket that both share.
+size, every block meeting every other once, and a pair is only settled in one bucket that both share: of the
+first table in which they meet the smallest key, whichever of the two stands left.
 
 A block verifies its pairs by cosine in double precision and returns, not the pairs, but what is needed of them:
 for every vector the number of vectors linked to it (classes counted in full) and a spanning forest of its links.
@@ -83,6 +84,21 @@ def buckets(vectors: np.ndarray, tables: int, hashes: int, probes: int) -> np.nd
     return out.reshape(len(vectors), tables * probes)
 
 
+def settles(a: np.ndarray, b: np.ndarray, probes: int, bucket: int) -> np.ndarray:
+    """Whether ``bucket`` is where each pair counts: the smallest key that both share in the first table where they meet.
+
+    ``a`` and ``b`` hold a row of keys for each side; the choice is the same with the sides swapped.
+    """
+    chosen, met = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+    for t in range(0, a.shape[1], probes):
+        own = a[:, t : t + probes]
+        shared = (own[:, :, None] == b[:, None, t : t + probes]).any(axis=2)
+        least = np.where(shared, own, np.iinfo(np.int64).max).min(axis=1)
+        chosen = np.where(~met & shared.any(axis=1), least, chosen)
+        met |= shared.any(axis=1)
+    return met & (chosen == bucket)
+
+
 def near_duplicates(
     vectors: DataFrame, least: float = 0.93, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES
 ) -> DataFrame:
@@ -154,14 +170,9 @@ def near_duplicates(
             i, j = left[i], right[j]
             keep = i < j if first == second else np.ones(len(i), bool)
             i, j = i[keep], j[keep]
-            for at in range(0, len(i), 100_000):  # a pair counts in the first bucket that both share
+            for at in range(0, len(i), 100_000):
                 a, b = i[at : at + 100_000], j[at : at + 100_000]
-                order = np.full(len(a), slots)
-                for s in range(slots):
-                    table = s // probes * probes
-                    shared = (keys[b, table : table + probes] == keys[a, s][:, None]).any(axis=1)
-                    order = np.where((order == slots) & shared, s, order)
-                here = keys[a, np.minimum(order, slots - 1)] == bucket_key
+                here = settles(keys[a], keys[b], probes, bucket_key)
                 a, b = a[here], b[here]
                 np.add.at(counts, a, copies[b])
                 np.add.at(counts, b, copies[a])

@@ -152,6 +152,27 @@ def test_embeddings_against_brute_force(spark):
     assert got[1100].n_links == 0 and got[1020].n_links == 39 and got[1020].component_id == 1000
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_embedding_pairs_count_once_whatever_the_row_order(spark, monkeypatch, seed):
+    """Every pair that shares a bucket counts once, where probes are swapped and buckets have several blocks too."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    rng = np.random.default_rng(seed)
+    bases = rng.normal(size=(12, 16))
+    made = np.repeat(bases, 12, axis=0) + rng.normal(size=(144, 16)) * 0.15
+    order = rng.permutation(len(made))
+    rows = [(int(k), [float(x) for x in made[k]], 1) for k in order]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(7)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, 0.93).collect()}
+    keys = embedding_dedup.buckets(made / np.abs(made).max(axis=1)[:, None], embedding_dedup.TABLES, embedding_dedup.HASHES, embedding_dedup.PROBES)
+    norms, pairs = np.sqrt((made * made).sum(axis=1)), []
+    for a in range(len(made)):
+        for b in range(a):
+            if made[a] @ made[b] >= 0.93 * norms[a] * norms[b] and set(keys[a].tolist()) & set(keys[b].tolist()):
+                pairs.append((a, b))
+    assert {k: got[k].n_links for k in got} == {k: sum(k in p for p in pairs) for k in range(len(made))}
+    assert {k: got[k].component_id for k in got} == union(pairs, range(len(made)))
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
