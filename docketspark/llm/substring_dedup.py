@@ -11,9 +11,9 @@ Windows meet by (function, min-hash).  Each such group links its windows to the
 so a passage in thousands of documents costs one row each; of identical texts only the smallest document takes part.
 The linked windows of two documents are joined by interval: where the windows of enough functions overlap, a
 candidate passage is found.  It is verified on the shingles themselves: stretches of matching shingles, with small
-gaps, whose sets have a Jaccard similarity of at least ``similarity`` and that span ``least`` words or more.  Groups
-whose candidates failed, because the smallest document only shares a common phrase, are linked again to the next
-document that is still open, ``TURNS`` times.
+gaps, whose sets have a Jaccard similarity of at least ``similarity`` and that span ``least`` words or more.  Windows
+that no verified passage explains stay open and are linked again, ``TURNS`` times in all: to the next document that is
+open too, and to the next whose own window is explained, which may hold more of the passage than the first did.
 
 A verified passage counts as repeated in the larger document; the smallest document that holds it keeps it.
 
@@ -263,20 +263,28 @@ def repeated_passages(docs: DataFrame, least: int = 50, shingle: int = 5, simila
     heads = join_checked(plain, copies.select("doc_id"), "doc_id", "left_anti")
     rows = all_windows(heads, shingle, width, functions)
     groups = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
-    rows = cut(rows.join(groups, "key"))
+    rows = cut(rows.join(groups, "key")).withColumns({"open": F.lit(True), "led": F.lit(False)})
     found = None
-    for _ in range(TURNS):
-        centres = rows.groupBy("key").agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("o"))
-        linked = rows.join(centres, "key").where("doc_id <> o.doc_id")
-        linked = linked.select("key", "doc_id", F.col("o.doc_id").alias("other"), "f", "l", "c", "r", F.col("o.l").alias("ol"), F.col("o.c").alias("oc"), F.col("o.r").alias("orr"))
+    for turn in range(TURNS):
+        # open windows meet the smallest document that is itself open, and the smallest that a passage explains
+        least_of = lambda which: F.min(F.when(which & ~F.col("led"), F.struct("doc_id", "c", "l", "r")))
+        centres = rows.groupBy("key").agg(least_of(F.col("open")).alias("fresh"), least_of(~F.col("open")).alias("known"))
+        met = rows.join(centres, "key")
+        linked = met.where("open").withColumn("o", F.explode(F.array("fresh", "known") if turn else F.array("fresh"))).where("doc_id > o.doc_id")
+        linked = linked.select("doc_id", F.col("o.doc_id").alias("other"), "f", "l", "c", "r", F.col("o.l").alias("ol"), F.col("o.c").alias("oc"), F.col("o.r").alias("orr"))
         sure = cut(verify(heads, cut(candidates(linked, agree, width)), shingle, similarity, width).where("size(spans) > 0"))
         found = sure if found is None else found.unionByName(sure)
-        # windows that no verified passage explains are linked again, without the documents that were centres
-        judged = linked.join(sure.select("doc_id", "other", "spans"), ["doc_id", "other"], "left")
+        if turn == TURNS - 1:
+            break
+        # a verified passage closes its windows, which stay as centres for larger open ones; a centre leads only once
         explained = F.exists("spans", lambda s: (F.col("c") >= s["start"]) & (F.col("c") < s["end"]))
-        rows = judged.where(~F.coalesce(explained, F.lit(False))).select("key", "doc_id", "f", "l", "c", "r")
-        again = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
-        rows = cut(rows.join(again, "key", "left_semi"))
+        for side in ("fresh", "known") if turn else ("fresh",):
+            met = met.withColumn("other", F.col(f"{side}.doc_id")).join(sure.select("doc_id", "other", "spans"), ["doc_id", "other"], "left")
+            met = met.withColumn("open", F.col("open") & ~F.coalesce(explained, F.lit(False))).drop("other", "spans")
+        led = F.col("led") | F.coalesce(F.col("doc_id") == F.col("fresh.doc_id"), F.lit(False)) | F.coalesce(F.col("doc_id") == F.col("known.doc_id"), F.lit(False))
+        met = cut(met.withColumn("led", led).select("key", "doc_id", "f", "l", "c", "r", "open", "led"))
+        ends = met.groupBy("key").agg(F.min(F.when(~F.col("led"), F.col("doc_id"))).alias("x"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("y")).where("x < y")
+        rows = cut(met.join(ends, "key").where("(not led and doc_id < y) or (open and doc_id > x)").drop("x", "y"))
         if rows.isEmpty():
             break
     whole = F.array(F.struct(F.lit(0).cast("int").alias("start"), F.lit(2**31 - 1).cast("int").alias("end")))

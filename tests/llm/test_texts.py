@@ -199,6 +199,23 @@ def test_passages_are_found_and_nothing_else(spark):
         assert got[doc].n_repeated == 0 and got[doc].text == dict(made)[doc]
 
 
+def test_overlapping_excerpts_against_brute_force(spark):
+    """A window that the smallest document explains is still a partner for a document that shares more of it."""
+    rng, docs, at = random.Random(11), {}, 0
+    text = lambda n: ["".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(n)]
+    for _ in range(25):
+        source = [*text(70), *text(40)]
+        docs |= {at: [*text(300), *source[:60], *text(300)], at + 1: source, at + 2: [*text(300), *source[15:70], *text(300)]}
+        at += 3
+    wanted = {}
+    for doc, own in docs.items():
+        smaller = {tuple(x[k : k + 50]) for other, x in docs.items() if other < doc for k in range(len(x) - 49)}
+        starts = [k for k in range(len(own) - 49) if tuple(own[k : k + 50]) in smaller]
+        wanted[doc] = len({k + j for k in starts for j in range(50)})
+    rows = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    assert {r.doc_id: r.n_repeated for r in substring_dedup.dedup_passages(rows).collect()} == wanted
+
+
 def test_compact_windows_against_brute_force():
     runs = W.mix(np.random.default_rng(4).integers(0, 60, 400).astype(np.uint64))
     bounds = np.array([0, 150, 150, 160, 400])
