@@ -45,7 +45,11 @@ PLACE_BITS = 24
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the smallest of each ``width`` adjacent values, by their upper 40 bits, the leftmost of equal ones."""
-    mask = np.uint64((1 << PLACE_BITS) - 1)
+    most = 1 << PLACE_BITS
+    if len(values) > most:  # stretches that overlap by a width less one, so that places fit in the low bits
+        starts = range(0, len(values) - width + 1, most - width + 1)
+        return np.concatenate([k + sliding_argmin(values[k : k + most], width) for k in starts])
+    mask = np.uint64(most - 1)
     low, size = (values & ~mask) | np.arange(len(values), dtype=np.uint64), 1
     while size < width:
         step = min(size, width - size)
@@ -60,8 +64,6 @@ def windows(runs: np.ndarray, bounds: np.ndarray, width: int, seed: int) -> tupl
     Places count from each text's first shingle; ends are inclusive.
     """
     value = W.mix(runs * (W.numbers(20 + seed, 1)[0] | W.U(1)) + W.U(seed + 1))
-    if len(value) >= 1 << PLACE_BITS:
-        raise ValueError("a text of more than sixteen million words can't be searched for passages")
     if len(value) < width:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

@@ -234,6 +234,16 @@ def test_compact_windows_against_brute_force():
         assert {k: v for k, v in found.items() if k[0] == d} == wanted
 
 
+def test_texts_longer_than_places_reach(monkeypatch):
+    """A text with more shingles than a packed place can name is searched in stretches, with the same windows."""
+    runs, bounds = W.mix(np.arange(5000).astype(np.uint64)), np.array([0, 4000, 5000])
+    whole = substring_dedup.windows(runs, bounds, 46, 0)
+    monkeypatch.setattr(substring_dedup, "PLACE_BITS", 8)
+    parts = substring_dedup.windows(runs, bounds, 46, 0)
+    for k in (0, 2, 3, 4):
+        assert np.array_equal(whole[k], parts[k])
+
+
 def test_passages_of_odd_rows(spark):
     got = substring_dedup.dedup_passages(odd(spark)).collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((d, t or "")) for d, t in ODD)
