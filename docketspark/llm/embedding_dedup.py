@@ -4,18 +4,21 @@ Vectors that are equal in every component, with equal labels, form a class whose
 all, so copies cost one row.  Each class vector is turned by pseudo-random rotations (sign flips and a fast
 Hadamard transform, three times over); its hash is the coordinate of largest magnitude with its sign.  A table's
 bucket joins ``hashes`` such values, and every vector also enters the buckets of its next most likely values
-(multiprobe).  Vectors of one label that share a bucket are candidates; a bucket is worked on in blocks of bounded
-size, every block meeting every other once, and a pair is only settled in one bucket that both share: of the
-first table in which they meet the smallest key, whichever of the two stands left.
+(multiprobe).  Vectors of one label that share a bucket are candidates; a large bucket is worked on in blocks of
+bounded size, every block meeting every other once, and a pair only counts in one bucket that both share, the one
+with the smallest key.
 
-A block verifies its pairs by cosine in double precision and returns, not the pairs, but what is needed of them:
-for every vector the number of vectors linked to it (classes counted in full) and a spanning forest of its links.
-So neither a bucket's pairs nor a group's copies are ever written out.
+A block verifies its pairs by cosine in double precision, on vectors scaled by their largest component, and returns,
+not the pairs, but what is needed of them: for every vector the number of vectors linked to it (classes counted in
+full) and a spanning forest of its links.  So neither a bucket's pairs nor a group's copies are ever written out.
+Vectors move once: each is dealt to its buckets' blocks, in the precision in which the table holds it.
 
 Results for odd input: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label or id, are linked with nothing (``component_id`` is their own ``vec_id``); vectors of different
-lengths are never compared; rows that repeat a ``vec_id`` count as vectors of their own; other columns are left
-alone; an empty table gives an empty result.
+lengths are never compared; very large and very small components are compared like others; rows that repeat a
+``vec_id`` count as vectors of their own, with their own links; other columns are left alone; an empty table gives an
+empty result.  Classes are told apart by 96 bits of hashes: of n different vectors two are taken as equal with a
+chance of about n**2 / 2**97.
 """
 
 from __future__ import annotations
@@ -24,15 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
-from .graph import components
-from .shared import by_batch, cut, ship
+from .graph import lowest, named
+from .shared import by_batch, cut, join_checked, join_spread, node, ship, tagged
 
 #: Tables, hash values joined in a bucket, and buckets a vector enters in each table.
 TABLES, HASHES, PROBES = 6, 2, 3
-#: Vectors that one block holds at most on each side.
-BLOCK = 1024
+#: Vectors that one block holds at most on each side, candidate pairs of small buckets and shared keys worked on at once.
+BLOCK, CHUNK = 1024, 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -46,7 +50,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def buckets(vectors: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
-    """Bucket keys, ``tables * probes`` for each vector; a table's probes are adjacent."""
+    """Bucket keys of 32 bits, ``tables * probes`` for each vector; a table's probes are adjacent."""
     width = 1 << max(1, (vectors.shape[1] - 1).bit_length())
     base = np.zeros((len(vectors), width))
     base[:, : vectors.shape[1]] = vectors
@@ -81,129 +85,148 @@ def buckets(vectors: np.ndarray, tables: int, hashes: int, probes: int) -> np.nd
                 change = nearest[:, p - 1] == h if p <= hashes else np.ones(len(rows), bool)
                 parts.append(np.where(change, seconds[h], firsts[h]))
             out[:, t, p] = key(parts)
-    return out.reshape(len(vectors), tables * probes)
-
-
-def settles(a: np.ndarray, b: np.ndarray, probes: int, bucket: int) -> np.ndarray:
-    """Whether ``bucket`` is where each pair counts: the smallest key that both share in the first table where they meet.
-
-    ``a`` and ``b`` hold a row of keys for each side; the choice is the same with the sides swapped.
-    """
-    chosen, met = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
-    for t in range(0, a.shape[1], probes):
-        own = a[:, t : t + probes]
-        shared = (own[:, :, None] == b[:, None, t : t + probes]).any(axis=2)
-        least = np.where(shared, own, np.iinfo(np.int64).max).min(axis=1)
-        chosen = np.where(~met & shared.any(axis=1), least, chosen)
-        met |= shared.any(axis=1)
-    return met & (chosen == bucket)
+    return (out.reshape(len(vectors), tables * probes) >> np.uint64(33)).astype(np.int32)
+
+
+def settled_pairs(keys_a: np.ndarray, keys_b: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Whether each pair shares no key below its bucket's; every row of ``keys_a`` and ``keys_b`` is one pair."""
+    shared = (keys_a[:, :, None] == keys_b[:, None, :]).any(axis=2)
+    return np.where(shared, keys_a, np.iinfo(np.int32).max).min(axis=1) == bucket
+
+
+def settled_block(keys_a: np.ndarray, keys_b: np.ndarray, bucket: int) -> np.ndarray:
+    """The same for all pairs of two sides of one bucket, as a matrix."""
+    out = np.zeros((len(keys_a), len(keys_b)), np.float32)
+    known = np.intersect1d(keys_a[keys_a < bucket], keys_b[keys_b < bucket])
+    for at in range(0, len(known), 2048):
+        some = known[at : at + 2048]
+        sides = []
+        for keys in (keys_a, keys_b):
+            place = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+            rows, columns = np.nonzero(some[place] == keys)
+            side = np.zeros((len(keys), len(some)), np.float32)
+            side[rows, place[rows, columns]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out == 0
+
+
+def unit_vectors(lists: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: which vectors, and those scaled to norm 1 in double precision, whatever their magnitude."""
+    sizes, out = np.array([len(x) for x in lists]), {}
+    for size in np.unique(sizes):
+        these = np.flatnonzero(sizes == size)
+        x = np.array([lists[k] for k in these], float)
+        x /= np.abs(x).max(axis=1)[:, None]
+        out[int(size)] = these, x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return out
+
+
+def verify_unit(table: pa.Table, least: float) -> pa.Table:
+    """Link counts and spanning links of some blocks: ``a, b, n``, with n = 0 for a link and a = b for a count."""
+    bucket, first, second, own, ids, copies = (table.column(x).to_numpy() for x in ("bucket", "first", "second", "own", "node", "copies"))
+    key = table.column("key").to_numpy()
+    lists = table.column("keys").combine_chunks()
+    all_keys = lists.flatten().to_numpy().reshape(len(ids), -1)
+    vectors = table.column("vector").to_pylist()
+    counts = np.zeros(len(ids), np.int64)
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        np.add.at(counts, a, copies[b])
+        np.add.at(counts, b, copies[a])
+        links.append((a, b))
+
+    for these, x in unit_vectors(vectors).values():
+        order = np.lexsort((second[these], first[these], bucket[these]))
+        rows = these[order]
+        change = (bucket[rows][1:] != bucket[rows][:-1]) | (first[rows][1:] != first[rows][:-1]) | (second[rows][1:] != second[rows][:-1])
+        bounds = np.concatenate(([0], np.flatnonzero(change) + 1, [len(rows)]))
+        sizes = np.diff(bounds)
+        few = np.flatnonzero((sizes > 1) & (sizes <= 64) & (first[rows[bounds[:-1]]] == second[rows[bounds[:-1]]]))
+        # small buckets: their pairs are laid out and worked on together, some at a time
+        spread = sizes[few] * (sizes[few] - 1) // 2
+        at = 0
+        while at < len(few):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(spread[at:]), CHUNK, "right")) + at)
+            group, n = few[at:end], sizes[few[at:end]]
+            side = np.concatenate([np.arange(k) for k in n])
+            later = np.repeat(n, n) - side - 1
+            i = np.repeat(np.repeat(bounds[group], n) + side, later)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+            near = np.einsum("ij,ij->i", x[order[i]], x[order[j]]) >= least
+            a, b = rows[i[near]], rows[j[near]]
+            good = settled_pairs(all_keys[a], all_keys[b], key[a])
+            keep(a[good], b[good])
+            at = end
+        for g in np.setdiff1d(np.flatnonzero(sizes > 1), few):
+            part = np.arange(bounds[g], bounds[g + 1])
+            one, two = first[rows[part[0]]], second[rows[part[0]]]
+            left, right = (part[own[rows[part]] == k] for k in (one, two))
+            near = x[order[left]] @ x[order[right]].T >= least
+            near = np.triu(near, 1) if one == two else near
+            near &= settled_block(all_keys[rows[left]], all_keys[rows[right]], key[rows[part[0]]])
+            np.add.at(counts, rows[left], near @ copies[rows[right]])
+            np.add.at(counts, rows[right], near.T @ copies[rows[left]])
+            i, j = np.nonzero(near)
+            links.append((rows[left[i]], rows[right[j]]))
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
+    low = lowest(a, b, len(ids))
+    tied, touched = np.flatnonzero(low != np.arange(len(ids))), np.flatnonzero(counts)
+    n = np.concatenate([np.zeros(len(tied), np.int64), counts[touched]])
+    return pa.table({"a": np.concatenate([ids[tied], ids[touched]]), "b": np.concatenate([ids[low[tied]], ids[touched]]), "n": n})
 
 
 def near_duplicates(
     vectors: DataFrame, least: float = 0.93, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each row of ``vectors (vec_id, embedding, label)``."""
-    spark = vectors.sparkSession
-    plain = vectors.select(
-        F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string")
-    )
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind = "array<float>" if single else "array<double>"
+    plain = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("vector"), F.col("label").cast("string"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False))
-    marked = plain.withColumn("class", F.when(sound, F.xxhash64("vector", "label"))).withColumn(
-        "class2", F.when(sound, F.hash("vector", "label"))
-    )
+    marked = tagged(plain.withColumn("sound", sound), "vec_id", F.struct("vector", "label")).withColumn("node", node("vec_id"))
+    marked = marked.withColumns({"class": F.xxhash64("vector", "label"), "class2": F.hash("vector", "label")})
     classes = (
-        marked.where("class is not null")
+        marked.where("sound")
         .groupBy("class", "class2")
-        .agg(F.min(F.struct("vec_id", "label", "vector")).alias("one"), F.count("*").alias("copies"))
-        .select("class", "class2", "one.*", "copies")
+        .agg(F.min(F.struct("vec_id", "node", "label", "vector")).alias("one"), F.count("*").alias("count"))
+        .select("class", "class2", "one.*", "count")
     )
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column("vector")
-        sizes = lists.value_lengths().to_numpy()
-        keys = np.zeros((batch.num_rows, tables * probes), np.uint64)
-        rows = [np.array(x) for x in lists.to_pylist()]
-        for size in np.unique(sizes):
-            these = np.flatnonzero(sizes == size)
-            keys[these] = buckets(np.stack([rows[k] / np.abs(rows[k]).max() for k in these]), tables, hashes, probes)
+        keys = np.zeros((batch.num_rows, tables * probes), np.int32)
+        for these, x in unit_vectors(batch.column("vector").to_pylist()).values():
+            keys[these] = buckets(x, tables, hashes, probes)
         offsets = pa.array(np.arange(0, keys.size + 1, tables * probes), pa.int32())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(W.signed(keys).ravel()))], [*batch.schema.names, "keys"])
-
-    classes = cut(by_batch(classes, hashed, "class long, class2 int, vec_id long, label string, vector array<double>, copies long, keys array<long>"))
-    entered = classes.select("vec_id", "label", "copies", F.explode(F.array_distinct("keys")).alias("key")).withColumn(
-        "bucket", F.xxhash64("label", "key")
-    )
-    sizes = entered.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("n_blocks"))
-    full = classes.select("vec_id", "copies", "vector", "keys", "label", F.explode(F.array_distinct("keys")).alias("key"))
-    dealt = full.withColumn("bucket", F.xxhash64("label", "key")).join(sizes, "bucket").withColumn(
-        "own", F.pmod(F.xxhash64("vec_id"), F.col("n_blocks")).cast("int")
-    )
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], [*batch.schema.names, "keys"])
+
+    classes = cut(by_batch(classes, hashed, f"class long, class2 int, vec_id long, node long, label string, vector {kind}, count long, keys array<int>"))
+    bucket = F.xxhash64("label", "key").alias("bucket")
+    entered = classes.select("node", "label", F.explode(F.array_distinct("keys")).alias("key")).select(bucket)
+    large = cut(entered.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("n_blocks")))
+    full = classes.select("node", F.col("count").alias("copies"), "vector", "keys", "label", F.explode(F.array_distinct("keys")).alias("key"))
+    full = full.select("node", "copies", "vector", "keys", "key", bucket)
+    dealt = join_checked(full, large, "bucket", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "bucket", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "vec_id", "copies", "vector", "keys"
+        "bucket", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "node", "copies", "vector", "keys"
     )
-    ship(spark)
-    slots = tables * probes
-
-    def verify(key, rows):
-        first, second, bucket_key = key[1].as_py(), key[2].as_py(), rows.column("key")[0].as_py()
-        lists = rows.column("vector").to_pylist()
-        own, ids, copies = (rows.column(x).to_numpy() for x in ("own", "vec_id", "copies"))
-        keys = np.array(rows.column("keys").to_pylist(), np.int64).reshape(len(ids), slots)
-        width = np.array([len(x) for x in lists])
-        counts, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        edges = []
-        for size in np.unique(width):
-            left, right = (np.flatnonzero((own == x) & (width == size)) for x in (first, second))
-            if not len(left) or not len(right):
-                continue
-            x, y = (np.array([lists[k] for k in side]) for side in (left, right))
-            norms = np.outer(np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1)))
-            i, j = np.nonzero(x @ y.T >= least * norms)
-            i, j = left[i], right[j]
-            keep = i < j if first == second else np.ones(len(i), bool)
-            i, j = i[keep], j[keep]
-            for at in range(0, len(i), 100_000):
-                a, b = i[at : at + 100_000], j[at : at + 100_000]
-                here = settles(keys[a], keys[b], probes, bucket_key)
-                a, b = a[here], b[here]
-                np.add.at(counts, a, copies[b])
-                np.add.at(counts, b, copies[a])
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    p, q = root(p), root(q)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        edges.append((p, q))
-        touched = np.flatnonzero(counts)
-        a = np.concatenate([ids[touched], ids[[p for p, _ in edges]] if edges else np.zeros(0, np.int64)])
-        b = np.concatenate([ids[touched], ids[[q for _, q in edges]] if edges else np.zeros(0, np.int64)])
-        n = np.concatenate([counts[touched], np.zeros(len(edges), np.int64)])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    settled = cut(spread.groupBy("bucket", "first", "second").applyInArrow(verify, "a long, b long, n long"))
-    linked = settled.where("n > 0").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "vec_id")
-    reached = components(settled.where("a <> b").select("a", "b")).withColumnRenamed("node", "vec_id")
-    per_class = (
-        classes.select("class", "class2", "vec_id", "copies")
-        .join(linked, "vec_id", "left")
-        .join(reached, "vec_id", "left")
-        .select(
-            "class",
-            "class2",
-            (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
-            F.coalesce("component", "vec_id").alias("component"),
+    units = max(1, classes.count() * tables * probes // (4 * BLOCK))  # blocks of small buckets share a call
+    ship(vectors.sparkSession)
+    settled = cut(
+        spread.groupBy(F.pmod(F.xxhash64("bucket", "first", "second"), F.lit(units)).alias("unit")).applyInArrow(
+            lambda table: verify_unit(table, least), "a long, b long, n long"
         )
     )
-    return marked.select("vec_id", "class", "class2").join(per_class, ["class", "class2"], "left").select(
-        "vec_id",
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
-    )
+    linked = settled.where("n > 0").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "node")
+    heads = classes.select("class", "class2", "count", F.col("vec_id").alias("id"), "node").join(linked, "node", "left")
+    heads = named(heads, settled.where("a <> b").select("a", "b"))
+    per_class = heads.select("class", "class2", "count", (F.col("count") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.col("first.id").alias("component"))
+    apart = marked.select("vec_id", "class", "class2", "sound")
+    found = join_spread(apart.where("sound"), per_class.drop("count"), ["class", "class2"], F.col("vec_id"), counts=per_class)
+    alone = apart.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.select(
+        "vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("component") == F.col("vec_id")).alias("kept")
+    ).unionByName(alone)

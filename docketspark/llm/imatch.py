@@ -17,6 +17,7 @@ alone; an empty table gives an empty result; a single document is its own next o
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,11 +99,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(pairs) == 0, 1.0).otherwise(F.size(equal) / F.size(pairs))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``next_<column>`` of the next document in descending ``doc_id``, after the last that of the first.
+def with_next(docs: DataFrame, mark: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """``mark(docs)`` with ``next_<column>`` of the next document in descending ``doc_id``, after the last that of the first.
 
     Documents are dealt into ranges of their ids (quantiles, evenly split further); each range also gets a copy of
-    the first document of the following one, so every neighbour is found inside its range.
+    the first document of the following one, so every neighbour is found inside its range.  ``mark`` runs once on each
+    document and on those copies, one for each range.
     """
     n = docs.count()
     cuts = docs.agg(F.percentile_approx("doc_id", [k / COARSE for k in range(COARSE + 1)], 10_000)).first()[0] or [0]
@@ -118,7 +120,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("head", F.col("range").alias("own"), F.coalesce(F.lag("range").over(order), F.min("range").over(every)).alias("range"))
     copies = ranged.withColumnRenamed("range", "own").join(F.broadcast(heads), "own").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    both = ranged.withColumn("copy", F.lit(False)).unionByName(copies.drop("own", "head").withColumn("copy", F.lit(True)))
+    both = mark(ranged.withColumn("copy", F.lit(False)).unionByName(copies.drop("own", "head").withColumn("copy", F.lit(True))))
     window = Window.partitionBy("range").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
     for name in columns:
         both = both.withColumn(f"next_{name}", F.lead(name).over(window))
@@ -132,9 +134,12 @@ def compare_edits(docs: DataFrame, least: float = LEAST, most: float = MOST) ->
     """
     plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lexical = constant(lexicon(plain, least, most))
-    marked = plain.withColumn("own", words(F.col("text"))).withColumn("kept", F.array_distinct(in_lexicon(F.col("own"), lexical)))
-    marked = with_fingerprint(marked, "kept", "own", "hashes").drop("own")
-    near = with_next(marked, ["text", "kept", "hashes"]).withColumn("n_chars", F.length("text"))
+
+    def mark(docs: DataFrame) -> DataFrame:
+        docs = docs.withColumn("own", words(F.col("text"))).withColumn("kept", F.array_distinct(in_lexicon(F.col("own"), lexical)))
+        return with_fingerprint(docs, "kept", "own", "hashes").drop("own")
+
+    near = with_next(plain, mark, ["text", "kept", "hashes"]).withColumn("n_chars", F.length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     near = near.withColumn("head", F.substring(F.col("text"), F.lit(1), F.col("n_chars") - cut)).withColumn(
         "tail", F.substring(F.col("next_text"), F.lit(1), cut)

@@ -5,7 +5,8 @@ A line's key is the line without white space at both ends and with A-Z lower-cas
 
 * ``postings``: every (key, document) once, the exact references;
 * ``counts``: a key's number of documents and the largest ``doc_id`` holding it;
-* ``filters``: for each shard of the keys a cuckoo filter of the keys with at least ``min_docs`` documents.
+* ``filters``: for each shard of the keys a cuckoo filter of the keys with at least ``min_docs`` documents; the number
+  of shards follows the number of such keys, so that a filter keeps its size.
 
 Documents are inserted and deleted at any time.  Only keys they touch are counted anew, and only keys that
 cross ``min_docs`` enter or leave a filter, so a deletion undoes an insertion exactly.  To decide a document's
@@ -19,6 +20,7 @@ decisions; other columns are left alone; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import by_batch, cut, empty, join_checked, rewrite, ship
+from .shared import by_batch, cut, empty, join_checked, join_spread, rewrite, ship
 
 WHITE = " \t\n\x0b\x0c\r"
 SLOTS = 4
-#: Postings are put to the filters in groups of one shard and one slice of the documents.
-SHARDS, SLICES = 8, 64
+#: Repeated keys in a shard at most, and postings of a shard that one pass over its filter tests.
+SHARD_KEYS, SLICE_ROWS = 1 << 18, 1 << 20
 KEY = "h1 long, h2 long"
 
 
@@ -153,8 +155,13 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
-def shard(column: str = "h1"):
-    return F.pmod(F.col(column), F.lit(SHARDS)).cast("int")
+def shard(shards: int):
+    return F.pmod(F.col("h1"), F.lit(shards)).cast("int")
+
+
+def shards_for(keys: DataFrame) -> int:
+    """So many shards that each holds about ``SHARD_KEYS`` keys: more keys give more shards, not larger ones."""
+    return 1 << max(0, (keys.count() - 1) // SHARD_KEYS).bit_length()
 
 
 @dataclass(frozen=True)
@@ -164,6 +171,7 @@ class LineIndex:
     postings: DataFrame
     counts: DataFrame
     filters: DataFrame
+    shards: int
     min_docs: int = 3
     min_chars: int = 20
 
@@ -172,7 +180,9 @@ class LineIndex:
         """The index of these documents."""
         rows = cut(postings(docs, min_chars))
         counts = cut(counted(rows).where(F.col("n_docs") >= 2))
-        return cls(rows, counts, _built(counts.where(F.col("n_docs") >= min_docs)), min_docs, min_chars)
+        keys = counts.where(F.col("n_docs") >= min_docs)
+        shards = shards_for(keys)
+        return cls(rows, counts, _built(keys, shards), shards, min_docs, min_chars)
 
     @classmethod
     def blank(cls, spark: SparkSession, min_docs: int = 3, min_chars: int = 20) -> LineIndex:
@@ -198,23 +208,48 @@ class LineIndex:
             old.join(new, ["h1", "h2"], "left_anti").withColumn("enters", F.lit(False))
         )
         counts = cut(self.counts.join(keys, ["h1", "h2"], "left_anti").unionByName(anew))
-        return LineIndex(rows, counts, cut(_moved(self.filters, moves, counts, self.min_docs)), self.min_docs, self.min_chars)
+        keys = counts.where(F.col("n_docs") >= self.min_docs)
+        shards = max(self.shards, shards_for(keys))
+        filters = _moved(self.filters, moves, keys, shards) if shards == self.shards else _built(keys, shards)
+        return LineIndex(rows, counts, cut(filters), shards, self.min_docs, self.min_chars)
 
     def drops(self, rows: DataFrame | None = None) -> DataFrame:
         """``doc_id, h1, h2`` of all lines to drop: repeated keys, except in the largest document holding them."""
-        rows = self.postings if rows is None else rows
-        slices = self.filters.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-        asked = rows.select("h1", "h2", "doc_id", shard().alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice"))
-
-        def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return left.iloc[:0][["h1", "h2", "doc_id"]]
-            return left[CuckooFilter.load(right.cuckoo.iloc[0]).contains(left.h2.to_numpy())][["h1", "h2", "doc_id"]]
+        rows = (self.postings if rows is None else rows).withColumn("shard", shard(self.shards))
+        slices = cut(rows.groupBy("shard").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("n_slices")))  # a row a shard
+        asked = join_checked(rows, slices, "shard").select(
+            "shard", F.pmod(F.xxhash64("doc_id"), F.col("n_slices")).cast("int").alias("slice"), F.lit(1).alias("turn"), "h1", "h2", "doc_id",
+            F.lit(None).cast("binary").alias("cuckoo"),
+        )
+        nothing = [F.lit(None).cast("long").alias(x) for x in ("h1", "h2", "doc_id")]
+        filters = self.filters.join(slices, "shard").select(
+            "shard", F.explode(F.sequence(F.lit(0), F.col("n_slices") - 1)).alias("slice"), F.lit(0).alias("turn"), *nothing, "cuckoo"
+        )
+        # each slice of a shard follows a copy of the shard's filter, so a task holds one filter and one batch of postings
+        lined = asked.unionByName(filters).repartition("shard", "slice").sortWithinPartitions("shard", "slice", "turn")
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, number = None, None
+            for batch in batches:
+                turn = batch.column("turn").to_numpy()
+                bounds = [*np.flatnonzero(turn == 0).tolist(), batch.num_rows]
+                if bounds[0] > 0:
+                    bounds = [-1, *bounds]
+                for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+                    if at >= 0:
+                        held, number = CuckooFilter.load(batch.column("cuckoo")[at].as_py()), batch.column("shard")[at].as_py()
+                    part = batch.slice(at + 1, end - at - 1)
+                    known = part.column("shard").to_numpy() == number if held is not None else np.zeros(part.num_rows, bool)
+                    if known.any():  # shards without repeated keys have no filter
+                        part = part.filter(pa.array(known)).select(["h1", "h2", "doc_id"])
+                        yield part.filter(pa.array(held.contains(part.column("h2").to_numpy())))
 
         ship(rows.sparkSession)
-        maybe = asked.groupBy("shard", "slice").cogroup(slices.groupBy("shard", "slice")).applyInPandas(probe, f"{KEY}, doc_id long")
+        maybe = lined.mapInArrow(probe, f"{KEY}, doc_id long")
         sure = self.counts.where(F.col("n_docs") >= self.min_docs)
-        return maybe.join(sure, ["h1", "h2"]).where("doc_id <> last_doc").select("doc_id", "h1", "h2")
+        counts = sure.withColumnRenamed("n_docs", "count")
+        met = join_spread(maybe, sure, ["h1", "h2"], F.col("doc_id"), counts=counts)
+        return met.where("doc_id <> last_doc").select("doc_id", "h1", "h2")
 
     def listed(self, rows: DataFrame | None = None) -> DataFrame:
         """``doc_id, hint``: the keys each document loses."""
@@ -227,7 +262,7 @@ class LineIndex:
         """
         listed = self.listed(rows).withColumnRenamed("hint", "gone")
         plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        both = join_checked(plain, listed, "doc_id", "left")
+        both = join_checked(plain, cut(listed), "doc_id", "left")
         least = self.min_chars
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -246,18 +281,18 @@ class LineIndex:
         return by_batch(both.select("doc_id", "text", "gone"), work, "doc_id long, text string, n_lines long, n_dropped long")
 
 
-def _built(keys: DataFrame) -> DataFrame:
-    """``shard, cuckoo`` of these keys."""
+def _built(keys: DataFrame, shards: int) -> DataFrame:
+    """``shard, cuckoo`` of these keys; a group holds one shard, so about ``SHARD_KEYS`` keys."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         made = CuckooFilter.holding(rows.h2.to_numpy())
         return pd.DataFrame({"shard": rows.shard.iloc[:1].to_numpy(), "cuckoo": [made.dump()]})
 
     ship(keys.sparkSession)
-    return cut(keys.select("h2", shard().alias("shard")).groupBy("shard").applyInPandas(build, "shard int, cuckoo binary"))
+    return cut(keys.select("h2", shard(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, cuckoo binary"))
 
 
-def _moved(filters: DataFrame, moves: DataFrame, counts: DataFrame, min_docs: int) -> DataFrame:
+def _moved(filters: DataFrame, moves: DataFrame, keys: DataFrame, shards: int) -> DataFrame:
     """The filters after keys have entered and left; a shard without room is built anew from the exact counts."""
 
     def move(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -274,11 +309,11 @@ def _moved(filters: DataFrame, moves: DataFrame, counts: DataFrame, min_docs: in
         return pd.DataFrame({"shard": [number], "cuckoo": [data]})
 
     ship(filters.sparkSession)
-    rows = moves.select("h2", "enters", shard().alias("shard"))
+    rows = moves.select("h2", "enters", shard(shards).alias("shard"))
     out = cut(filters.groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(move, "shard int, cuckoo binary"))
     full = out.where("cuckoo is null").select("shard")
-    anew = counts.where(F.col("n_docs") >= min_docs).withColumn("shard", shard()).join(full, "shard", "left_semi")
-    return out.where("cuckoo is not null").unionByName(_built(anew))
+    anew = keys.withColumn("shard", shard(shards)).join(full, "shard", "left_semi")
+    return out.where("cuckoo is not null").unionByName(_built(anew, shards))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
@@ -289,4 +324,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
 def clean_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` with all their columns, without the lines that :func:`dedup_lines` drops."""
     hints = LineIndex.over(docs, min_docs, min_chars).listed()
-    return rewrite(docs, hints, lambda text, drop: without_lines(text, drop, min_chars)[0])
+    return rewrite(docs, hints, lambda text, drop: without_lines(text, drop, min_chars)[0], ["doc_id"])

@@ -13,9 +13,13 @@ components are compared on their full sets in blocks of bounded size, each of wh
 joins components.  Every bucket so ends either in one component or with all
 pairs between its components checked, which gives the components of all links in it.
 
+Shingles and classes are told apart by 64-bit and 128-bit hashes: of n different ones two are alike with a chance
+of about n**2 / 2**65 and n**2 / 2**129, in one pair of documents of 100,000 shingles each 1e-9.
+
 Results for odd input: a null or blank text has an empty set and is linked with nothing; a null ``doc_id`` is
-linked with nothing, has a null ``component_id`` and is kept; rows that repeat a ``doc_id`` share a component;
-other columns are left alone; an empty table gives an empty result.
+linked with nothing, has a null ``component_id`` and is kept; rows that repeat a ``doc_id`` with one text are one
+document, with different texts each is a document of its own with its own links; other columns are left alone; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .graph import components
-from .shared import by_batch, cut, join_checked, ship
+from .graph import components, named
+from .shared import by_batch, cut, join_checked, join_spread, node, numbered, plain_texts, ship
 
 #: With 24 bands of 4 a pair of similarity 0.8 is missed three times in a million.
 BANDS, ROWS, SKETCH_BITS = 24, 4, 512
@@ -35,8 +39,8 @@ BANDS, ROWS, SKETCH_BITS = 24, 4, 512
 SLACK = 5.0
 #: Orders that pick the buckets' centres: a group that meets in every bucket gets so many centres.
 CENTRES = 4
-#: Documents that one block holds at most on each side.
-BLOCK = 800
+#: Documents and bytes of sets that one block holds at most on each side (one larger set is a block of its own).
+BLOCK, BLOCK_BYTES = 800, 32 << 20
 
 
 def samples(runs: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
@@ -70,7 +74,7 @@ def likeness(different_bits: np.ndarray, bits: int, n: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int) -> DataFrame:
-    """``doc_id, k1, k2`` (the word sequence), ``n_shingles, bands, sketch`` of every document."""
+    """``doc_id, node, k1, k2`` (the word sequence), ``n_shingles, bands, sketch`` of every document."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, bounds = W.word_hashes(batch.column("text").to_pylist())
@@ -86,48 +90,49 @@ def features(docs: DataFrame, shingle: int, bands: int, rows: int, bits: int) ->
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("node"),
                 pa.array(W.signed(k1)),
                 pa.array(W.signed(k2)),
                 pa.array(np.array(sizes, np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(W.signed(keys).ravel())),
                 pa.array([x.tobytes() for x in odd], pa.binary()),
             ],
-            ["doc_id", "k1", "k2", "n_shingles", "bands", "sketch"],
+            ["doc_id", "node", "k1", "k2", "n_shingles", "bands", "sketch"],
         )
 
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return by_batch(plain, work, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sketch binary")
+    return by_batch(docs, work, "doc_id long, node long, k1 long, k2 long, n_shingles long, bands array<long>, sketch binary")
 
 
 def sift(pairs: DataFrame, marks: DataFrame, bits: int, n: int, percent: int) -> DataFrame:
-    """Pairs whose odd sketches don't rule out the threshold."""
+    """Pairs (member, centre) whose odd sketches don't rule out the threshold."""
     least = percent / 100
     floor = least - SLACK * (least * (1 - least) / n) ** 0.5
     most = max(d for d in range(bits) if likeness(np.array([d]), bits, n)[0] >= floor)
     longs = [f"conv(hex(substring(sketch, {8 * k + 1}, 8)), 16, -10)" for k in range(bits // 64)]
-    marks = marks.select("doc_id", F.array(*[F.expr(f"cast({x} as bigint)") for x in longs]).alias("sketch"))
-    joined = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(
-        marks.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b"
-    )
+    marks = marks.select("node", F.array(*[F.expr(f"cast({x} as bigint)") for x in longs]).alias("sketch"))
+    joined = pairs.join(marks.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    joined = join_spread(joined, marks.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b", F.col("a"), counts=pairs.groupBy("b").count())
     apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(bits // 64)), F.lit(0))
     return joined.where(apart <= most).select("a", "b")
 
 
 def packed_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, items``: the full shingle sets of the wanted documents."""
+    """``node, items``: the full shingle sets of the wanted documents."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, bounds = W.word_hashes(batch.column("text").to_pylist())
         runs, ends = W.shingles(hashes, bounds, shingle)
         packed = [W.pack(runs[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "items"])
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return by_batch(join_checked(texts, wanted, "doc_id", "left_semi"), sets, "doc_id long, items binary")
+    return by_batch(join_checked(docs.select("node", "text"), wanted, "node", "left_semi"), sets, "node long, items binary")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` whose full shingle sets have ``100 * intersection >= percent * union``."""
+    """Those of ``pairs (a, b)`` whose full shingle sets have ``100 * intersection >= percent * union``.
+
+    ``b`` is a centre, which may have very many partners; its set is then copied to several tasks.
+    """
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
@@ -137,54 +142,62 @@ def confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Da
             good.append(100 * both >= percent * (len(one) + len(two) - both))
         return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    items = packed_sets(docs, cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), shingle)
-    both = pairs.join(items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(
-        items.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b"
-    )
+    items = packed_sets(docs, cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), shingle)
+    items = items.dropDuplicates(["node"])  # rows that repeat a document
+    one = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    both = join_spread(one, items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b", F.col("a"), counts=pairs.groupBy("b").count())
     return by_batch(both.select("a", "b", "x", "y"), compare, "a long, b long").distinct()
 
 
 def units(open_rows: DataFrame) -> DataFrame:
-    """``unit, doc_id, component``: what is still to be compared, with no pair lost and few met twice.
+    """``unit, node, component, n_shingles``: what is still to be compared, with no pair lost and few met twice.
 
     Open buckets that have their smallest component in common make one unit, so a group that meets in every band is
     compared once.  A component is in at most ``bands`` buckets for each of its documents, which bounds a unit.
     """
-    low = open_rows.groupBy("bucket").agg(F.min("component").alias("unit"))
-    return open_rows.join(low, "bucket").select("unit", "doc_id", "component").distinct()
+    low = open_rows.groupBy("bucket").agg(F.min("component").alias("unit"), F.count("*").alias("count"))
+    met = join_spread(open_rows, low.drop("count"), "bucket", F.col("node"), counts=low)
+    return met.select("unit", "node", "component", "n_shingles").distinct()
 
 
 def settle(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` that join the components of each unit, from all pairs of different components.
 
-    ``members (unit, doc_id, component)``: those outside a unit's largest component are compared with all, on
-    full sets, in blocks of bounded size; a block returns a spanning set of its links.
+    ``members (unit, node, component, n_shingles)``: those outside a unit's largest component are compared with all,
+    on full sets, in blocks of bounded size; a block returns a spanning set of its links.
     """
-    sizes = members.groupBy("unit", "component").count()
-    sizes = sizes.groupBy("unit").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("m"))
-    sizes = sizes.select(
-        "unit",
-        F.col("top.component").alias("main"),
-        F.ceil(F.col("m") / BLOCK).cast("int").alias("n_members"),
-        F.ceil((F.col("m") - F.col("top.count")) / BLOCK).cast("int").alias("n_others"),
+    held = F.sum(F.col("n_shingles") * 8)
+    sizes = members.groupBy("unit", "component").agg(F.count("*").alias("m"), held.alias("bytes"))
+    total = sizes.groupBy("unit").agg(
+        F.max(F.struct("m", "bytes", "component")).alias("top"), F.sum("m").alias("count"), F.sum("bytes").alias("bytes")
+    )
+    blocks = lambda m, n: F.ceil(F.greatest(m / BLOCK, n / BLOCK_BYTES)).cast("int")
+    sizes = cut(
+        total.select(
+            "unit",
+            "count",
+            F.col("top.component").alias("main"),
+            blocks(F.col("count"), F.col("bytes")).alias("n_members"),
+            blocks(F.col("count") - F.col("top.m"), F.col("bytes") - F.col("top.bytes")).alias("n_others"),
+        )
     )
-    known = cut(members.join(sizes, "unit"))
-    spot = F.xxhash64("doc_id")
+    known = cut(join_spread(members, sizes.drop("count"), "unit", F.col("node"), counts=sizes))
+    spot = F.xxhash64("node")
     everyone = known.select(
-        "unit", "doc_id", "component", F.lit(False).alias("other"), F.pmod(spot, F.col("n_members")).cast("int").alias("row"),
+        "unit", "node", "component", F.lit(False).alias("other"), F.pmod(spot, F.col("n_members")).cast("int").alias("row"),
         F.explode(F.sequence(F.lit(0), F.col("n_others") - 1)).alias("column"),
     )
     others = known.where("component <> main").select(
-        "unit", "doc_id", "component", F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0), F.col("n_members") - 1)).alias("row"),
+        "unit", "node", "component", F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0), F.col("n_members") - 1)).alias("row"),
         F.pmod(spot, F.col("n_others")).cast("int").alias("column"),
     )
-    items = packed_sets(docs, cut(known.select("doc_id").distinct()), shingle).dropDuplicates(["doc_id"])
+    items = packed_sets(docs, cut(known.select("node").distinct()), shingle).dropDuplicates(["node"])
     ship(docs.sparkSession)
-    dealt = everyone.unionByName(others).join(items, "doc_id")
+    dealt = everyone.unionByName(others).join(items, "node")
 
     def work(key, rows):
         other = rows.column("other").to_numpy(zero_copy_only=False)
-        ids, parts = rows.column("doc_id").to_numpy(), rows.column("component").to_numpy()
+        ids, parts = rows.column("node").to_numpy(), rows.column("component").to_numpy()
         sets = [W.unpack(x) for x in rows.column("items").to_pylist()]
         left, right = np.flatnonzero(~other), np.flatnonzero(other)
         edges = []
@@ -228,57 +241,55 @@ def settle(docs: DataFrame, members: DataFrame, shingle: int, percent: int) -> D
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs (doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept, node, stays``, a row for each row of ``docs (doc_id, text)``.
 
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of ``shingle``-word runs;
-    ``component_id`` is the smallest ``doc_id`` that links reach.
+    ``component_id`` is the smallest ``doc_id`` that links reach.  ``node`` is the ``doc_id``, but a hash
+    where a ``doc_id`` has several texts; ``stays`` marks the one text of each component that stays.
     """
     n = bands * rows
-    marks = cut(features(docs, shingle, bands, rows, bits))
+    plain = plain_texts(docs).withColumn("node", node("doc_id"))
+    marks = cut(features(plain, shingle, bands, rows, bits))
     classes = (
         marks.where("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")
-        .agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("one"))
-        .select("k1", "k2", "one.*")
+        .agg(F.min(F.struct("doc_id", "node", "n_shingles", "bands", "sketch")).alias("one"), F.count("*").alias("count"))
+        .select("k1", "k2", "one.*", "count")
     )
     classes = cut(classes)
-    heads = classes.select("doc_id", "sketch")
-    buckets = classes.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = buckets.join(repeated_buckets(buckets), "bucket", "left_semi")
-    buckets = cut(buckets)
-    order = F.xxhash64("doc_id", F.pmod(F.col("band"), F.lit(CENTRES)))
-    centres = buckets.groupBy("bucket").agg(F.min_by("doc_id", F.struct(order, "doc_id")).alias("centre"))
-    pairs = (
-        buckets.join(centres, "bucket")
-        .where("doc_id <> centre")
-        .select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b"))
-        .distinct()
-    )
-    links = cut(confirm(docs, cut(sift(pairs, heads, bits, n, percent)), shingle, percent))
+    buckets = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    sizes = cut(buckets.groupBy("bucket").count().where("count > 1"))
+    buckets = cut(join_spread(buckets, sizes.select("bucket"), "bucket", F.col("node"), "left_semi", sizes))
+    order = F.xxhash64("node", F.pmod(F.col("band"), F.lit(CENTRES)))
+    centres = buckets.groupBy("bucket").agg(F.min_by("node", F.struct(order, "node")).alias("centre"))
+    pairs = join_spread(buckets, centres, "bucket", F.col("node"), counts=sizes).where("node <> centre")
+    pairs = pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    links = cut(confirm(plain, cut(sift(pairs, classes.select("node", "sketch"), bits, n, percent)), shingle, percent))
     found = cut(components(links))
-    open_rows = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")
-    )
+    open_rows = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = open_rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    open_rows = cut(open_rows.join(several.select("bucket"), "bucket", "left_semi"))
+    open_rows = cut(join_spread(open_rows, several.select("bucket"), "bucket", F.col("node"), "left_semi", sizes))
     if not open_rows.isEmpty():
-        found = cut(components(links.union(settle(docs, cut(units(open_rows)), shingle, percent))))
-    heads = classes.select("k1", "k2", F.col("doc_id").alias("node")).join(found, "node", "left")
-    heads = heads.select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return marks.join(heads, ["k1", "k2"], "left").select(
+        links = cut(links.union(settle(plain, cut(units(open_rows)), shingle, percent)))
+    heads = named(classes.select("k1", "k2", "count", "node", F.col("doc_id").alias("id")), links)
+    met = join_spread(marks, heads.select("k1", "k2", "first"), ["k1", "k2"], F.col("doc_id"), "left", heads)
+    own = F.when(F.col("n_shingles") > 0, F.col("first.id")).otherwise(F.col("doc_id"))
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    return met.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
         (F.col("doc_id").isNull() | (own == F.col("doc_id"))).alias("kept"),
+        "node",
+        (alone | (F.col("first.node") == F.col("node"))).alias("stays"),
     )
 
 
-def repeated_buckets(buckets: DataFrame) -> DataFrame:
-    return buckets.groupBy("bucket").count().where("count > 1").select("bucket")
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but those linked to a smaller document, with all their columns."""
-    gone = cut(near_duplicates(docs, shingle, percent).where("not kept").select("doc_id").distinct())
-    return join_checked(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` but those linked to a smaller document, with all their columns.
+
+    Of rows with one ``doc_id`` and different texts, only those whose own text is linked to another go.
+    """
+    gone = cut(near_duplicates(docs, shingle, percent).where("not stays").select("node").distinct())
+    left = join_checked(numbered(docs).withColumn("node", node("doc_id")), gone, "node", "left_anti")
+    return left.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .shared import by_batch, cut, ship
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of one length are ranked in so many groups, so that a common length is no single group.
-GROUPS = 64
+#: Pieces of one length are ranked in groups of about so many, so that a common length is no single group.
+GROUP_ROWS = 1 << 17
 #: The split pattern of the byte-level vocabulary family that the fast encoder handles.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -234,43 +234,43 @@ def fill(lengths: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``) of every piece."""
-    parts = pieces(docs, tokenizer_file, capacity, end_id, with_ids)
-    parts = cut(parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(GROUPS)).cast("int")))
-    return place(parts, capacity)
+    return place(cut(pieces(docs, tokenizer_file, capacity, end_id, with_ids)), capacity)
 
 
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Places for pieces that have a ``length`` and a ``part`` that deals each length out."""
+    """Places for pieces ``doc_id, piece, length, ids_crc32`` and further columns."""
+    histogram = {row["length"]: row["count"] for row in parts.groupBy("length").count().collect()}  # at most capacity rows
+    lengths = np.array(sorted(histogram), np.int64)
+    return placed(parts, plan(lengths, np.array([histogram[int(x)] for x in lengths], np.int64), capacity), histogram)
+
+
+def placed(parts: DataFrame, made: Plan, histogram: dict[int, int]) -> DataFrame:
+    """Deal each length into groups of about ``GROUP_ROWS``, rank the pieces of every group and look up their places.
+
+    A group's first rank is the sum of the groups before it, a small table that is partitioned like the pieces.
+    """
     spark = parts.sparkSession
-    histogram = parts.groupBy("length", "part").count().collect()  # at most capacity * GROUPS rows
-    total: dict[int, int] = {}
-    begins: dict[tuple[int, int], int] = {}
-    for row in sorted(histogram):
-        begins[row[0], row[1]] = total.get(row[0], 0)
-        total[row[0]] = total.get(row[0], 0) + row[2]
-    lengths = np.array(sorted(total), np.int64)
-    made = plan(lengths, np.array([total[int(x)] for x in lengths], np.int64), capacity)
-    starts = np.zeros((capacity + 1, GROUPS), np.int64)
-    for (length, part), begin in begins.items():
-        starts[length, part] = begin
-    return placed(spark, parts, made, starts)
-
-
-def placed(spark: SparkSession, parts: DataFrame, made: Plan, starts: np.ndarray) -> DataFrame:
-    shared = spark.sparkContext.broadcast((made, starts))  # a few runs for each length
+    shared = spark.sparkContext.broadcast(made)  # a few runs for each length
     ship(spark)
+    groups = [1 + histogram.get(x, 0) // GROUP_ROWS for x in range(max(histogram, default=0) + 1)]
+    n = F.element_at(F.array(*map(F.lit, groups)), F.col("length").cast("int") + 1)
+    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), n).cast("int"))
+    sizes = dealt.groupBy("length", "part").count()
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
+    names = parts.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs, begins = shared.value
+        runs = shared.value
         length = batch.column("length").to_numpy()
-        rank = batch.column("rank").to_numpy() + begins[length, batch.column("part").to_numpy()]
+        rank = batch.column("rank").to_numpy() + batch.column("begin").to_numpy()
         at = np.searchsorted(runs.length * (1 << 44) + runs.first, length * (1 << 44) + rank, "right") - 1
         inside = rank - runs.first[at]
         sequence = runs.sequence[at] + inside // runs.per[at]
         offset = runs.offset[at] + inside % runs.per[at] * length
-        names = [x for x in batch.schema.names if x not in ("part", "rank")]
         return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - F.lit(1))
-    schema = ", ".join(f"{name} {kind}" for name, kind in parts.drop("part").dtypes)
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - F.lit(1)
+    ranked = dealt.withColumn("rank", rank).join(begins, ["length", "part"])
+    schema = ", ".join(f"{name} {kind}" for name, kind in parts.dtypes)
     return by_batch(ranked, work, f"{schema}, sequence_id long, offset long")

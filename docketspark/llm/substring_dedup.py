@@ -7,50 +7,118 @@ stretch in which that shingle's hash is the smallest, a node of the Cartesian tr
 over those minima alone.  Two texts that share a passage have, for each hash function, windows with the same
 min-hash that both cover it.
 
-Windows meet by (function, min-hash).  Each such group links its windows to the window of its smallest document,
-so a passage in thousands of documents costs one row each; of identical texts only the smallest document takes part.
-The linked windows of two documents are joined by interval: where the windows of enough functions overlap, a
-candidate passage is found.  It is verified on the shingles themselves: stretches of matching shingles, with small
-gaps, whose sets have a Jaccard similarity of at least ``similarity`` and that span ``least`` words or more.  Windows
-that no verified passage explains stay open and are linked again, ``TURNS`` times in all: to the next document that is
-open too, and to the next whose own window is explained, which may hold more of the passage than the first did.
-
-A verified passage counts as repeated in the larger document; the smallest document that holds it keeps it.
+Windows meet by (function, min-hash), in two steps:
+
+1. Each group links its windows to the window of its smallest document, so a passage in thousands of documents costs
+   one row each; of identical texts only the smallest document takes part.  The linked windows of two documents are
+   joined by interval: where the windows of enough functions overlap, a candidate passage is found and verified.
+2. Windows that no verified passage explains stay open.  Their documents, and those in their groups, get windows anew,
+   with the shingles of common phrases put last in every function's order, so that a phrase of very many documents is
+   no longer a centre; any one order serves all documents alike.  A window is joined by interval with the other
+   functions' windows of its document, and the pairs of min-hashes form finer groups, in which two documents agree on
+   two functions.  Each of these is linked to its smallest document in turn; then every window still open is compared with all windows
+   of smaller documents in its group, explained ones too, in blocks of bounded size, on the shingles around it.  A
+   block returns what it finds for each open window, never the pairs.
+
+So no partner of a group is left out, however many it has: an open window meets every smaller document that agrees with
+it on two functions.  A passage is verified on the shingles themselves: stretches of matching shingles, with small gaps,
+whose sets have a Jaccard similarity of at least ``similarity`` and that span ``least`` words or more.
+
+A verified passage counts as repeated in the larger document; the smallest document that holds it keeps it.  Documents
+are ordered by ``doc_id``, texts of one ``doc_id`` by their tag (:func:`shared.tagged`).
 
 Results for odd input: a null, empty or short text has no passages; a null ``doc_id`` takes no part and is returned
-unchanged; rows that repeat a ``doc_id`` with one text are one document, and with different texts the passages found
-for that id are those of its smallest text; other columns are left alone; an empty table gives an empty result.
+unchanged; rows that repeat a ``doc_id`` with one text are one document, and with different texts each is a document of
+its own; a text of any length is searched whole; other columns are left alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import GROUP_BYTES, by_batch, cut, join_checked, rewrite
+from .shared import GROUP_BYTES, by_batch, cut, join_checked, join_spread, rewrite, ship, tagged, written
 
-#: Hash functions, how many must agree on a candidate, and rounds of linking.
-FUNCTIONS, AGREE, TURNS = 4, 2, 2
+#: Hash functions, and how many must agree on a candidate.
+FUNCTIONS, AGREE = 4, 2
 #: Shingles without a match that a passage may hold between two matching stretches.
 GAP = 12
+#: Windows that one block holds at most on each side.
+BLOCK = 2048
+#: A min-hash with more open windows than this is a common phrase; of so many phrases the shingles are put last.
+COMMON, PHRASES = 64, 20_000
+#: Groups of at most so many windows are compared beside others with the same smallest document.
+TOGETHER = 64
+#: Centres closer than this are compared with one window once.
+NEAR = 16
 SPAN = "array<struct<start:int,end:int>>"
+NODE = ["doc_id", "tag"]
 
 
-#: Low bits of a packed min-hash that hold its place.
+#: Low bits of a packed min-hash that hold its place, below one that marks late shingles.
 PLACE_BITS = 24
+#: A window is one number: its centre, how far it reaches to both sides (15 bits each) and its function (2 bits).
+REACH_BITS, FUNCTION_BITS = 15, 2
+
+
+def packed(f: int, left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Windows as numbers; one reaches at most 32,767 shingles to a side, and longer passages hold further windows."""
+    most = (1 << REACH_BITS) - 1
+    low, high = np.minimum(centre - left, most), np.minimum(right - centre, most)
+    return (((centre << REACH_BITS | low) << REACH_BITS | high) << FUNCTION_BITS) | f
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Function, left end, centre, right end."""
+    most = (1 << REACH_BITS) - 1
+    centre, rest = at >> (2 * REACH_BITS + FUNCTION_BITS), at >> FUNCTION_BITS
+    return at & ((1 << FUNCTION_BITS) - 1), centre - (rest >> REACH_BITS & most), centre, centre + (rest & most)
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the smallest of each ``width`` adjacent values, by their upper 40 bits, the leftmost of equal ones."""
+def centre_of(at: str) -> Column:
+    return F.shiftright(at, 2 * REACH_BITS + FUNCTION_BITS)
+
+
+def node(prefix: str = "") -> Column:
+    return F.struct(F.col(f"{prefix}doc_id"), F.col(f"{prefix}tag"))
+
+
+def late(runs: np.ndarray, owner: np.ndarray, near: int) -> np.ndarray:
+    """Shingles that occurred shortly before in their text, but for about one in ``near`` places of such a chain.
+
+    Of equal minima those that are not late are taken first, so a text that repeats a few words has no more windows
+    than others.
+    """
+    order = np.lexsort((np.arange(len(runs)), runs))
+    place = order
+    linked = (runs[order][1:] == runs[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (np.diff(place) <= near)
+    chain = np.concatenate(([0], np.cumsum(~linked))) if len(runs) else np.zeros(0, np.int64)
+    begins = np.flatnonzero(np.concatenate(([True], ~linked))) if len(runs) else chain
+    stretch = (place - place[begins[chain]]) // near if len(runs) else chain
+    again = np.concatenate(([False], linked & (stretch[1:] == stretch[:-1]))) if len(runs) else np.zeros(0, bool)
+    out = np.zeros(len(runs), bool)
+    out[order] = again
+    return out
+
+
+def sliding_argmin(values: np.ndarray, width: int, last: np.ndarray | None = None) -> np.ndarray:
+    """Place of the smallest of each ``width`` adjacent values, by their upper 39 bits.
+
+    Of equal ones the leftmost that ``last`` does not mark.
+    """
     most = 1 << PLACE_BITS
     if len(values) > most:  # stretches that overlap by a width less one, so that places fit in the low bits
         starts = range(0, len(values) - width + 1, most - width + 1)
-        return np.concatenate([k + sliding_argmin(values[k : k + most], width) for k in starts])
+        return np.concatenate([k + sliding_argmin(values[k : k + most], width, None if last is None else last[k : k + most]) for k in starts])
     mask = np.uint64(most - 1)
-    low, size = (values & ~mask) | np.arange(len(values), dtype=np.uint64), 1
+    low, size = (values & ~np.uint64(2 * most - 1)) | np.arange(len(values), dtype=np.uint64), 1
+    if last is not None:
+        low |= last.astype(np.uint64) << np.uint64(PLACE_BITS)
     while size < width:
         step = min(size, width - size)
         low = np.minimum(low[: len(low) - step], low[step:])
@@ -58,22 +126,27 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (low & mask).astype(np.int64)
 
 
-def windows(runs: np.ndarray, bounds: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, ...]:
+def windows(
+    runs: np.ndarray, bounds: np.ndarray, width: int, seed: int, last: np.ndarray | None = None, common: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """Compact windows of at least ``width`` shingles of each text: text, min-hash, left end, centre, right end.
 
-    Places count from each text's first shingle; ends are inclusive.
+    Places count from each text's first shingle; ends are inclusive.  ``common`` marks shingles whose hash counts as
+    higher than all others.
     """
     value = W.mix(runs * (W.numbers(20 + seed, 1)[0] | W.U(1)) + W.U(seed + 1))
+    if common is not None:
+        value = value >> W.U(1) | common.astype(np.uint64) << W.U(63)
     if len(value) < width:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = sliding_argmin(value, width)
+    at = sliding_argmin(value, width, last)
     inside = owner[: len(at)] == owner[width - 1 :]
     at = at[inside]
     at = np.unique(at)
     doc = owner[at]
     left, right = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    key = value[at] & ~np.uint64((1 << PLACE_BITS) - 1)
+    key = value[at] & ~np.uint64((2 << PLACE_BITS) - 1)
     stack: list[int] = []
     # the Cartesian tree: the nearest smaller values beside a sliding minimum are sliding minima themselves
     firsts, lasts = bounds[doc], bounds[doc + 1] - 1
@@ -91,53 +164,68 @@ def windows(runs: np.ndarray, bounds: np.ndarray, width: int, seed: int) -> tupl
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
-    """``doc_id, k1, k2, n_words`` of the word sequences."""
+    """``doc_id, tag, k1, k2, n_words`` of the word sequences."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, bounds = W.word_hashes(batch.column("text").to_pylist())
         k1, k2 = W.sequence_keys(hashes, bounds)
-        columns = [batch.column("doc_id"), pa.array(W.signed(k1)), pa.array(W.signed(k2)), pa.array(np.diff(bounds), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_words"])
+        columns = [*(batch.column(x) for x in NODE), pa.array(W.signed(k1)), pa.array(W.signed(k2)), pa.array(np.diff(bounds), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [*NODE, "k1", "k2", "n_words"])
+
+    return by_batch(docs, work, "doc_id long, tag long, k1 long, k2 long, n_words long")
 
-    return by_batch(docs, work, "doc_id long, k1 long, k2 long, n_words long")
+
+def texts_windows(texts: list, shingle: int, width: int, functions: int, common: np.ndarray | None = None):
+    """Compact windows of a batch of texts under all functions: keys, which text, packed places, function by function.
+
+    Texts are taken in groups of about GROUP_BYTES of hashes.
+    """
+    hashes, bounds = W.word_hashes(texts)
+    runs, ends = W.shingles(hashes, bounds, shingle)
+    first = 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(ends, ends[first] + GROUP_BYTES // 8, "right")) - 1)
+        stop = min(stop, len(texts))
+        some, own = runs[ends[first] : ends[stop]], ends[first : stop + 1] - ends[first]
+        last = late(some, np.repeat(np.arange(len(own) - 1), np.diff(own)), width // 2)
+        put_last = None if common is None else np.isin(some, common)
+        keys, owners, places = [], [], []
+        for f in range(functions):
+            doc, key, left, centre, right = windows(some, own, width, f, last, put_last)
+            keys.append(W.mix(key.astype(np.uint64) + W.U(f + 1)))
+            owners.append(first + doc)
+            places.append(packed(f, left, centre, right))
+        yield np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+        first = stop
 
 
 def all_windows(docs: DataFrame, shingle: int, width: int, functions: int) -> DataFrame:
-    """``key, doc_id, f, l, c, r`` of the compact windows of all documents."""
+    """``key, doc_id, tag, at`` of the compact windows of all documents."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, bounds = W.word_hashes(batch.column("text").to_pylist())
-        runs, ends = W.shingles(hashes, bounds, shingle)
-        ids = batch.column("doc_id").to_numpy()
-        parts = []
-        at = 0
-        while at < len(ids):  # texts of about GROUP_BYTES of hashes at a time
-            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP_BYTES // 8, "right")) - 1)
-            stop = min(stop, len(ids))
-            some, own = runs[ends[at] : ends[stop]], ends[at : stop + 1] - ends[at]
-            for f in range(functions):
-                doc, key, left, centre, right = windows(some, own, width, f)
-                parts.append((W.signed(W.mix(key.astype(np.uint64) + W.U(f + 1))), ids[at + doc], np.full(len(doc), f), left, centre, right))
-            at = stop
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-        arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "f", "l", "c", "r"])
-
-    return by_batch(docs, work, "key long, doc_id long, f int, l int, c int, r int")
+        parts = list(texts_windows(batch.column("text").to_pylist(), shingle, width, functions))
+        key, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+        owner = pa.array(owner.astype(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(W.signed(key)), *(batch.column(x).take(owner) for x in NODE), pa.array(at.astype(np.int64))], ["key", *NODE, "at"]
+        )
+
+    if functions > 1 << FUNCTION_BITS:
+        raise ValueError(f"at most {1 << FUNCTION_BITS} functions")
+    return by_batch(docs, work, "key long, doc_id long, tag long, at long")
 
 
 def candidates(linked: DataFrame, agree: int, width: int) -> DataFrame:
-    """Interval join: ``doc_id, other, a (spans), b (spans)`` where enough functions' windows overlap.
+    """Interval join: ``doc_id, tag, o_doc_id, o_tag, a (spans), b (spans)`` where enough functions' windows overlap.
 
-    ``linked`` has a pair's windows as ``doc_id, other, f, l, c, r, ol, oc, orr``.  Pairs in which too few functions
-    meet at all are dropped first.  Windows are laid over each other by the offset of their centres, and every window
-    is trimmed to what both documents' windows cover.
+    ``linked`` has a pair's windows as ``at`` and ``o_at``.  Pairs in which too few functions meet at all are dropped
+    first.  Windows are laid over each other by the offset of their centres, and every window is trimmed to what both
+    documents' windows cover.
     """
-    met = linked.groupBy("doc_id", "other").agg(
-        F.bit_or(F.expr("1 << f")).alias("functions"), F.collect_list(F.struct("f", "l", "c", "r", "ol", "oc", "orr")).alias("w")
+    met = linked.groupBy(*NODE, "o_doc_id", "o_tag").agg(
+        F.bit_or(F.expr(f"shiftleft(1, cast(at & {(1 << FUNCTION_BITS) - 1} as int))")).alias("functions"), F.collect_list(F.struct("at", "o_at")).alias("w")
     )
-    met = met.where(F.bit_count("functions") >= agree).select("doc_id", "other", "w")
+    met = met.where(F.bit_count("functions") >= agree).drop("functions")
 
     def overlaps(f, low, high, shift) -> list[tuple[int, int, int, int]]:
         spans, order, k = [], np.argsort(low, kind="stable"), 0
@@ -156,7 +244,8 @@ def candidates(linked: DataFrame, agree: int, width: int) -> DataFrame:
     def join(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column("w")
         flat = lists.flatten()
-        f, left, c, right, other_left, oc, other_right = (flat.field(k).to_numpy().astype(np.int64) for k in range(7))
+        f, left, c, right = unpacked(flat.field(0).to_numpy())
+        _, other_left, oc, other_right = unpacked(flat.field(1).to_numpy())
         shift = oc - c
         low, high = np.maximum(left, other_left - shift), np.minimum(right, other_right - shift)
         fine = high - low + 1 >= width
@@ -169,9 +258,10 @@ def candidates(linked: DataFrame, agree: int, width: int) -> DataFrame:
             a.append([{"start": x[0], "end": x[1]} for x in found])
             b.append([{"start": x[2], "end": x[3]} for x in found])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("other"), pa.array(a, kind), pa.array(b, kind)], ["doc_id", "other", "a", "b"])
+        names = [*NODE, "o_doc_id", "o_tag"]
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(a, kind), pa.array(b, kind)], [*names, "a", "b"])
 
-    return by_batch(met, join, f"doc_id long, other long, a {SPAN}, b {SPAN}").where("size(a) > 0")
+    return by_batch(met, join, f"doc_id long, tag long, o_doc_id long, o_tag long, a {SPAN}, b {SPAN}").where("size(a) > 0")
 
 
 def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, gap: int = GAP) -> list[tuple[int, int]]:
@@ -216,27 +306,43 @@ def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, ga
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float, width: int) -> DataFrame:
-    """``doc_id, other, spans`` of the candidates that hold, with spans in words, ``[start, end)``."""
-    asked = pairs.select(F.col("doc_id").alias("id"), "doc_id", "other", F.lit(True).alias("own"), F.col("a").alias("at")).unionByName(
-        pairs.select(F.col("other").alias("id"), "doc_id", "other", F.lit(False).alias("own"), F.col("b").alias("at"))
-    )
-    ids = cut(asked.select(F.col("id").alias("doc_id")).distinct())
+def shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, tag, runs``: all shingles of the texts, eight bytes each."""
 
-    def shingled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         runs, ends = W.shingles(*W.word_hashes(batch.column("text").to_pylist()), shingle)
         packed = [runs[a:b].astype("<u8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["id", "runs"])
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in NODE), pa.array(packed, pa.binary())], [*NODE, "runs"])
+
+    return by_batch(docs.select(*NODE, "text"), work, "doc_id long, tag long, runs binary")
 
-    runs = by_batch(join_checked(docs, ids, "doc_id", "left_semi"), shingled, "id long, runs binary")
 
+def clipped(asked: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``asked`` (doc_id, tag, at: spans of shingles, inclusive) with ``parts``: the shingles of each span.
+
+    Whole texts' shingles stay where they are made unless their document is asked for; a document asked for very often,
+    the centre of a large group, is copied to several tasks.
+    """
+    wanted = cut(asked.select(*NODE).distinct())
+    texts = join_checked(docs, wanted, NODE, "left_semi")
+    runs = shingled(texts, shingle).select(node().alias("node"), "runs")
     part = lambda x: F.substring("runs", x["start"] * 8 + 1, (x["end"] - x["start"] + 1) * 8)
-    clipped = asked.join(runs, "id").select("doc_id", "other", "own", "at", F.transform("at", part).alias("parts"))
+    both = join_spread(asked.withColumn("node", node()), runs, "node", F.col("at"))
+    return both.withColumn("parts", F.transform("at", part)).drop("runs", "node")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float, width: int) -> DataFrame:
+    """``doc_id, tag, o_doc_id, o_tag, spans`` of the candidates that hold, with spans in words, ``[start, end)``."""
+    names = [*NODE, "o_doc_id", "o_tag"]
+    pair = F.struct(*names).alias("pair")
+    asked = pairs.select(*NODE, pair, F.lit(True).alias("own"), F.col("a").alias("at")).unionByName(
+        pairs.select(F.col("o_doc_id").alias("doc_id"), F.col("o_tag").alias("tag"), pair, F.lit(False).alias("own"), F.col("b").alias("at"))
+    )
     mine = F.struct("at", "parts")
-    both = clipped.groupBy("doc_id", "other").agg(
+    both = clipped(asked, docs, shingle).groupBy("pair").agg(
         F.max(F.when(F.col("own"), mine)).alias("mine"), F.max(F.when(~F.col("own"), F.col("parts"))).alias("y")
     )
-    both = both.where("mine is not null and y is not null").select("doc_id", "other", "mine.at", F.col("mine.parts").alias("x"), "y")
+    both = both.where("mine is not null and y is not null").select("pair.*", "mine.at", F.col("mine.parts").alias("x"), "y")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -247,50 +353,221 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float, w
                     own.append({"start": span["start"] + a, "end": span["start"] + b + shingle - 1})
             found.append(own)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("other"), pa.array(found, kind)], ["doc_id", "other", "spans"])
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(found, kind)], [*names, "spans"])
+
+    return by_batch(both, compare, f"doc_id long, tag long, o_doc_id long, o_tag long, spans {SPAN}").where("size(spans) > 0")
+
+
+def pairs_of_windows(docs: DataFrame, shingle: int, width: int, functions: int, common: np.ndarray) -> DataFrame:
+    """``pair, doc_id, tag, at``: two functions' windows of one document that can hold one passage.
+
+    The windows must overlap by ``width`` shingles, each must cover the other's centre, and the centres must lie within
+    ``width``; ``at`` is what both cover, with the first centre.  Only those count that lie within ``width`` of one of
+    the document's ``places`` (sorted).  Shingles in ``common`` come last in every function's order, so a phrase of many
+    documents is a centre only in passages of nothing but such phrases.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # bounded by PHRASES
 
-    return by_batch(both, compare, f"doc_id long, other long, spans {SPAN}")
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        asked = batch.column("places")
+        step = (1 << 31) + 4 * width
+        asked = asked.flatten().to_numpy() + np.repeat(np.arange(batch.num_rows) * step, asked.value_lengths().to_numpy())
+        for key, owner, at in texts_windows(batch.column("text").to_pylist(), shingle, width, functions, shared.value):
+            f, left, c, right = unpacked(at)
+            near = np.searchsorted(asked, owner * step + c + width, "right") > np.searchsorted(asked, owner * step + c - width, "left")
+            key, f, left, c, right, owner = (x[near] for x in (key, f, left, c, right, owner))
+            order = np.lexsort((f, c, owner))
+            key, f, left, c, right, owner = (x[order] for x in (key, f, left, c, right, owner))
+            line = owner * step + c
+            counts = np.searchsorted(line, line + width, "left") - np.arange(len(c)) - 1  # later windows within a width
+            i = np.repeat(np.arange(len(c)), counts)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)
+            low, high = np.maximum(left[i], left[j]), np.minimum(right[i], right[j])
+            keep = (f[i] != f[j]) & (low <= c[i]) & (c[j] <= high) & (high - low + 1 >= width)
+            i, j, low, high = i[keep], j[keep], low[keep], high[keep]
+            one, two = np.where(f[i] > f[j], key[j], key[i]), np.where(f[i] > f[j], key[i], key[j])
+            parts.append((W.mix(one * W.U(0x9E3779B97F4A7C15) + W.mix(two + W.U(3))), owner[i], packed(0, low, c[i], high)))
+        pair, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rows = pa.array(owner)
+        return pa.RecordBatch.from_arrays([pa.array(W.signed(pair)), *(batch.column(x).take(rows) for x in NODE), pa.array(at)], ["pair", *NODE, "at"])
+
+    return by_batch(docs, work, "pair long, doc_id long, tag long, at long")
+
+
+def fewest(values: np.ndarray, width: int) -> int:
+    """The smallest number of distinct values in ``width`` adjacent ones."""
+    n, distinct = len(values), len(np.unique(values))
+    if n <= width or distinct == n:
+        return min(distinct, width)
+    order = np.lexsort((np.arange(n), values))
+    before = np.full(n, -1)
+    again = values[order][1:] == values[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    starts = np.arange(n - width + 1)
+    return int((before[starts[:, None] + np.arange(width)] < starts[:, None]).sum(axis=1).min())
+
+
+def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int) -> pa.Table:
+    """Passages that hold an asking window's centre and that windows of smaller documents in its groups repeat.
+
+    ``table`` holds the windows of some blocks and, in rows of their own, the shingles around each of them once.  Others
+    that hold too few of the shingles of every stretch of ``width`` over the centre are set aside, all of a group at once.
+    """
+    pair, doc, tag, start, middle = (table.column(x).to_numpy() for x in ("pair", "doc_id", "tag", "start", "centre"))
+    asks, own = (table.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("asks", "own"))
+    names = list(zip(doc.tolist(), tag.tolist(), start.tolist(), strict=True))
+    text = {names[k]: np.frombuffer(part, "<u8") for k, part in enumerate(table.column("part").to_pylist()) if part is not None}
+    windows = np.flatnonzero(own)
+    windows = windows[np.lexsort((tag[windows], doc[windows], pair[windows]))]
+    change = pair[windows][1:] != pair[windows][:-1]
+    bounds = np.flatnonzero(np.concatenate(([True], change, [True]))) if len(windows) else []
+    closed: dict[tuple, list[tuple[int, int]]] = {}
+    needs: dict[tuple, float] = {}
+    tried: set[tuple] = set()  # what is held around one centre holds every stretch over another of the same NEAR places
+    out: list[tuple] = []
+    for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+        group = windows[first:last]
+        others, asking = group[~asks[group]], group[asks[group]]
+        if not len(others) or not len(asking):
+            continue
+        held = [text[names[o]] for o in others]
+        values, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+        known, at = np.unique(values, return_inverse=True)
+        marks = np.zeros((len(held), len(known)), np.int16)
+        marks[owner, at] = 1
+        for k in asking:
+            node, mine = names[k][:2], text[names[k]]
+            centre = int(middle[k] - start[k])
+            if len(mine) < width or any(x <= start[k] + centre < y for x, y in closed.get(node, ())):
+                continue  # another group of this call has explained it
+            if names[k] not in needs:
+                needs[names[k]] = similarity * fewest(mine, width)
+            place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            hits = np.where(known[place] == mine, marks[:, place], 0)
+            total = np.concatenate([np.zeros((len(held), 1), np.int64), np.cumsum(hits, axis=1)], axis=1)
+            low, high = max(0, centre - width + 1), min(centre, len(mine) - width)
+            best = (total[:, low + width : high + width + 1] - total[:, low : high + 1]).max(axis=1)
+            for row in np.flatnonzero(best >= needs[names[k]]):
+                if names[others[row]][:2] >= node:
+                    break  # larger documents follow in this order
+                near = (*node, middle[k] // NEAR, *names[others[row]][:2], start[others[row]] - start[k])
+                if near in tried:
+                    continue
+                tried.add(near)
+                spans = passages(mine, held[row], similarity, width)
+                if spans:
+                    closed.setdefault(node, []).extend((start[k] + x, start[k] + y) for x, y in spans)
+                    out.append((*node, *names[others[row]][:2], [{"start": int(start[k] + x), "end": int(start[k] + y + shingle - 1)} for x, y in spans]))
+                    if any(x <= centre < y for x, y in spans):
+                        break
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    columns = list(zip(*out, strict=True)) if out else [[]] * 5
+    return pa.table([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], kind)], [*NODE, "o_doc_id", "o_tag", "spans"])
+
+
+def common_shingles(docs: DataFrame, rows: DataFrame, shingle: int, width: int) -> np.ndarray:
+    """Shingles around the most common min-hashes of open windows: one example of each phrase holds them all."""
+    phrases = rows.groupBy("key").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.min(F.struct(*NODE, "at")).alias("o"))
+    phrases = cut(phrases.where(F.col("n_open") > COMMON).orderBy(F.desc("n_open"), "key").limit(PHRASES))
+    at = centre_of("o.at")
+    span = F.struct(F.greatest(at - width, F.lit(0)).cast("int").alias("start"), (at + width).cast("int").alias("end"))
+    asked = phrases.groupBy("o.doc_id", "o.tag").agg(F.collect_set(span).alias("at"))
+    found = [np.frombuffer(x, "<u8") for row in clipped(asked, docs, shingle).select("parts").collect() for x in row[0]]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def still_open(rows: DataFrame, sure: DataFrame) -> DataFrame:
+    """``rows`` with ``open`` false where a verified passage of their document holds their centre."""
+    spans = cut(sure.groupBy(*NODE).agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    explained = F.exists("spans", lambda s: (centre_of("at") >= s["start"]) & (centre_of("at") < s["end"]))
+    return join_checked(rows, spans, NODE, "left").withColumn("open", F.col("open") & ~F.coalesce(explained, F.lit(False))).drop("spans")
+
+
+def linked_to(rows: DataFrame, centres: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """The open windows beside the one window of their group's centre ``o``, if that is of a smaller document."""
+    met = join_spread(rows.where("open"), centres, key, node(), counts=counts).where(node() > F.struct("o.doc_id", "o.tag"))
+    return met.select(*NODE, F.col("o.doc_id").alias("o_doc_id"), F.col("o.tag").alias("o_tag"), "at", F.col("o.at").alias("o_at"))
+
+
+def first_window(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.min(F.struct(*NODE, "at")).alias("o"))
+
+
+def settle(docs: DataFrame, rows: DataFrame, explained: DataFrame, shingle: int, similarity: float, width: int, functions: int) -> DataFrame:
+    """``doc_id, tag, o_doc_id, o_tag, spans``: what smaller documents repeat of the windows that are still open.
+
+    ``rows`` has ``key, doc_id, tag, at, open`` of the groups that hold open windows, ``explained`` what is found.
+    """
+    places = cut(rows.groupBy(*NODE).agg(F.array_sort(F.collect_set(centre_of("at"))).alias("places")))
+    common = common_shingles(docs, rows, shingle, width)
+    pairs = pairs_of_windows(join_checked(docs.select(*NODE, "text"), places, NODE), shingle, width, functions, common)
+    pairs = still_open(written(pairs).withColumn("open", F.lit(True)), explained)
+    groups = pairs.groupBy("pair").agg(F.count("*").alias("count"), F.min(node()).alias("x"), F.max(F.when(F.col("open"), node())).alias("y"))
+    groups = cut(groups.where("x < y").drop("x"))
+    members = written(join_spread(pairs, groups, "pair", node(), counts=groups).where(node() <= F.col("y")).drop("y", "count"))
+    firsts = cut(first_window(members, "pair"))
+    sure = cut(verify(docs, cut(candidates(linked_to(members, firsts, "pair", groups), 1, width)), shingle, similarity, width))
+    # what is open now has met its group's first window; all others of smaller documents are left
+    members = join_spread(still_open(members, sure), firsts, "pair", node(), counts=groups)
+    is_first = F.struct(*NODE, "at") == F.col("o")
+    left = members.groupBy("pair").agg(
+        F.count("*").alias("count"), F.sum(F.col("open").cast("long")).alias("n_open"), F.min(F.when(~is_first, node())).alias("x"), F.max(F.when(F.col("open"), node())).alias("y")
+    )
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    left = cut(left.where("x < y").select("pair", "count", "y", F.xxhash64("x").alias("x"), blocks("count").alias("n_rows"), blocks("n_open").alias("n_columns")))
+    members = join_spread(members.drop("o"), left, "pair", node(), counts=left).where(node() <= F.col("y")).drop("y")
+    around = F.greatest(centre_of("at") - (width - 1 + NEAR), F.lit(0)).cast("int")
+    members = written(members.withColumn("start", around).withColumn("centre", centre_of("at").cast("int")).drop("at"))
+    spot = F.xxhash64(*NODE, "start")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(spot, F.col(n)).cast("int")
+    plain = ["pair", "x", "count", *NODE, "start", "centre"]
+    dealt = members.select(*plain, F.lit(False).alias("asks"), deal("n_rows").alias("row"), each("n_columns").alias("column")).unionByName(
+        members.where("open").select(*plain, F.lit(True).alias("asks"), each("n_rows").alias("row"), deal("n_columns").alias("column"))
+    )
+    # small groups with one smallest document share a call, in which a stretch of text is held once for all of them
+    unit = F.when(F.col("count") <= TOGETHER, F.xxhash64("x", F.shiftright("centre", 8))).otherwise(F.xxhash64("pair", "row", "column"))
+    dealt = dealt.withColumn("unit", F.pmod(unit, F.lit(1 + members.count() // 2048)))
+    dealt = written(dealt.select("unit", "pair", *NODE, "start", "centre", "asks"))
+    asked = dealt.select("unit", *NODE, "start").distinct()
+    span = F.struct("start", (F.col("start") + 3 * width).alias("end"))
+    texts = clipped(asked.groupBy(*NODE).agg(F.collect_set(span).alias("at")), docs, shingle)
+    texts = texts.select(*NODE, F.explode(F.arrays_zip("at", "parts")).alias("t")).select(*NODE, F.col("t.at.start").alias("start"), F.col("t.parts").alias("part"))
+    texts = asked.join(texts, [*NODE, "start"]).withColumns({"pair": F.lit(0).cast("long"), "centre": F.lit(0), "asks": F.lit(False), "own": F.lit(False)})
+    both = dealt.withColumns({"own": F.lit(True), "part": F.lit(None).cast("binary")}).unionByName(texts)
+    ship(docs.sparkSession)
+    work = partial(compare_windows, similarity=similarity, width=width, shingle=shingle)
+    rest = both.groupBy("unit").applyInArrow(lambda table: work(table), f"doc_id long, tag long, o_doc_id long, o_tag long, spans {SPAN}")
+    return sure.unionByName(rest)
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, shingle: int = 5, similarity: float = 0.8, functions: int = FUNCTIONS, agree: int = AGREE) -> DataFrame:
-    """``doc_id, other, spans``: passages of ``doc_id`` that the smaller document ``other`` nearly repeats.
+    """``doc_id, tag, other, spans``: passages of (doc_id, tag) that the smaller document ``other`` nearly repeats.
 
     Spans count words, ``[start, end)``.  An identical text of ``least`` words or more is one span over the whole.
     """
     width = least - shingle + 1
     plain = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    plain = tagged(plain, "doc_id", F.col("text"))
     keys = cut(text_keys(plain).where(F.col("n_words") >= least))
-    classes = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = cut(keys.join(classes.where("n > 1"), ["k1", "k2"]).where("doc_id <> rep").select("doc_id", "rep"))
-    heads = join_checked(plain, copies.select("doc_id"), "doc_id", "left_anti")
+    classes = keys.groupBy("k1", "k2").agg(F.min(node()).alias("rep"), F.max(node()).alias("last")).where("rep < last")
+    copies = cut(keys.join(classes, ["k1", "k2"]).where(node() != F.col("rep")).select(*NODE, F.col("rep.doc_id").alias("other")).distinct())
+    heads = join_checked(plain, copies.select(*NODE), NODE, "left_anti")
     rows = all_windows(heads, shingle, width, functions)
-    groups = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
-    rows = cut(rows.join(groups, "key")).withColumns({"open": F.lit(True), "led": F.lit(False)})
-    found = None
-    for turn in range(TURNS):
-        # open windows meet the smallest document that is itself open, and the smallest that a passage explains
-        least_of = lambda which: F.min(F.when(which & ~F.col("led"), F.struct("doc_id", "c", "l", "r")))
-        centres = rows.groupBy("key").agg(least_of(F.col("open")).alias("fresh"), least_of(~F.col("open")).alias("known"))
-        met = rows.join(centres, "key")
-        linked = met.where("open").withColumn("o", F.explode(F.array("fresh", "known") if turn else F.array("fresh"))).where("doc_id > o.doc_id")
-        linked = linked.select("doc_id", F.col("o.doc_id").alias("other"), "f", "l", "c", "r", F.col("o.l").alias("ol"), F.col("o.c").alias("oc"), F.col("o.r").alias("orr"))
-        sure = cut(verify(heads, cut(candidates(linked, agree, width)), shingle, similarity, width).where("size(spans) > 0"))
-        found = sure if found is None else found.unionByName(sure)
-        if turn == TURNS - 1:
-            break
-        # a verified passage closes its windows, which stay as centres for larger open ones; a centre leads only once
-        explained = F.exists("spans", lambda s: (F.col("c") >= s["start"]) & (F.col("c") < s["end"]))
-        for side in ("fresh", "known") if turn else ("fresh",):
-            met = met.withColumn("other", F.col(f"{side}.doc_id")).join(sure.select("doc_id", "other", "spans"), ["doc_id", "other"], "left")
-            met = met.withColumn("open", F.col("open") & ~F.coalesce(explained, F.lit(False))).drop("other", "spans")
-        led = F.col("led") | F.coalesce(F.col("doc_id") == F.col("fresh.doc_id"), F.lit(False)) | F.coalesce(F.col("doc_id") == F.col("known.doc_id"), F.lit(False))
-        met = cut(met.withColumn("led", led).select("key", "doc_id", "f", "l", "c", "r", "open", "led"))
-        ends = met.groupBy("key").agg(F.min(F.when(~F.col("led"), F.col("doc_id"))).alias("x"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("y")).where("x < y")
-        rows = cut(met.join(ends, "key").where("(not led and doc_id < y) or (open and doc_id > x)").drop("x", "y"))
-        if rows.isEmpty():
-            break
+    groups = rows.groupBy("key").agg(F.count("*").alias("count"), *[g(x).alias(f"{g.__name__}_{x}") for x in NODE for g in (F.min, F.max)])
+    groups = groups.where("min_doc_id < max_doc_id or min_tag < max_tag").select("key", "count")
+    rows = written(join_spread(rows, groups, "key", node(), counts=(groups := cut(groups))).drop("count"))
+    rows = rows.withColumn("open", F.lit(True))
+    linked = linked_to(rows, first_window(rows, "key"), "key", groups)
+    sure = cut(verify(heads, cut(candidates(linked, agree, width)), shingle, similarity, width))
+    rows = still_open(rows, sure)
+    ends = rows.groupBy("key").agg(F.min(node()).alias("x"), F.max(F.when(F.col("open"), node())).alias("y")).where("x < y").drop("x")
+    left = written(join_spread(rows, ends, "key", node(), counts=groups).where(node() <= F.col("y")).drop("y"))
+    rest = settle(heads, left, sure, shingle, similarity, width, functions)
+    found = sure.unionByName(rest).select(*NODE, F.col("o_doc_id").alias("other"), "spans")
     whole = F.array(F.struct(F.lit(0).cast("int").alias("start"), F.lit(2**31 - 1).cast("int").alias("end")))
-    return found.unionByName(copies.select("doc_id", F.col("rep").alias("other"), whole.alias("spans")))
+    return found.unionByName(copies.select(*NODE, "other", whole.alias("spans")))
 
 
 def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -319,25 +596,25 @@ def without_passages(text: str | None, spans) -> tuple[str, int, int]:
 
 
 def listed(found: DataFrame) -> DataFrame:
-    """``doc_id, hint, others``: all spans of each document and the documents that hold them."""
+    """``doc_id, tag, hint, others``: all spans of each document and the documents that hold them."""
     found = cut(found)
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("hint"), F.array_sort(F.collect_set("other")).alias("others"))
+    return found.groupBy(*NODE).agg(F.flatten(F.collect_list("spans")).alias("hint"), F.array_sort(F.collect_set("other")).alias("others"))
 
 
 def clean_passages(docs: DataFrame, least: int = 50, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with all their columns, without the passages that :func:`repeated_passages` finds."""
-    hints = listed(repeated_passages(docs, least, shingle, similarity)).select("doc_id", "hint")
-    return rewrite(docs, hints, lambda text, spans: without_passages(text, spans)[0])
+    hints = listed(repeated_passages(docs, least, shingle, similarity)).drop("others")
+    return rewrite(docs, hints, lambda text, spans: without_passages(text, spans)[0], NODE)
 
 
 def dedup_passages(docs: DataFrame, least: int = 50, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, text, n_words, n_repeated, others`` without the repeated passages, a row for each row of ``docs``.
 
-    ``others`` lists the smaller documents that hold a passage of this one.
+    ``others`` lists smaller documents that hold the passages of this one, at least one for each passage.
     """
     hints = listed(repeated_passages(docs, least, shingle, similarity)).withColumnRenamed("hint", "spans")
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = join_checked(plain, hints, "doc_id", "left")
+    plain = tagged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", F.col("text"))
+    both = join_checked(plain, cut(hints), NODE, "left")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, n_words, n_repeated = [], [], []

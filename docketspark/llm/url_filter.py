@@ -3,8 +3,8 @@
 Rules are entries ``host + path`` with a verdict.  Their 64-bit xxhash keys are written, sorted, to one file with
 the entries' strings behind them; Spark hands the file to every executor once and each task maps it into memory,
 so the pages are shared by all tasks of a machine and nothing is held per task.  A url asks for every suffix of
-its host with every prefix of its path that is as long as some rule's path; all questions of a batch are hashed
-and searched in the array at once, and each hit is confirmed on the stored string, so a hash collision never
+its host of no more labels than some rule's host, with every prefix of its path that is as long as some rule's path;
+all questions of a batch are hashed and searched in the array at once, and each hit is confirmed on the stored string, so a hash collision never
 decides.  Of the rules that fit, the longest one (host and path together) wins.
 
 Results for odd input: a null url, and one without ``://``, has an empty host and path and fits no rule; a null
@@ -102,6 +102,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
             continue
         verdicts.append(verdict)
     lengths = sorted({len(path) for _, path, _ in rules})
+    depth = max((host.count(".") + 1 for host, _, _ in rules), default=0)
     folder = Path(tempfile.mkdtemp(prefix="digests"))
     file = folder / f"{folder.name}.bin"
     DigestArray.write(str(file), listed)
@@ -115,11 +116,12 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
             host, path = parts(url)
             hosts.append(host)
             paths.append(path)
-            labels = host.split(".")
-            for a in range(len(labels)):
+            labels = host.rsplit(".", depth)
+            suffixes = [".".join(labels[a:]) for a in range(max(0, len(labels) - depth), len(labels))]
+            for suffix in suffixes:
                 for length in lengths:
                     if length <= len(path):
-                        asked.append((".".join(labels[a:]) + path[:length]).encode("utf-8", "surrogatepass"))
+                        asked.append((suffix + path[:length]).encode("utf-8", "surrogatepass"))
                         owners.append(k)
         best: list[str | None] = [None] * len(hosts)
         verdict = [default] * len(hosts)

@@ -157,15 +157,12 @@ def sequence_keys(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Distinct 64-bit hashes, sorted, as 48 bits each."""
-    return np.unique(values >> U(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    """Distinct 64-bit hashes, sorted."""
+    return np.unique(values).astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, 2:] = six
-    return out.view(">u8").ravel().astype(U)
+    return np.frombuffer(data, "<u8")
 
 
 def signed(values: np.ndarray) -> np.ndarray:

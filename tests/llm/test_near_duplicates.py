@@ -163,7 +163,7 @@ def test_embedding_pairs_count_once_whatever_the_row_order(spark, monkeypatch, s
     rows = [(int(k), [float(x) for x in made[k]], 1) for k in order]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(7)
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, 0.93).collect()}
-    keys = embedding_dedup.buckets(made / np.abs(made).max(axis=1)[:, None], embedding_dedup.TABLES, embedding_dedup.HASHES, embedding_dedup.PROBES)
+    keys = embedding_dedup.buckets(made / np.sqrt((made * made).sum(axis=1))[:, None], embedding_dedup.TABLES, embedding_dedup.HASHES, embedding_dedup.PROBES)
     norms, pairs = np.sqrt((made * made).sum(axis=1)), []
     for a in range(len(made)):
         for b in range(a):

@@ -61,7 +61,7 @@ def test_next_document_crosses_ranges(spark, monkeypatch):
     monkeypatch.setattr(imatch, "COARSE", 8)
     monkeypatch.setattr(imatch, "PER_RANGE", 3)
     ids = random.Random(1).sample(range(10_000), 200) + [10**15]
-    rows = imatch.with_next(spark.createDataFrame([(x, str(x)) for x in ids], "doc_id long, text string"), ["text"]).collect()
+    rows = imatch.with_next(spark.createDataFrame([(x, str(x)) for x in ids], "doc_id long, text string"), lambda x: x, ["text"]).collect()
     order = sorted(ids, reverse=True)
     assert {r.doc_id: int(r.next_text) for r in rows} == dict(zip(order, [*order[1:], order[0]], strict=True))
 
