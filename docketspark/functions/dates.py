@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
+#: Months as three letters.
+MONTHS = {
+    "JAN": "01", "FEB": "02", "MAR": "03", "APR": "04", "MAY": "05", "JUN": "06",
+    "JUL": "07", "AUG": "08", "SEP": "09", "OCT": "10", "NOV": "11", "DEC": "12",
+}
+
+
+def month_number(name: Column) -> Column:
+    """Two digits of a month's three letters in any case, null for all else."""
+    table = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    return F.try_element_at(table, F.upper(name))
 
 
 def iso(moment: Column) -> Column:
@@ -15,11 +25,21 @@ def iso(moment: Column) -> Column:
 def parse_day_month_year(text: Column) -> Column:
     """``D-MON-YYYY`` in any case to ISO text, null if it is not of that form."""
     form = r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})$"
-    month = F.call_function("instr", F.lit(MONTHS), F.upper(F.regexp_extract(text, form, 2)))
-    made = F.concat_ws(
-        "-", F.regexp_extract(text, form, 3), F.lpad(((month + 2) / 3).cast("int").cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, form, 1), 2, "0")
-    )
-    return F.when(text.rlike(form) & (month > 0), made)
+    month = month_number(F.regexp_extract(text, form, 2))
+    return F.when(text.rlike(form) & month.isNotNull(), F.concat_ws("-", F.regexp_extract(text, form, 3), month, F.lpad(F.regexp_extract(text, form, 1), 2, "0")))
+
+
+def parse_day_month(text: Column, year: Column) -> Column:
+    """``D-Mon`` in any case and a year of its own to ISO text, null if it is not of that form."""
+    form = r"^\s*(\d{1,2})-([A-Za-z]{3})\s*$"
+    month = month_number(F.regexp_extract(text, form, 2))
+    made = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month, F.lpad(F.regexp_extract(text, form, 1), 2, "0"))
+    return F.when(text.rlike(form) & month.isNotNull() & year.isNotNull(), made)
+
+
+def lookback_days(asked: Column, least: int = 1, most: int = 3650, default: int = 365) -> Column:
+    """Days to look back: within bounds, and the default where none are asked for."""
+    return F.least(F.greatest(F.coalesce(asked, F.lit(default)), F.lit(least)), F.lit(most))
 
 
 def parse_us(text: Column) -> Column:

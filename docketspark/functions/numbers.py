@@ -28,8 +28,9 @@ def pct_of(part: Column, whole: Column) -> Column:
 
 
 def lenient_number(text: Column) -> Column:
-    """The number a text begins with, null if there is none."""
-    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+\.?\d*)", 1), F.lit("")).cast("double")
+    """The number a text begins with, exponent included, null if there is none."""
+    form = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+    return F.nullif(F.regexp_extract(text, form, 1), F.lit("")).cast("double")
 
 
 def amount_range(text: Column) -> tuple[Column, Column]:

@@ -24,7 +24,9 @@ def safe_substring(text: Column, needle: str) -> Column:
     if not needle:
         return F.lit(False)
     lowered, needle = F.lower(text), needle.lower()
-    found = lowered.rlike(BOUNDARY + re.escape(needle) + BOUNDARY) if len(needle) <= 3 else lowered.contains(needle)
+    found = lowered.contains(needle)
+    if len(needle) <= 3:  # the plain search comes first and spares most texts the pattern
+        found = found & lowered.rlike(BOUNDARY + re.escape(needle) + BOUNDARY)
     return F.coalesce(found, F.lit(False))
 
 
@@ -74,11 +76,26 @@ def slug(text: Column, longest: int = 200) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-|-$", ""), 1, longest)
 
 
+def numeric_references(text: Column) -> Column:
+    """``&#8217;`` and ``&#x2019;`` as the characters they name; what names no character stays."""
+    form = r"^(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
+
+    def read(part: Column) -> Column:
+        code = F.when(part.rlike(r"^[xX]"), F.conv(F.regexp_extract(part, form, 1), 16, 10)).otherwise(F.regexp_extract(part, form, 2))
+        code = code.try_cast("long")
+        valid = part.rlike(form) & (code >= 1) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(sign, F.regexp_replace(part, form, ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), read), ""))
+
+
 def strip_html(html: Column) -> Column:
-    """Text of a page: scripts and styles go, block tags part words, entities are read, spaces squeezed."""
+    """Text of a page: scripts and styles go, block tags part words, entities and numeric references are read, spaces squeezed."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     out = F.regexp_replace(F.regexp_replace(out, BLOCK_TAGS, " "), r"<[^>]*>", "")
-    out = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), out)
+    out = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), numeric_references(out))
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 

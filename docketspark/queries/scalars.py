@@ -69,10 +69,9 @@ def q_lag_days(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {SHIPPED} SELECT o_orderkey, (SELECT count(*) FROM range(0, abs(date_diff('day', a, b))) r(i)
-WHERE isodow(least(a, b) + CAST(i AS INTEGER)) < 6) AS business_days FROM s WHERE o_orderkey % 20 = 1""")
+WHERE isodow(least(a, b) + CAST(i AS INTEGER)) < 6) AS business_days FROM s""")
 def q_business_days(t: Tables) -> DataFrame:
-    rows = _shipped(t).where("o_orderkey % 20 = 1")
-    return rows.select("o_orderkey", D.business_days(F.to_date("o_orderdate"), F.to_date("shipped")).cast("long").alias("business_days"))
+    return _shipped(t).select("o_orderkey", D.business_days(F.to_date("o_orderdate"), F.to_date("shipped")).cast("long").alias("business_days"))
 
 
 @query(f"""WITH {SHIPPED}, d AS (SELECT date_diff('day', a, b) AS n FROM s)
@@ -273,24 +272,46 @@ def q_verification(t: Tables) -> DataFrame:
     return t.orders.join(notes, "o_orderkey").select("o_orderkey", status.alias("status"))
 
 
-@query(r"""WITH s AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
-'(?i)</?(p|div|br|li|ul|ol|tr|td|th|h[1-6]|table|section|article|nav)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS x FROM pages)
+@query(r"""WITH h AS (SELECT page_id, html || ' it&#8217;s &#x41;&#' || (33 + page_id % 90) || ';&#99999999; &#x1F600; end' AS html FROM pages),
+p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
+'(?i)</?(p|div|br|li|ul|ol|tr|td|th|h[1-6]|table|section|article|nav)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&#') AS parts FROM h),
+n AS (SELECT page_id, parts[1] || array_to_string(list_transform(parts[2:], lambda x: CASE
+  WHEN regexp_matches(x, '^[xX][0-9a-fA-F]{1,6};') THEN chr(CAST('0x' || regexp_extract(x, '^[xX]([0-9a-fA-F]+);', 1) AS INTEGER)) || regexp_replace(x, '^[^;]*;', '')
+  WHEN regexp_matches(x, '^[0-9]{1,7};') THEN chr(CAST(regexp_extract(x, '^([0-9]+);', 1) AS INTEGER)) || regexp_replace(x, '^[^;]*;', '')
+  ELSE '&#' || x END), '') AS html FROM p),
+s AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS x FROM n)
 SELECT page_id, length(x) AS n, md5(x) AS digest FROM s""")
 def q_strip_html(t: Tables) -> DataFrame:
-    text = T.strip_html(F.col("html"))
+    number = (F.col("page_id") % 90 + 33).cast("string")
+    text = T.strip_html(F.concat("html", F.lit(" it&#8217;s &#x41;&#"), number, F.lit(";&#99999999; &#x1F600; end")))
     return t.pages.select("page_id", text.alias("x")).select("page_id", F.length("x").cast("long").alias("n"), F.md5(F.col("x").cast("binary")).alias("digest"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate, '%Y-%m-%d') AS b, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS c FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS a, strftime(o_orderdate, '%Y-%m-%d') AS b, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS c FROM orders""")
 def q_parse_dates(t: Tables) -> DataFrame:
-    """Three source formats read back to ISO text."""
+    """Three source formats read back to ISO text; letters that are no month give null."""
     day = F.col("o_orderdate")
-    a = D.parse_day_month_year(F.upper(F.date_format(day, "d-MMM-yyyy")))
+    a = D.parse_day_month_year(F.when(F.col("o_orderkey") % 7 == 0, "05-ANF-2020").otherwise(F.upper(F.date_format(day, "d-MMM-yyyy"))))
     b = D.parse_us(F.date_format(day, "M/d/yyyy"))
     c = D.parse_compact(F.when(F.col("o_orderkey") % 5 == 0, "00000000").otherwise(F.date_format(day, "yyyyMMdd")))
     return t.orders.select("o_orderkey", a.alias("a"), b.alias("b"), c.alias("c"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders""")
+def q_day_month(t: Tables) -> DataFrame:
+    """A day and month without a year, and the year from elsewhere."""
+    text = F.when(F.col("o_orderkey") % 7 == 0, "5-Anf").otherwise(F.date_format("o_orderdate", "d-MMM"))
+    return t.orders.select("o_orderkey", D.parse_day_month(text, F.year("o_orderdate")).alias("day"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 365 WHEN (c_custkey - 100) * 10 < 1 THEN 1
+WHEN (c_custkey - 100) * 10 > 3650 THEN 3650 ELSE (c_custkey - 100) * 10 END AS days FROM customer""")
+def q_lookback(t: Tables) -> DataFrame:
+    """Days to look back, clamped, with a default."""
+    asked = F.when(F.col("c_custkey") % 4 != 0, (F.col("c_custkey") - 100) * 10)
+    return t.customer.select("c_custkey", D.lookback_days(asked).cast("long").alias("days"))
+
+
 @query("SELECT event_id, strftime(CAST(to_timestamp(1700000000 + event_id * 997) AS TIMESTAMP), '%Y-%m-%d') AS day FROM events")
 def q_epoch_date(t: Tables) -> DataFrame:
     return t.events.select("event_id", D.epoch_date(F.lit(1700000000) + F.col("event_id") * 997).alias("day"))
@@ -335,10 +356,12 @@ def q_amount_range(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", a.alias("low"), b.alias("high"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN p_size + 0.5 WHEN 2 THEN -CAST(p_size AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS value FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN p_size + 0.5 WHEN 2 THEN -CAST(p_size AS DOUBLE)
+WHEN 3 THEN p_size * 100.0 WHEN 4 THEN 0.5 ELSE CAST(p_size AS DOUBLE) END AS value FROM part""")
 def q_lenient_numeric(t: Tables) -> DataFrame:
-    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    text = F.when(k == 0, "n/a").when(k == 1, F.concat(size, F.lit(".5 units"))).when(k == 2, F.concat(F.lit("-"), size)).otherwise(F.concat(F.lit(" "), size, F.lit("x")))
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    text = F.when(k == 0, "n/a").when(k == 1, F.concat(size, F.lit(".5 units"))).when(k == 2, F.concat(F.lit("-"), size))
+    text = text.when(k == 3, F.concat(size, F.lit("e2"))).when(k == 4, ".5 of it").otherwise(F.concat(F.lit(" "), size, F.lit("x")))
     return t.part.select("p_partkey", N.lenient_number(text).alias("value"))
 
 
