@@ -12,8 +12,29 @@ from pyspark.sql import functions as F
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: Suffixes of names that a generation adds.
 GENERATION = r"(?i),\s*(jr|sr|ii|iii|iv|v)\.?\s*$"
-#: Words of company names that say nothing of the company.
-LEGAL_WORDS = r"\b(INC(ORPORATED)?|CORP(ORATION)?|CO(MPANY)?|LTD|LIMITED|PLC|LLC|LP|HOLDINGS?|HLDGS|GROUP|GRP|TRUST|TR)\b"
+#: Abbreviations in company names.
+ABBREVIATIONS = {
+    "CTLS": "CONTROLS", "INTL": "INTERNATIONAL", "MGMT": "MANAGEMENT", "SVCS": "SERVICES", "TECHS": "TECHNOLOGIES", "COS": "COMPANIES",
+    "PHARMA": "PHARMACEUTICALS", "PHARMS": "PHARMACEUTICALS", "PHARM": "PHARMACEUTICALS", "PETE": "PETROLEUM", "PETRO": "PETROLEUM",
+    "COMMS": "COMMUNICATIONS", "COMMUN": "COMMUNICATIONS", "NATL": "NATIONAL", "INDS": "INDUSTRIES", "INDUS": "INDUSTRIES",
+    "AMER": "AMERICAN", "AMERN": "AMERICAN", "RES": "RESOURCES", "RESOURCS": "RESOURCES", "ENRGY": "ENERGY", "TR": "TRUST",
+    "HLDG": "HOLDINGS", "ENTERPRISE": "ENTERPRISES", "TELECOMM": "TELECOMMUNICATIONS", "TELECOMS": "TELECOMMUNICATIONS",
+    "ELEC": "ELECTRIC", "PWR": "POWER", "WTR": "WATER", "WKS": "WORKS", "SOUTHN": "SOUTHERN", "NORTHN": "NORTHERN", "EASTN": "EASTERN",
+    "WESTN": "WESTERN", "INDL": "INDUSTRIAL", "UTILS": "UTILITIES", "UTIL": "UTILITY", "MED": "MEDICAL", "TRANS": "TRANSPORTATION",
+    "MFG": "MANUFACTURING", "MIN": "MINING", "PROPS": "PROPERTIES", "PPTYS": "PROPERTIES", "PPTY": "PROPERTY", "PRODS": "PRODUCTS",
+    "HLTHCARE": "HEALTHCARE", "HLTH": "HEALTH", "PHARMACEUTICAL": "PHARMACEUTICALS", "THERAPS": "THERAPEUTICS", "TECH": "TECHNOLOGY",
+    "TECHNOL": "TECHNOLOGY",
+}
+#: Words of company names that say nothing of the company: legal forms, places of incorporation, states.
+LEGAL_FORMS = [
+    "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", "PLC", "LLC", "NV", "N.V", "SA", "S.A", "LP",
+    "HOLDINGS", "HOLDING", "HLDGS", "GROUP", "GRP", "TRUST", "TR",
+]
+JURISDICTIONS = [
+    "IRELAND", "BERMUDA", "SWITZ", "SWITZERLAND", "NETHERLANDS", "CAYMAN", "JERSEY", "GUERNSEY", "GIBRALTAR", "MARSHALL", "LIBERIA",
+    "SCOTLAND", "ENGLAND", "JAPAN", "KOREA", "CHINA", "GBR", "UK", "USA", "US", "DEL", "NE",
+]
+HINTS = ["NEW", "OLD", "PA", "MD", "NY", "CA", "MA"]
 #: Block tags that part words, and the named entities that pages use.
 BLOCK_TAGS = r"(?i)</?(p|div|br|li|ul|ol|tr|td|th|h[1-6]|table|section|article|nav)[^>]*>"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
@@ -49,10 +70,17 @@ def concat_nonempty(separator: str, *parts: Column) -> Column:
     return F.concat_ws(separator, *[F.nullif(F.trim(x), F.lit("")) for x in parts])
 
 
+def whole_words(words: list[str]) -> str:
+    return r"\b(?:" + "|".join(re.escape(x) for x in words) + r")\b"
+
+
 def normalize_name(name: Column) -> Column:
-    """Upper case without article, legal words, ``/XX`` tails and punctuation, single-spaced."""
-    out = F.regexp_replace(F.upper(name), r"^THE |,THE$| THE$", "")
-    for pattern in (LEGAL_WORDS, r"/[A-Z]{2,3}\b", r"[.,'\"()\\/&#-]"):
+    """Upper case with abbreviations written out, without article, legal forms, places, hints and punctuation, single-spaced."""
+    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    pieces = F.regexp_extract_all(F.upper(name), F.lit(r"\w+|\W+"), F.lit(0))
+    out = F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    out = F.regexp_replace(F.regexp_replace(out, r"^THE\s+", ""), r"[,\s]+THE\s*$", "")
+    for pattern in (whole_words(LEGAL_FORMS), whole_words(JURISDICTIONS), r"\(?" + whole_words(HINTS) + r"\)?", r"/[A-Z]{2,3}/?", r"[.,'\"()\\/&-]"):
         out = F.regexp_replace(out, pattern, " ")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 

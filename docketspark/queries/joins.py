@@ -125,11 +125,13 @@ def q_best_match(t: Tables) -> DataFrame:
     return R.rank_one(t.part.where("p_size > 5"), ["p_brand"], order).select("p_brand", "p_partkey")
 
 
-@query("""SELECT s_suppkey, s_suppkey % 3 <> 2 AS matches FROM supplier""")
+@query("""SELECT s_suppkey, s_suppkey % 5 NOT IN (2, 4) AS matches FROM supplier""")
 def q_names_match(t: Tables) -> DataFrame:
     """Variants of a name match, another name does not."""
-    k, name = F.col("s_suppkey") % 3, F.regexp_replace("s_name", "[#0-9]+", " Alpha ")
-    other = F.when(k == 0, F.concat(F.lit("The "), name, F.lit(" Corp."))).when(k == 1, F.concat(name, F.lit(" Gamma"))).otherwise("Omega Delta")
+    k, name = F.col("s_suppkey") % 5, F.regexp_replace("s_name", "[#0-9]+", " Alpha ")
+    other = F.when(k == 0, F.concat(F.lit("The "), name, F.lit(" Corp."))).when(k == 1, F.concat(name, F.lit(" Gamma")))
+    other = other.when(k == 3, F.concat(name, F.lit(" International Corp"))).when(k == 4, "Supplier Omega").otherwise("Omega Delta")
+    name = F.when(k == 3, F.concat(name, F.lit(" Intl Ltd"))).otherwise(name)
     return t.supplier.select("s_suppkey", T.names_match(name, other).alias("matches"))
 
 

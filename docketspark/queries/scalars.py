@@ -197,15 +197,13 @@ def q_suffix_strip(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", T.strip_generation(F.concat("s_name", suffix)).alias("name"))
 
 
-NAMES = "CASE s_suppkey % 3 WHEN 0 THEN 'The ' || s_name || ', Inc.' WHEN 1 THEN s_name || ' Holdings & Co /DE' ELSE s_name END"
-
-
-@query(rf"""SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper({NAMES}), '^THE |,THE$| THE$', '', 'g'),
-'\b(INC(ORPORATED)?|CORP(ORATION)?|CO(MPANY)?|LTD|LIMITED|PLC|LLC|LP|HOLDINGS?|HLDGS|GROUP|GRP|TRUST|TR)\b', ' ', 'g'), '/[A-Z]{{2,3}}\b', ' ', 'g'),
-'[.,''"()\\/&#-]', ' ', 'g'), '\s+', ' ', 'g')) AS name FROM supplier""")
+@query("""SELECT s_suppkey, upper(s_name) || CASE s_suppkey % 7 WHEN 2 THEN ' INTERNATIONAL MANAGEMENT' WHEN 3 THEN ' PHARMACEUTICALS'
+WHEN 4 THEN ' SOUTHERN POWER' WHEN 6 THEN ' TECHNOLOGY CORPORAL NEWER' ELSE '' END AS name FROM supplier""")
 def q_normalize_name(t: Tables) -> DataFrame:
-    k, name = F.col("s_suppkey") % 3, F.col("s_name")
-    full = F.when(k == 0, F.concat(F.lit("The "), name, F.lit(", Inc."))).when(k == 1, F.concat(name, F.lit(" Holdings & Co /DE"))).otherwise(name)
+    """Names with articles, abbreviations, legal forms, places and hints; only whole words count."""
+    tails = [", Inc.", " Holdings & Co /DE", " Intl Mgmt Corp (New)", " Pharm N.V. Netherlands", " Southn Pwr Co, The", " S.A. Switz /PA/", " Tech Corporal Newer"]
+    k, name = F.col("s_suppkey") % 7, F.col("s_name")
+    full = F.concat(F.when(k == 0, "The ").otherwise(""), name, F.element_at(F.array(*map(F.lit, tails)), k.cast("int") + 1))
     return t.supplier.select("s_suppkey", T.normalize_name(full).alias("name"))
 
 
