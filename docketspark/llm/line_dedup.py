@@ -262,7 +262,7 @@ class LineIndex:
         """
         listed = self.listed(rows).withColumnRenamed("hint", "gone")
         plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        both = join_checked(plain, cut(listed), "doc_id", "left")
+        both = plain.join(listed.hint("merge"), "doc_id", "left")  # hints grow with the corpus, so they are never broadcast
         least = self.min_chars
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

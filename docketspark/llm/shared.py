@@ -180,7 +180,7 @@ def rewrite(docs: DataFrame, hints: DataFrame, work: Callable[[str | None, objec
     All columns and rows are kept; ``n_chars``, where it exists, follows the text.
     """
     names = list(docs.columns)
-    joined = join_checked(numbered(docs), cut(hints.select(*on, "hint")), on, "left")
+    joined = numbered(docs).join(hints.select(*on, "hint").hint("merge"), on, "left")  # hints grow with the corpus
     joined = joined.select(*[F.col("text") if x == "text" else F.col(f"c{k}") for k, x in enumerate(names)], "hint").toDF(*[f"c{k}" for k in range(len(names))], "hint")
 
     def change(batch: pa.RecordBatch) -> pa.RecordBatch:
