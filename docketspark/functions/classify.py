@@ -74,3 +74,28 @@ def role_flags(text: Column) -> dict[str, Column]:
         "is_ten_percent": upper.contains("10") | upper.contains("TEN") | upper.contains("PERCENT"),
         "is_other": upper.contains("OTHER"),
     }
+
+
+#: Exchange codes of US listings, and the one-letter tickers that are real.
+US_EXCHANGES = ["US", "UN", "UQ", "UR", "UW", "UA", "UV", "UF", "UP", "UD", "UB"]
+ONE_LETTER = ["V", "C", "F", "T", "S", "X", "K", "M", "O", "U", "Z"]
+
+
+def bad_ticker(ticker: Column) -> Column:
+    """Whether a text is no plausible equity ticker: none, with white space, ending in USD, or an unknown single letter."""
+    alone = (F.length(ticker) == 1) & ~F.upper(ticker).isin(ONE_LETTER)
+    return F.coalesce(ticker == "", F.lit(True)) | F.coalesce(ticker.rlike(r"\s") | F.upper(ticker).endswith("USD") | alone, F.lit(True))
+
+
+def filer_type(position: Column) -> Column:
+    """``cabinet`` for secretaries (one misspelling included) and attorneys general, not their deputies; blank is ``other``."""
+    low = F.lower(F.coalesce(position, F.lit("")))
+    heads = low.rlike(r"secret\w{0,4}ary") | low.contains("attorney general")
+    below = low.rlike(r"\b(deputy|under|assistant|acting)\b")
+    return F.when(heads & ~below, "cabinet").when(F.trim(low) == "", "other").otherwise("appointee")
+
+
+def owner(text: Column) -> Column:
+    """Who holds an asset by its text: a dependent before a spouse, else the filer."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike(r"\bdependent\b"), "dependent").when(low.rlike(r"\bspouse'?s?\b"), "spouse").otherwise("self")

@@ -81,3 +81,28 @@ def unique_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Keys that lead to exactly one value, with it; ambiguous keys are left out."""
     counted = df.groupBy(*keys).agg(F.count_distinct(value).alias("__n"), F.min(value).alias(value))
     return counted.where("__n = 1").drop("__n")
+
+
+def position_changes(now: DataFrame, before: DataFrame, holder: str, key: str, value: str, verified: str) -> DataFrame:
+    """Each holder's positions against the period before, and what can't be known.
+
+    ``verified`` says of each row of ``now`` whether its filing was complete.  A holder without any earlier position,
+    or with an incomplete filing, gets ``INSUFFICIENT_DATA`` and no change on all rows; only for the others do earlier
+    positions that are missing now come back as ``closed``, with a value of 0.  Holders without a row in ``now`` are
+    left out.
+    """
+    filings = now.groupBy(holder).agg(F.bool_and(F.coalesce(F.col(verified), F.lit(False))).alias("__whole"))
+    states = filings.join(before.select(holder).distinct().withColumn("__prior", F.lit(True)), holder, "left")
+    left = now.select(holder, key, F.col(value).alias("now"), F.lit(True).alias("__held"))
+    both = left.join(before.select(holder, key, F.col(value).alias("before")), [holder, key], "full_outer").join(states, holder)
+    sure, gone = F.col("__whole") & F.coalesce("__prior", F.lit(False)), F.col("__held").isNull()
+    both = both.withColumn("__sure", sure).where(~gone | (F.col("__sure") & (F.col("before") != 0)))
+    fresh, held = F.coalesce("before", F.lit(0)) == 0, F.when(gone, 0).otherwise(F.col("now"))
+    change = held - F.coalesce("before", F.lit(0))
+    kind = F.when(~F.col("__sure"), "INSUFFICIENT_DATA").when(gone, "closed").when(fresh, "new")
+    kind = kind.when(change > 0, "increased").when(change < 0, "decreased").otherwise("unchanged")
+    pct = F.floor(change / F.col("before") * 10000 + 0.5) / 100
+    return both.select(
+        holder, key, held.alias("now"), F.when(F.col("__sure"), change).alias("change"),
+        F.when(F.col("__sure") & (F.col("before") > 0), pct).alias("pct"), kind.alias("position_change"),
+    )

@@ -55,3 +55,24 @@ def notice(
     if truncated and (before or after):
         return f"partial coverage on the {side} side: {held}"
     return None
+
+
+def unanchored(name: str | None, *anchors: str | None) -> str | None:
+    """What to say of a search by name alone, which finds a person's spellings and not the person."""
+    return f"the search for '{name}' has no identifier beside the name, so an empty or short answer proves nothing" if name and not any(anchors) else None
+
+
+def beyond(until: list[str] | None, loaded_through: str | None) -> str | None:
+    """What to say of a window that ends after the last day that was loaded."""
+    end = max(until or [], default=None)
+    return f"loaded through {loaded_through} only; later days are missing" if end and loaded_through and end > loaded_through else None
+
+
+def narrowed(field: str, value: object, absent: str) -> str | None:
+    """What to say of a filter on a field that one kind of record never has."""
+    return f"the filter on {field} leaves out {absent}, which never have it" if value else None
+
+
+def joined(*notices: str | None) -> str | None:
+    """All notices that apply, in order; a later one adds to the earlier ones."""
+    return "; ".join(x for x in notices if x) or None

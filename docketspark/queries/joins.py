@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import classify as C
 from ..functions import text as T
 from ..functions.dates import iso
 from ..operators import relational as R
@@ -165,6 +166,35 @@ def q_position_change(t: Tables) -> DataFrame:
     return compared.withColumn("pct", F.when(F.col("now").isNull(), -100.0).when(F.coalesce("before", F.lit(0.0)) > 0, pct))
 
 
+@query(f"""WITH {HELD}, n AS (SELECT *, l_suppkey % 7 <> 0 AS whole FROM h WHERE q = DATE '1998-04-01'), b AS (SELECT * FROM h WHERE q = DATE '1998-01-01' AND l_suppkey % 5 <> 0),
+s AS (SELECT l_suppkey, bool_and(whole) AND l_suppkey IN (SELECT l_suppkey FROM b) AS sure FROM n GROUP BY l_suppkey),
+j AS (SELECT coalesce(n.l_suppkey, b.l_suppkey) AS l_suppkey, coalesce(n.p_brand, b.p_brand) AS p_brand, n.shares AS held, coalesce(n.shares, 0) AS now, coalesce(b.shares, 0) AS before
+FROM n FULL JOIN b ON n.l_suppkey = b.l_suppkey AND n.p_brand = b.p_brand)
+SELECT l_suppkey, p_brand, now, CASE WHEN sure THEN now - before END AS change, CASE WHEN sure AND before > 0 THEN floor((now - before) / before * 10000 + 0.5) / 100 END AS pct,
+CASE WHEN NOT sure THEN 'INSUFFICIENT_DATA' WHEN held IS NULL THEN 'closed' WHEN before = 0 THEN 'new' WHEN now > before THEN 'increased' WHEN now < before THEN 'decreased' ELSE 'unchanged' END AS position_change
+FROM j JOIN s USING (l_suppkey) WHERE held IS NOT NULL OR (sure AND before <> 0)""")
+def q_position_states(t: Tables) -> DataFrame:
+    """Position changes where some suppliers' quarters are incomplete and others have no quarter before."""
+    held = _held(t)
+    now, before = (held.where(F.col("q") == F.lit(day).cast("date")).drop("q") for day in ("1998-04-01", "1998-01-01"))
+    whole = now.withColumn("whole", F.col("l_suppkey") % 7 != 0)
+    return R.position_changes(whole, before.where("l_suppkey % 5 <> 0"), "l_suppkey", "p_brand", "shares", "whole")
+
+
+@query("""WITH c AS (SELECT p_brand, p_type, p_size % 2 = 0 AS known, CASE p_partkey % 5 WHEN 0 THEN 'T' || p_partkey WHEN 1 THEN 'P' WHEN 2 THEN 'A' || p_partkey || 'usd' WHEN 3 THEN 'X 09/16' ELSE 'k' END AS ticker,
+CASE p_size % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'UW' ELSE 'LN' END AS exchange FROM part),
+s AS (SELECT p_brand, ticker, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN contains(lower(p_type), 'steel') THEN 0 ELSE 1 END, CASE WHEN known THEN 0 ELSE 1 END, length(ticker), ticker) AS rn
+FROM c WHERE exchange <> 'LN' AND ticker NOT IN ('P', 'X 09/16') AND NOT contains(ticker, 'usd')) SELECT p_brand, ticker FROM s WHERE rn = 1""")
+def q_identifier_choice(t: Tables) -> DataFrame:
+    """Of a key's candidates those on US exchanges with a plausible ticker, common stock and known ones first, then the shortest."""
+    k, number = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    ticker = F.when(k == 0, F.concat(F.lit("T"), number)).when(k == 1, "P").when(k == 2, F.concat(F.lit("A"), number, F.lit("usd"))).when(k == 3, "X 09/16").otherwise("k")
+    exchange = F.when(F.col("p_size") % 3 == 0, "us").when(F.col("p_size") % 3 == 1, "UW").otherwise("LN")
+    rows = t.part.select("p_brand", F.lower("p_type").contains("steel").alias("common"), (F.col("p_size") % 2 == 0).alias("known"), ticker.alias("ticker"), exchange.alias("exchange"))
+    good = rows.where(F.upper("exchange").isin(C.US_EXCHANGES) & ~C.bad_ticker(F.col("ticker")))
+    return R.rank_one(good, ["p_brand"], [F.desc("common"), F.desc("known"), F.length("ticker"), F.asc("ticker")]).select("p_brand", "ticker")
+
+
 @query(f"""WITH {HELD}, s AS (SELECT l_suppkey, q, sum(shares) AS shares FROM h GROUP BY 1, 2)
 SELECT a.l_suppkey, strftime(a.q, '%Y-%m-%d') AS quarter, a.shares, b.shares AS prior_shares FROM s a LEFT JOIN s b ON a.l_suppkey = b.l_suppkey AND b.q = a.q - INTERVAL 3 MONTH""")
 def q_prior_period(t: Tables) -> DataFrame:

@@ -256,6 +256,17 @@ def q_regex_ladder(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", grade.alias("grade"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'cabinet' WHEN 2 THEN 'cabinet' WHEN 3 THEN 'other' WHEN 4 THEN 'cabinet' ELSE 'appointee' END AS filer_type,
+CASE p_partkey % 4 WHEN 0 THEN 'spouse' WHEN 1 THEN 'dependent' ELSE 'self' END AS owner FROM part""")
+def q_filer_type(t: Tables) -> DataFrame:
+    """Filer types of positions, and owners of assets, by their words."""
+    k, j, name = F.col("p_partkey") % 6, F.col("p_partkey") % 4, F.col("p_name")
+    position = F.when(k == 0, F.concat(F.lit("Secretary of "), name)).when(k == 1, F.concat(F.lit("Acting Secretary of "), name)).when(k == 2, "Attorney General")
+    position = position.when(k == 3, "  ").when(k == 4, "Secretrary of Defense").otherwise(F.concat(name, F.lit(" Counsel")))
+    asset = F.when(j == 0, F.concat(name, F.lit(" (Spouse's trust)"))).when(j == 1, F.concat(name, F.lit(", spouse and Dependent child"))).when(j == 2, F.concat(name, F.lit(" dependents")))
+    return t.part.select("p_partkey", C.filer_type(position).alias("filer_type"), C.owner(asset).alias("owner"))
+
+
 @query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]{3,}')) / greatest(len(string_split(text, chr(10))), 1) <= 5 AS needs_ocr FROM documents""")
 def q_word_density(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", C.word_density_low(F.col("text"), F.size(F.split("text", "\n"))).alias("needs_ocr"))

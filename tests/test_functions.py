@@ -147,3 +147,27 @@ def test_strip_html(spark):
 def test_hash_id_keeps_empty_slots(spark):
     same = one(spark, T.hash_id(F.col("a"), F.lit(None).cast("string"), F.col("b")), a="x", b="y")
     assert same == one(spark, F.substring(F.sha1(F.lit("X||Y").cast("binary")), 1, 12)) != one(spark, T.hash_id(F.col("a"), F.col("b")), a="x", b="y")
+
+
+@pytest.mark.parametrize(
+    ("ticker", "bad"),
+    [(None, True), ("", True), ("P", True), ("k", False), ("K", False), ("NCSUSD", True), ("ncsusd", True), ("RNA 09/16/22 P5", True), ("BRK-A", False), ("USDX", False)],
+)
+def test_bad_ticker(spark, ticker, bad):
+    assert one(spark, C.bad_ticker(F.col("x").cast("string")), x=ticker) is bad
+
+
+@pytest.mark.parametrize(
+    ("position", "wanted"),
+    [
+        ("Secretary of State", "cabinet"), ("SECRETRARY", "cabinet"), ("Attorney General", "cabinet"), ("Deputy Attorney General", "appointee"),
+        ("Under Secretary", "appointee"), ("Undersecretary", "cabinet"), (" ", "other"), ("", "other"), (None, "other"), ("Counsel", "appointee"),
+    ],
+)
+def test_filer_type(spark, position, wanted):
+    assert one(spark, C.filer_type(F.col("x").cast("string")), x=position) == wanted
+
+
+@pytest.mark.parametrize(("text", "wanted"), [("Spouse and dependent child", "dependent"), ("spouse's IRA", "spouse"), ("spouses", "spouse"), ("", "self"), (None, "self")])
+def test_owner(spark, text, wanted):
+    assert one(spark, C.owner(F.col("x").cast("string")), x=text) == wanted

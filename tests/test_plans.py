@@ -101,6 +101,14 @@ def test_known_gap_comes_first():
     assert coverage.notice(coverage.Coverage(None, None), 0, False, known_gap="gap", shallow="shallow") == "gap"
 
 
+def test_notices_add_up():
+    assert coverage.joined(None, None) is None and coverage.joined("a", None, "b") == "a; b"
+    assert "'Ann'" in coverage.unanchored("Ann", None, "") and coverage.unanchored("Ann", None, "17") is None and coverage.unanchored(None) is None
+    assert "2024-03-01" in coverage.beyond(["2024-01-01", "2024-03-02"], "2024-03-01")
+    assert coverage.beyond(["2024-03-01"], "2024-03-01") is None and coverage.beyond([], "2024-03-01") is None and coverage.beyond(["2024-03-02"], None) is None
+    assert "class" in coverage.narrowed("class", "II", "recalls of goods") and coverage.narrowed("class", None, "recalls of goods") is None
+
+
 def test_fan_out_isolates_a_broken_source(spark, table):
     good = fanout.Source("good", lambda: table, lambda i: F.col("name") == i["name"], (F.desc("day"), F.asc("id")), F.to_json(F.struct("*")), F.col("id"))
     bad = fanout.Source("bad", lambda: table, lambda i: F.col("nothing") == 1, (F.asc("id"),), F.lit(""), F.col("id"))
@@ -132,3 +140,19 @@ def test_guarded_prune(spark):
     assert {r.k for r in R.guarded_prune(have, have.where("k < 7"), "k").collect()} == {7, 8, 9}
     assert R.guarded_prune(have, have.where("k < 4"), "k").isEmpty()
     assert R.guarded_prune(have.where("k > 99"), have, "k").isEmpty()
+
+
+def test_position_changes_say_what_is_unknown(spark):
+    now = [("whole", "a", 5, True), ("whole", "b", 2, True), ("whole", "c", 3, True), ("cut", "a", 5, False), ("first", "a", 5, True), ("none", "a", 1, None)]
+    before = [("whole", "a", 4), ("whole", "b", 2), ("whole", "d", 9), ("whole", "e", 0), ("cut", "a", 4), ("cut", "z", 4), ("gone", "a", 4), ("none", "a", 1)]
+    rows = R.position_changes(spark.createDataFrame(now, "h string, k string, v long, ok boolean"), spark.createDataFrame(before, "h string, k string, v long"), "h", "k", "v", "ok")
+    unknown = (None, None, "INSUFFICIENT_DATA")
+    assert {(r.h, r.k): (r.now, r.change, r.pct, r.position_change) for r in rows.collect()} == {
+        ("whole", "a"): (5, 1, 25.0, "increased"),
+        ("whole", "b"): (2, 0, 0.0, "unchanged"),
+        ("whole", "c"): (3, 3, None, "new"),
+        ("whole", "d"): (0, -9, -100.0, "closed"),
+        ("cut", "a"): (5, *unknown),
+        ("first", "a"): (5, *unknown),
+        ("none", "a"): (1, *unknown),
+    }
