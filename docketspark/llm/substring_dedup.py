@@ -557,7 +557,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, shingle: int = 5, simila
     rows = all_windows(heads, shingle, width, functions)
     groups = rows.groupBy("key").agg(F.count("*").alias("count"), *[g(x).alias(f"{g.__name__}_{x}") for x in NODE for g in (F.min, F.max)])
     groups = groups.where("min_doc_id < max_doc_id or min_tag < max_tag").select("key", "count")
-    rows = written(join_spread(rows, groups, "key", node(), counts=(groups := cut(groups))).drop("count"))
+    groups = cut(groups)  # before the join, which would find all windows anew
+    rows = written(join_spread(rows, groups, "key", node(), counts=groups).drop("count"))
     rows = rows.withColumn("open", F.lit(True))
     linked = linked_to(rows, first_window(rows, "key"), "key", groups)
     sure = cut(verify(heads, cut(candidates(linked, agree, width)), shingle, similarity, width))
