@@ -278,10 +278,16 @@ def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, ga
         return []
     place = order[at[hits]]
 
+    step, jump = np.diff(hits), np.abs(np.diff(place) - 1)
+    one_plain, two_plain = (not (x[1:] == x[:-1]).any() for x in (np.sort(one), ranked))
+
     def similar(i: int, j: int) -> bool:
-        a, b = np.unique(one[hits[i] : hits[j] + 1]), np.unique(two[place[i : j + 1].min() : place[i : j + 1].max() + 1])
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= similarity * (len(a) + len(b) - both)
+        low, high = int(place[i : j + 1].min()), int(place[i : j + 1].max()) + 1
+        # a matched shingle's first place in ``two`` lies in that stretch, so the sets share what is matched and no more
+        both = j + 1 - i if one_plain else len(np.unique(one[hits[i : j + 1]]))
+        a = int(hits[j] - hits[i]) + 1 if one_plain else len(np.unique(one[hits[i] : hits[j] + 1]))
+        b = high - low if two_plain else len(np.unique(two[low:high]))
+        return both >= similarity * (a + b - both)
 
     out = []
 
@@ -294,9 +300,9 @@ def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, ga
             split(i, j, reach // 2 if strict else reach, True)
 
     def split(i: int, j: int, reach: int, strict: bool) -> None:
-        apart = np.diff(hits[i : j + 1]) > reach + 1
+        apart = step[i:j] > reach + 1
         if strict:
-            apart |= np.abs(np.diff(place[i : j + 1]) - 1) > reach
+            apart |= jump[i:j] > reach
         begin = i
         for k in [*(np.flatnonzero(apart) + i).tolist(), j]:
             settle(begin, k, reach, strict)
