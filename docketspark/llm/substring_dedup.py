@@ -440,8 +440,8 @@ def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int
         held = [text[names[o]] for o in others]
         values, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
         known, at = np.unique(values, return_inverse=True)
-        marks = np.zeros((len(held), len(known)), np.int16)
-        marks[owner, at] = 1
+        code = np.unique(at * len(held) + owner)  # each shingle of a window once
+        holder, begin = code % len(held), np.searchsorted(code, np.arange(len(known) + 1) * len(held))
         for k in asking:
             node, mine = names[k][:2], text[names[k]]
             centre = int(middle[k] - start[k])
@@ -449,14 +449,22 @@ def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int
                 continue  # another group of this call has explained it
             if names[k] not in needs:
                 needs[names[k]] = similarity * fewest(mine, width)
-            place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            hits = np.where(known[place] == mine, marks[:, place], 0)
-            total = np.concatenate([np.zeros((len(held), 1), np.int64), np.cumsum(hits, axis=1)], axis=1)
             low, high = max(0, centre - width + 1), min(centre, len(mine) - width)
-            best = (total[:, low + width : high + width + 1] - total[:, low : high + 1]).max(axis=1)
-            for row in np.flatnonzero(best >= needs[names[k]]):
-                if names[others[row]][:2] >= node:
-                    break  # larger documents follow in this order
+            around = mine[low : high + width]
+            place = np.minimum(np.searchsorted(known, around), len(known) - 1)
+            spot = np.flatnonzero(known[place] == around)
+            first_holder, counts = begin[place[spot]], begin[place[spot] + 1] - begin[place[spot]]
+            row = holder[np.repeat(first_holder - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+            smaller = (doc[others] < node[0]) | ((doc[others] == node[0]) & (tag[others] < node[1]))
+            enough = smaller & (np.bincount(row, minlength=len(held)) >= needs[names[k]])
+            if not enough.any():
+                continue
+            kept = enough[row]
+            marks = np.zeros((int(enough.sum()), len(around) + 1), np.int32)
+            marks[(np.cumsum(enough) - 1)[row[kept]], np.repeat(spot, counts)[kept] + 1] = 1
+            total = np.cumsum(marks, axis=1)
+            best = (total[:, width:] - total[:, :-width]).max(axis=1)
+            for row in np.flatnonzero(enough)[best >= needs[names[k]]]:
                 near = (*node, middle[k] // NEAR, *names[others[row]][:2], start[others[row]] - start[k])
                 if near in tried:
                     continue
