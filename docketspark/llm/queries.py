@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, imatch, line_dedup, minhash_dedup, packing, quality, sentencepiece_numpy, substring_dedup, toxicity, url_filter
+from . import embedding_dedup, fill_in_middle, imatch, line_dedup, minhash_dedup, packing, quality, resampling, secret_scan, sentencepiece_numpy, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,3 +173,67 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as token pieces in sequences of at most 1024; see :func:`packing.pack`."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@query
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of the patterns and of the assignment-aware lexer in every text; see :mod:`secret_scan`."""
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    counts = [secret_scan.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(F.col("spans"), base=True), 256).alias("base_sha256"), secret_scan.listed(F.col("spans"), base=False).alias("spans"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text transformed over compressed frames and rebuilt, as digests; see :mod:`fill_in_middle`."""
+    rates = fill_in_middle.Rates(seed=42, transformed=50, suffix_first=80)
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(fill_in_middle.store(table(spark, folder, "documents")), rates))
+
+
+SQL["op12_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
+cut AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+  ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+  ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+form AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+    WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM form)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn by how much likelier their n-grams are in ``benchmark``; see :mod:`resampling`."""
+    drawn = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), buckets=10_000, percent=5, least_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 from its table, a byte at a time; only distinct n-grams are hashed.
+SQL["op13_importance_resampling"] = r"""
+WITH RECURSIVE bits AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+words AS (SELECT src, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 0 AS src, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)),
+grams AS (SELECT src, id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram FROM words, range(1, 4) r(k)),
+counted AS (SELECT src, id, gram, count(*) AS n FROM grams GROUP BY ALL),
+hexed AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM counted)),
+parsed AS (SELECT gram, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)) AS b FROM hexed),
+buckets AS (SELECT gram, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM parsed, steps),
+placed AS (SELECT src, id, bucket, n FROM counted JOIN buckets USING (gram)),
+sums AS (SELECT r.i AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t, sum(coalesce(s, 0)) OVER () AS all_s, sum(coalesce(t, 0)) OVER () AS all_t
+  FROM range(10000) r(i) LEFT JOIN (SELECT bucket, sum(n) FILTER (WHERE src = 0) AS s, sum(n) FILTER (WHERE src = 1) AS t FROM placed GROUP BY bucket) p ON p.bucket = r.i),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM sums),
+weights AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM placed JOIN gains USING (bucket) WHERE src = 0 GROUP BY id),
+scored AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (id) WHERE src = 0),
+ranked AS (SELECT doc_id, rank() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
