@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as T
 from ..functions.dates import iso
+from ..operators import entities as E
 from ..operators import relational as R
 from ..plans import fanout
+from ..session import fresh_folder
+from ..streaming import manifest
 from .base import Tables, query
 
 
@@ -76,7 +79,7 @@ t4 AS (SELECT n_nationkey AS nat, TIMESTAMP '1995-01-01' + INTERVAL (n_nationkey
 m4 AS (SELECT q.o_orderkey, min(t4.id) AS id FROM q JOIN t4 ON q.nat = t4.nat AND q.d BETWEEN t4.a AND t4.b GROUP BY 1 HAVING count(DISTINCT t4.id) = 1)
 SELECT q.o_orderkey, coalesce(t1.id, t2.id, t3.id, m4.id) AS id, CASE WHEN t1.id IS NOT NULL THEN 1 WHEN t2.id IS NOT NULL THEN 2 WHEN t3.id IS NOT NULL THEN 3 WHEN m4.id IS NOT NULL THEN 4 END AS tier
 FROM q LEFT JOIN t1 ON q.ref = t1.ref AND q.nat = t1.nat LEFT JOIN t2 ON q.nat = t2.nat AND q.seg = t2.seg LEFT JOIN t3 ON q.ref = t3.ref LEFT JOIN m4 ON m4.o_orderkey = q.o_orderkey""")
-def q_tiered_resolution(t: Tables) -> DataFrame:
+def q_tiered_keys(t: Tables) -> DataFrame:
     """Four ordered tiers, each a join on keys that lead to exactly one entity; the last by a term's interval."""
     seg = F.when(F.col("o_orderkey") % 4 == 0, "AUTOMOBILE").when(F.col("o_orderkey") % 4 == 1, "BUILDING").otherwise("NONE")
     asked = t.orders.select(
@@ -95,6 +98,65 @@ def q_tiered_resolution(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", F.coalesce(*ids).alias("id"), tier.alias("tier"))
 
 
+def _members(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customers as the current roster, parts as former members with three terms each."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("Name"), (k % 400).cast("string"))
+    roster = t.customer.select(
+        F.concat(F.lit("B"), k.cast("string")).alias("id"), F.when(k % 3 == 0, "senate").otherwise("house").alias("chamber"),
+        F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("state"), F.when(k % 5 == 0, F.concat(F.lit("De "), name)).otherwise(name).alias("last"),
+        F.concat(F.lit("F"), (k % 7).cast("string")).alias("first"), F.when(k % 4 > 0, F.concat(F.lit("N"), (k % 3).cast("string"))).alias("nickname"),
+        F.substring("c_mktsegment", 1, 1).alias("party"), k.alias("seq"),
+    )
+    p = F.col("p_partkey")
+    former = t.part.select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
+    day = lambda extra: F.date_format(F.date_add(F.lit("1993-01-01").cast("date"), (F.col("p_size") * 40 + F.col("n") * 900 + extra).cast("int")), "yyyy-MM-dd")
+    terms = former.select(
+        F.concat(F.lit("H"), p.cast("string")).alias("id"), F.concat(F.lit("NAME"), (p % 450).cast("string")).alias("last"),
+        F.when((p + F.col("n")) % 3 == 0, "house").otherwise("senate").alias("chamber"), F.concat(F.lit("S"), ((F.col("p_size") + F.col("n")) % 25).cast("string")).alias("state"),
+        day(0).alias("start"), day(700).alias("end"), F.when(p % 2 == 0, "R").alias("party"), F.col("n").alias("seq"),
+    )
+    return roster, terms
+
+
+@query(r"""WITH roster AS (SELECT 'B' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'senate' ELSE 'house' END AS chamber, 'S' || c_nationkey AS state,
+  CASE WHEN c_custkey % 5 = 0 THEN 'de ' ELSE '' END || 'name' || (c_custkey % 400) AS last, 'f' || (c_custkey % 7) AS first,
+  CASE WHEN c_custkey % 4 > 0 THEN 'n' || (c_custkey % 3) ELSE '' END AS nickname, c_mktsegment[1] AS party, c_custkey AS seq FROM customer),
+terms AS (SELECT 'H' || p_partkey AS id, 'name' || (p_partkey % 450) AS last, CASE WHEN (p_partkey + n) % 3 = 0 THEN 'house' ELSE 'senate' END AS chamber,
+  'S' || ((p_size + n) % 25) AS state, CAST(DATE '1993-01-01' + CAST(p_size * 40 + n * 900 AS INTEGER) AS VARCHAR) AS a, CAST(DATE '1993-01-01' + CAST(p_size * 40 + n * 900 + 700 AS INTEGER) AS VARCHAR) AS b,
+  CASE WHEN p_partkey % 2 = 0 THEN 'R' ELSE '' END AS party, n FROM part, range(3) r(n)),
+rows AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'GIVEN' ELSE '' END AS given_id, CASE WHEN o_orderkey % 2 = 0 THEN 'senate' ELSE 'house' END AS chamber,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 's' || (o_custkey % 25) END AS state, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE 'NAME' || (o_custkey % 470) || CASE WHEN o_orderkey % 7 = 0 THEN ', Jr.' ELSE '' END END AS last,
+  CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'N' || (o_orderkey % 3) ELSE ' F' || (o_orderkey % 7) || ' Q.' END AS first,
+  CASE WHEN o_orderkey % 11 > 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN o_orderkey % 2 = 0 THEN '1996-06-01' ELSE '' END AS d, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE '' END AS party FROM orders),
+q AS (SELECT *, upper(state) AS st, trim(regexp_replace(lower(last), ',\s*(jr|sr|ii|iii|iv|v)\.?\s*$', '')) AS l, split_part(trim(lower(first)), ' ', 1) AS g FROM rows),
+t1 AS (SELECT chamber, state, last, max_by(id, seq) AS id FROM roster GROUP BY ALL),
+t2 AS (SELECT last, min(id) AS id FROM roster WHERE chamber = 'senate' GROUP BY last HAVING count(*) = 1),
+t2n AS (SELECT o_orderkey, min(r.id) AS id FROM q JOIN roster r ON q.chamber = 'senate' AND r.chamber = 'senate' AND r.last = q.l AND q.g <> '' AND (r.first = q.g OR r.nickname = q.g) GROUP BY 1 HAVING count(*) = 1),
+t3 AS (SELECT o_orderkey, min(r.id) AS id FROM q JOIN roster r ON r.chamber = q.chamber AND split_part(r.last, ' ', -1) = q.l AND r.last <> q.l AND (q.st = '' OR q.st = r.state) WHERE q.l <> '' GROUP BY 1 HAVING count(*) = 1),
+t4 AS (SELECT o_orderkey, min(id) AS id FROM (SELECT DISTINCT o_orderkey, x.id, x.state FROM q JOIN terms x ON x.chamber = q.chamber AND x.last = q.l AND x.a <= q.d AND q.d <= x.b
+  AND (x.state = q.st OR (q.st = '' AND q.chamber = 'senate')) WHERE q.l <> '' AND q.d <> '') GROUP BY 1 HAVING count(*) = 1),
+found AS (SELECT q.*, CASE WHEN q.st <> '' AND q.l <> '' THEN t1.id END AS i1, CASE WHEN q.chamber = 'senate' AND q.l <> '' THEN coalesce(t2.id, t2n.id) END AS i2, t3.id AS i3, t4.id AS i4
+  FROM q LEFT JOIN t1 ON t1.chamber = q.chamber AND t1.state = q.st AND t1.last = q.l LEFT JOIN t2 ON t2.last = q.l LEFT JOIN t2n USING (o_orderkey) LEFT JOIN t3 USING (o_orderkey) LEFT JOIN t4 USING (o_orderkey)),
+picked AS (SELECT *, coalesce(i1, i2, i3, i4) AS hit, CASE WHEN i1 IS NOT NULL THEN 1 WHEN i2 IS NOT NULL THEN 2 WHEN i3 IS NOT NULL THEN 3 WHEN i4 IS NOT NULL THEN 4 END AS tr FROM found),
+facts AS (SELECT id, max_by(party, seq) AS party, max_by(state, seq) AS state FROM roster GROUP BY id UNION ALL SELECT id, min_by(party, n), min_by(state, n) FROM terms GROUP BY id)
+SELECT o_orderkey, CASE WHEN given_id <> '' THEN given_id ELSE coalesce(hit, '') END AS id, CASE WHEN given_id = '' THEN tr END AS tier,
+  CASE WHEN given_id = '' AND hit IS NOT NULL AND p.party = '' THEN coalesce(f.party, '') ELSE p.party END AS party,
+  CASE WHEN given_id = '' AND hit IS NOT NULL AND p.state = '' THEN coalesce(f.state, '') ELSE p.state END AS state
+FROM picked p LEFT JOIN facts f ON f.id = p.hit""")
+def q_tiered_resolution(t: Tables) -> DataFrame:
+    """Orders that name a member, led to current and former members through four tiers; see :mod:`..operators.entities`."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    last = F.concat(F.lit("NAME"), (c % 470).cast("string"), F.when(k % 7 == 0, ", Jr.").otherwise(""))
+    first = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit("N"), (k % 3).cast("string"))).otherwise(F.concat(F.lit(" F"), (k % 7).cast("string"), F.lit(" Q.")))
+    rows = t.orders.select(
+        "o_orderkey", F.when(k % 13 == 0, "GIVEN").otherwise("").alias("id"), F.when(k % 2 == 0, "senate").otherwise("house").alias("chamber"),
+        F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("s"), (c % 25).cast("string"))).alias("state"), F.when(k % 17 == 0, "").otherwise(last).alias("last"), first.alias("first"),
+        F.when(k % 11 > 0, iso(F.col("o_orderdate"))).alias("date"), F.when(k % 2 == 0, "1996-06-01").alias("disclosed"), F.when(k % 4 == 0, "X").otherwise("").alias("party"),
+    )
+    return E.resolve(rows, *_members(t)).select("o_orderkey", "id", F.col("tier").cast("int").alias("tier"), "party", "state")
+
+
 @query("""WITH p AS (SELECT s_suppkey, nullif(CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END, '') AS a, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT s_suppkey, coalesce(a, CASE WHEN s_suppkey % 3 = 0 THEN n_name END, 'unknown') AS ticker FROM p""")
 def q_fallback_chain(t: Tables) -> DataFrame:
@@ -227,12 +289,28 @@ def q_present(t: Tables) -> DataFrame:
 @query("""WITH b AS (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) AND o_orderstatus <> 'F')
 SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS backlog FROM b ORDER BY o_orderdate, o_orderkey LIMIT 100""")
 def q_backlog(t: Tables) -> DataFrame:
-    """What is not loaded and not marked as final, oldest first, capped, with the total."""
-    done = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))
-    waiting = t.orders.where("o_orderstatus <> 'F'").join(done, "o_orderkey", "left_anti")
-    total = waiting.agg(F.count("*").alias("backlog")).withColumn("one", F.lit(1))
-    first = R.top(waiting, [F.asc("o_orderdate"), F.asc("o_orderkey")], 100).select("o_orderkey", "rn", F.lit(1).alias("one"))
-    return first.join(F.broadcast(total), "one").drop("one")
+    """What is not loaded and has no terminal marker, oldest first, capped, with the total."""
+    loaded = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("unit"), F.lit("completed").alias("state")).distinct()
+    final = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("unit"), F.lit("terminal").alias("state"))
+    states = R.rank_one(loaded.unionByName(final), ["unit"], [F.asc("state")]).withColumn("attempts", F.lit(1))
+    rows = manifest.backlog(t.orders, states, [F.asc("o_orderdate"), F.asc("o_orderkey")], 100, "o_orderkey")
+    return rows.select("o_orderkey", "rn", "backlog")
+
+
+@query("""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'failed' WHEN 3 THEN 'not_published' WHEN 4 THEN 'terminal' END AS state, o_orderkey % 4 AS attempts FROM orders)
+SELECT strftime(o_orderdate, '%Y') || 'q' || quarter(o_orderdate) AS quarter, coalesce(state, 'untried') AS state, count(*) AS n, sum(CASE WHEN state IS NULL THEN 0 ELSE attempts END)::BIGINT AS attempts
+FROM orders JOIN s USING (o_orderkey) WHERE state IS NULL OR state NOT IN ('completed', 'terminal') GROUP BY ALL""")
+def q_due_units(t: Tables) -> DataFrame:
+    """Units of every quarter that a resumed run has to load, by state, from a manifest kept in a keyed store."""
+    k = F.col("o_orderkey")
+    state = F.when(k % 7 == 0, "completed").when(k % 7 == 1, "in_progress").when(k % 7 == 2, "failed").when(k % 7 == 3, "not_published").when(k % 7 == 4, "terminal")
+    held = t.orders.select(k.cast("string").alias("unit"), state.alias("state"), (k % 4).cast("int").alias("attempts")).where("state is not null")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("rows", "bigint"), ("error", "string"), ("started_at", "string"), ("ended_at", "string"))]
+    kept = manifest.Manifest(t.spark, fresh_folder(t.spark, "manifest"))
+    kept.store.upsert(held.select("unit", "state", "attempts", *none, F.lit(1).cast("bigint").alias("seq")))
+    quarter = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("q"), F.quarter("o_orderdate").cast("string"))
+    rows = manifest.due(t.orders.select(k.cast("string").alias("unit"), quarter.alias("quarter")), kept.states())
+    return rows.groupBy("quarter", F.coalesce("state", F.lit("untried")).alias("state")).agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
 
 
 @query("""WITH a AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey % 10 < 7), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 10 > 2)

@@ -1,41 +1,73 @@
-"""Incremental operators and event windows, in their batch form."""
+"""Incremental operators: streams that run to the end of what is there, and event windows in their batch form."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import limiter
 from ..operators import relational as R
+from ..session import fresh_folder
+from ..streaming import jobs
+from ..streaming.keyed_store import KeyedStore
 from .base import Tables, query
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks take instants."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _events(t: Tables) -> DataFrame:
+    """The files of the events table as a stream."""
+    return _timed(jobs.follow(t.spark, f"{t.folder}/events.parque[t]", t.events.schema))  # a pattern, since a table may be one file or a folder
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS seq FROM orders""")
 def q_upsert(t: Tables) -> DataFrame:
-    """A base and a changed part of it, merged by key; the later sequence stays."""
-    base = t.orders.select("o_orderkey", "o_orderstatus", F.lit(1).alias("seq"))
+    """A base and a changed part of it through the keyed store, in two batches; the later sequence stays."""
+    store = KeyedStore(t.spark, fresh_folder(t.spark, "upsert"), "o_orderkey long, o_orderstatus string, seq int", ["o_orderkey"], "seq")
+    store.upsert(t.orders.select("o_orderkey", "o_orderstatus", F.lit(1).alias("seq")), 0)
     changes = t.orders.where("o_orderkey % 4 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(2).alias("seq"))
-    return R.upsert(base, changes, ["o_orderkey"], "seq")
+    store.upsert(changes, 1)
+    store.upsert(changes.withColumn("o_orderstatus", F.lit("Y")), 1)  # the batch runs again and changes nothing
+    return store.read()
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def q_stream_dedup(t: Tables) -> DataFrame:
-    """Events that arrive twice count once."""
-    again = t.events.where("event_id % 3 = 0")
-    return t.events.unionByName(again).dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Events that arrive twice count once: a stream of all files and of a part of them again, behind a watermark."""
+    events = _events(t)
+    again = events.where("event_id % 3 = 0")
+    once = jobs.deduplicated(events.unionByName(again), "event_id", "ts")
+    return jobs.appended(once, fresh_folder(t.spark, "dedup")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY user_id""")
 def q_stream_replay(t: Tables) -> DataFrame:
-    """What a replay of the whole stream adds up to."""
-    return t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
+    """What a replay of the whole stream adds up to: running sums, upserted by user into the keyed store."""
+    sums = _events(t).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
+    folder = fresh_folder(t.spark, "replay")
+    store = KeyedStore(t.spark, f"{folder}/table", "user_id long, n long, total decimal(28,4)", ["user_id"], "n")
+    jobs.replay(sums, store.sink(), f"{folder}/checkpoint", "update").awaitTermination()
+    return store.read().select("user_id", "n", F.col("total").cast("double").alias("total"))
 
 
 @query("""SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY event_type""")
 def q_late_filter(t: Tables) -> DataFrame:
-    """Events behind the watermark, two days before the latest event, are dropped."""
-    mark = t.events.agg((F.max("ts") - F.expr("interval 2 days")).alias("mark")).withColumn("one", F.lit(1))
-    rows = t.events.withColumn("one", F.lit(1)).join(F.broadcast(mark), "one").where("ts >= mark")
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    """A window read again: once the newest event has come, those behind the watermark, two days before it, are dropped.
+
+    The stream is stopped and resumed from its checkpoint, which keeps the watermark; late rows are dropped from the
+    second batch behind it on, so the newest event comes twice before the whole table does.
+    """
+    folder = fresh_folder(t.spark, "late")
+    newest = t.events.agg(F.max_by(F.struct("*"), "ts").alias("e")).select("e.*")
+    kept = None
+    for landed in (newest, newest, t.events):
+        landed.write.mode("append").parquet(f"{folder}/landing")
+        events = _timed(jobs.follow(t.spark, f"{folder}/landing", t.events.schema))
+        kept = jobs.appended(jobs.deduplicated(events, "event_id", "ts"), folder)
+    return kept.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
@@ -60,13 +92,24 @@ def q_session(t: Tables) -> DataFrame:
 
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
-def q_rate_window(t: Tables) -> DataFrame:
-    """Hits of a user in the hour before each hit; the exact limiter with rejections is a stateful stream."""
+def q_window_count(t: Tables) -> DataFrame:
+    """Hits of a user in the hour before each hit, rejected or not."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0
     window = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)
     return t.events.select("event_id", "user_id", seconds.alias("s")).select("event_id", F.count("*").over(window).alias("in_window"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, event_id, rn, true AS admitted, [s] AS kept FROM e WHERE rn = 1 UNION ALL
+  SELECT user_id, event_id, rn, len(k) < 3, CASE WHEN len(k) < 3 THEN list_append(k, s) ELSE k END
+  FROM (SELECT e.*, list_filter(r.kept, lambda x: x > e.s - 86400000000) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, event_id, admitted FROM r""")
+def q_rate_window(t: Tables) -> DataFrame:
+    """Every event admitted or not, at most 3 of a user within a day, rejected ones not recorded; see :mod:`..operators.limiter`."""
+    hits = t.events.select(F.col("user_id").alias("client"), F.col("event_id").alias("hit"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return limiter.admitted(hits, 3, 86_400_000_000).select(F.col("client").alias("user_id"), F.col("hit").alias("event_id"), "admitted")
+
+
 PRUNE = """x AS (SELECT (SELECT count(*) FROM customer) AS have, (SELECT count(*) FROM customer WHERE {0}) AS got)"""
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import relational as R
+from .keyed_store import KeyedStore
 
 
 def follow(spark: SparkSession, folder: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -29,26 +29,21 @@ def windowed(events: DataFrame, time: str, size: str, by: str, delay: str = "2 d
     return counted.select(F.col("w")["start"].alias("start"), F.col("w")["end"].alias("end"), by, "n")
 
 
-def upsert_into(path: str, keys: list[str], sequence: str) -> Callable[[DataFrame, int], None]:
-    """A sink for ``foreachBatch``: each batch is merged into a versioned parquet table by key.
+def upsert_into(folder: str, schema, keys: list[str], sequence: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch``: each batch is merged by key into the :class:`KeyedStore` at ``folder``."""
+    return lambda batch, number: KeyedStore(batch.sparkSession, folder, schema, keys, sequence).sink()(batch, number)
 
-    Versions are written whole before the pointer row names them, and a batch that runs again writes the same
-    version, so a lost executor or driver leaves the last complete table.
-    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = R.rank_one(batch, keys, [F.desc(sequence)])
-        if number > 0:
-            new = R.upsert(spark.read.parquet(f"{path}/v{number - 1}"), new, keys, sequence)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    return write
+def replay(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run all that is available through a batch sink and stop."""
+    return events.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replay(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run all that is available through a batch sink and stop."""
-    return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def appended(events: DataFrame, folder: str) -> DataFrame:
+    """Run all that is available into Parquet files, each batch exactly once, and return what they hold."""
+    writer = events.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return events.sparkSession.read.schema(events.schema).parquet(f"{folder}/rows")
 
 
 class SlidingLimiter(StatefulProcessor):
