@@ -22,7 +22,10 @@ class QueryError(ValueError):
 
 @dataclass(frozen=True)
 class Parameter:
-    """One argument: the predicate it stands for and how it is checked."""
+    """One argument: the predicate it stands for and how it is checked.
+
+    ``shape`` changes the rows that all predicates left, before they are sorted, as "latest of each" does.
+    """
 
     predicate: Callable[[Any], Column]
     kind: type = str
@@ -30,6 +33,7 @@ class Parameter:
     least: float | None = None
     most: float | None = None
     point: bool = False
+    shape: Callable[[DataFrame, Any], DataFrame] | None = None
 
     def checked(self, name: str, value: Any) -> Any:
         if self.kind is bool and isinstance(value, str):
@@ -48,7 +52,10 @@ class Parameter:
 class Spec:
     """A table's query: parameters, sort fields and the date its window binds to.
 
-    ``date`` is the column of ``since`` and ``until``; None binds them to the sort field, which must then be a date.
+    ``date`` is the column of ``since`` and ``until``; None binds them to the sort field, which must then be a date; without
+    ``dated`` there is no window.  ``ascending`` is the default order.  ``complete`` adds the arguments that depend on others.
+    ``gap`` says whether a request falls into a known gap, ``shallow`` what to say with every answer of a shallow table, and
+    ``since`` and ``until`` name all window ends of a request.
     """
 
     table: str
@@ -61,6 +68,13 @@ class Spec:
     derive: Callable[[DataFrame], DataFrame] = lambda df: df
     default_limit: int = 50
     max_limit: int = 500
+    dated: bool = True
+    ascending: bool = False
+    complete: Callable[[Mapping[str, Any]], Mapping[str, Any]] = dict
+    gap: Callable[[Mapping[str, Any]], str | None] = lambda arguments: None
+    shallow: str | None = None
+    since: tuple[str, ...] = ("since",)
+    until: tuple[str, ...] = ("until",)
 
 
 @dataclass
@@ -80,7 +94,8 @@ def plan(spec: Spec, source: DataFrame, arguments: Mapping[str, Any]) -> tuple[D
 
     All given predicates hold together, on derived columns too, before the limit; a point lookup ignores the rest.
     """
-    unknown = set(arguments) - set(spec.parameters) - RESERVED
+    arguments = spec.complete(arguments)
+    unknown = set(arguments) - set(spec.parameters) - (RESERVED if spec.dated else RESERVED - {"since", "until"})
     if unknown:
         raise QueryError("UNKNOWN_PARAMETER", ", ".join(sorted(unknown)))
     limit = arguments.get("limit", spec.default_limit)
@@ -102,8 +117,15 @@ def plan(spec: Spec, source: DataFrame, arguments: Mapping[str, Any]) -> tuple[D
         if value:
             rows = rows.where(test(F.lit(value)))
     for name, value in given.items():
-        rows = rows.where(spec.parameters[name].predicate(value))
-    ascending = arguments.get("sort_order", "desc") == "asc"
+        if spec.parameters[name].shape is None:
+            rows = rows.where(spec.parameters[name].predicate(value))
+    for name, value in given.items():
+        if spec.parameters[name].shape is not None:
+            rows = spec.parameters[name].shape(rows, value)
+    direction = arguments.get("sort_order", "asc" if spec.ascending else "desc")
+    if direction not in ("asc", "desc"):
+        raise QueryError("INVALID_ARGUMENT", "sort_order must be asc or desc")
+    ascending = direction == "asc"
     sort = F.col(spec.sorts[sort_by])
     order = [sort.asc_nulls_last() if ascending else sort.desc_nulls_last(), F.asc(spec.key)]
     return R.top(rows, order, limit + 1), limit
