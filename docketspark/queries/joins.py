@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.dates import iso
 from ..operators import entities as E
 from ..operators import relational as R
-from ..plans import fanout
+from ..plans import fanout, reconcile
 from ..session import fresh_folder
 from ..streaming import manifest
 from .base import Tables, query
@@ -377,3 +377,46 @@ def q_fanout(t: Tables) -> DataFrame:
 array_to_string(list_sort(list(key) FILTER (WHERE rank <= 5)), ',') AS keys FROM f WHERE rank <= 6 GROUP BY source""")
 def q_fanout_summary(t: Tables) -> DataFrame:
     return fanout.summary(fanout.fan_out(sources(t), IDENTIFIERS, 5), 5)
+
+
+@query("""WITH src AS (
+  SELECT 'filings' AS collection, CAST(o_orderkey AS VARCHAR) AS key, CAST(year(o_orderdate) AS VARCHAR) AS year, strftime(o_orderdate, '%Y-%m-%d') AS seq FROM orders
+  UNION ALL SELECT 'filings', CAST(o_orderkey AS VARCHAR), CAST(year(o_orderdate) + 1 AS VARCHAR), strftime(o_orderdate + INTERVAL 1 YEAR, '%Y-%m-%d') FROM orders WHERE o_orderkey % 10 = 0
+  UNION ALL SELECT 'owners', CAST(c_custkey AS VARCHAR), '-', lpad(CAST(c_custkey AS VARCHAR), 12, '0') FROM customer
+  UNION ALL SELECT 'items', CAST(p_partkey AS VARCHAR), CAST(1990 + p_size AS VARCHAR), lpad(CAST(p_partkey AS VARCHAR), 12, '0') FROM part),
+held AS (SELECT 'filings' AS collection, CAST(l_orderkey AS VARCHAR) AS key, l_returnflag AS kind FROM lineitem
+  UNION ALL SELECT 'owners', CAST(o_custkey AS VARCHAR), CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END FROM orders
+  UNION ALL SELECT 'items', CAST(p_partkey + 7 AS VARCHAR), p_type FROM part),
+s AS (SELECT collection, key, min_by(year, seq || year) AS year, min(seq) AS seq FROM src GROUP BY ALL),
+h AS (SELECT DISTINCT collection, key FROM held),
+k AS (SELECT coalesce(s.collection, h.collection) AS collection, coalesce(s.key, h.key) AS key, year, seq, CASE WHEN s.key IS NULL THEN 'extra' WHEN h.key IS NULL THEN 'missing' ELSE 'present' END AS state
+  FROM s FULL JOIN h ON s.collection = h.collection AND s.key = h.key),
+t AS (SELECT collection, count(*) FILTER (WHERE state <> 'extra') AS source, count(*) FILTER (WHERE state = 'present') AS present, count(*) FILTER (WHERE state = 'missing') AS missing, count(*) FILTER (WHERE state = 'extra') AS extra FROM k GROUP BY 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY seq, key) AS rn FROM k WHERE state = 'missing' AND collection <> 'owners'),
+cl AS (SELECT collection, CASE WHEN rn > 500 THEN 'unclassified' WHEN CAST(key AS BIGINT) % 5 = 0 THEN 'recoverable' WHEN CAST(key AS BIGINT) % 5 = 1 THEN 'nil' WHEN CAST(key AS BIGINT) % 5 = 2 THEN 'gone' ELSE 'unclassified' END AS class FROM m),
+cc AS (SELECT a.collection, b.class, count(cl.class) AS n FROM (VALUES ('filings'), ('items')) a(collection) CROSS JOIN (VALUES ('recoverable'), ('nil'), ('unreadable'), ('gone'), ('unclassified')) b(class)
+  LEFT JOIN cl ON cl.collection = a.collection AND cl.class = b.class GROUP BY ALL),
+x(collection, kind) AS (VALUES ('filings', 'A'), ('filings', 'Z'), ('owners', 'F')),
+kinds AS (SELECT collection, coalesce(nullif(kind, ''), '(none)') AS kind, count(*) AS n FROM held GROUP BY ALL)
+SELECT collection, 'total' AS part, 'source' AS name, source AS n, present * 100.0::DOUBLE / source AS share FROM t UNION ALL SELECT collection, 'total', 'present', present, NULL FROM t
+UNION ALL SELECT collection, 'total', 'missing', missing, NULL FROM t UNION ALL SELECT collection, 'total', 'extra', extra, NULL FROM t
+UNION ALL SELECT collection, 'source', year, count(*), count(*) FILTER (WHERE state = 'present') * 100.0::DOUBLE / count(*) FROM k WHERE state <> 'extra' GROUP BY ALL
+UNION ALL SELECT collection, 'missing', year, count(*), NULL FROM k WHERE state = 'missing' GROUP BY ALL
+UNION ALL SELECT coalesce(x.collection, kinds.collection), 'kind', coalesce(x.kind, kinds.kind), coalesce(n, 0), NULL FROM x FULL JOIN kinds ON x.collection = kinds.collection AND x.kind = kinds.kind
+UNION ALL SELECT collection, 'class', class, n, NULL FROM cc
+UNION ALL SELECT cc.collection, 'unexplained', 'unexplained', sum(n), NULL FROM cc JOIN t USING (collection) WHERE t.missing <= 500 AND class IN ('recoverable', 'unclassified') GROUP BY ALL""")
+def q_reconcile_all(t: Tables) -> DataFrame:
+    """Three collections against their sources in one plan, with tallies by year, kind and class."""
+    day, filed = iso(F.col("o_orderdate")), F.year("o_orderdate")
+    twice = t.orders.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("key"), (filed + 1).alias("year"), iso(F.add_months("o_orderdate", 12)).alias("seq"))
+    padded = lambda name: F.lpad(F.col(name).cast("string"), 12, "0").alias("seq")
+    k = F.col("key").cast("long")
+    kind = F.when(k % 5 == 0, "recoverable").when(k % 5 == 1, "nil").when(k % 5 == 2, "gone").when(k % 5 == 3, "what?")
+    return reconcile.reconcile_all(
+        [
+            reconcile.Adapter("filings", t.orders.select(F.col("o_orderkey").alias("key"), filed.alias("year"), day.alias("seq")).unionByName(twice), t.lineitem.select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("kind")), ("A", "Z"), lambda: kind),
+            reconcile.Adapter("owners", t.customer.select(F.col("c_custkey").alias("key"), F.lit(None).alias("year"), padded("c_custkey")), t.orders.select(F.col("o_custkey").alias("key"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("kind")), ("F",)),
+            reconcile.Adapter("items", t.part.select(F.col("p_partkey").alias("key"), (1990 + F.col("p_size")).alias("year"), padded("p_partkey")), t.part.select((F.col("p_partkey") + 7).alias("key"), F.col("p_type").alias("kind")), (), lambda: kind),
+        ],
+        first=500,
+    )
