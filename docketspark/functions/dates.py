@@ -112,3 +112,25 @@ def corrected_date(value: Column, candidates: dict[str, Column], ahead: int = 2)
         wrong.alias("corrected"),
         F.when(wrong, first["basis"]).alias("basis"),
     )
+
+
+#: Zones by name and their minutes from UTC, as feeds write them.
+ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+
+
+def rfc_date(text: Column) -> Column:
+    """``[Tue, ]5 Nov 2024 14:30[:00] zone`` to ``2024-11-05T14:30:00Z``, null if it is not of that form.
+
+    Zones are :data:`ZONES` or ``+hhmm``; years of two digits are of this century up to 49.
+    """
+    form = r"^\s*(?:[A-Za-z]{3},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([A-Za-z]{1,4}|[+-]\d{4})\s*$"
+    part = lambda k: F.regexp_extract(text, form, k)
+    number = lambda k: part(k).try_cast("int")
+    year = F.when(F.length(part(3)) == 4, number(3)).when(number(3) < 50, number(3) + 2000).otherwise(number(3) + 1900)
+    zone = F.upper(part(7))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair]), zone)
+    signed = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    minutes = F.when(zone.startswith("+"), signed).when(zone.startswith("-"), -signed).otherwise(named)
+    seconds = F.coalesce(F.nullif(part(6), F.lit("")), F.lit("0")).try_cast("int")
+    local = F.try_make_timestamp_ntz(year, month_number(part(2)).try_cast("int"), number(1), number(4), number(5), seconds)
+    return F.date_format(local - F.make_dt_interval(mins=minutes), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -144,3 +144,23 @@ def tokens(text: Column) -> Column:
 
 def after_prefix(text: Column, mark: str = "/") -> Column:
     return F.substring_index(text, mark, -1)
+
+
+def escape_html(text: Column) -> Column:
+    """For text and for attributes in double quotes."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
+def escape_csv(text: Column) -> Column:
+    """A cell, quoted only where it must be; null is an empty cell."""
+    text = F.coalesce(text, F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[",\n]'), quoted).otherwise(text)
+
+
+def escape_markdown(text: Column) -> Column:
+    """A table's cell: bars and backslashes are escaped, line ends become spaces."""
+    escaped = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.regexp_replace(escaped, r"[\r\n]+", " ")

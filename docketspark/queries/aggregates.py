@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import iso
 from ..functions.numbers import exact_sum
 from ..operators import relational as R
+from ..session import fresh_folder
+from ..streaming.telemetry import Telemetry
 from .base import Tables, query
 
 MONEY = "CAST(sum(CAST({0} AS DECIMAL(18,4))) AS DOUBLE)"
@@ -173,20 +175,31 @@ f AS (SELECT event_type, CASE WHEN age > CASE event_type WHEN 'view' THEN 60 ELS
 THRESHOLDS = {"view": (36, 60)}
 
 
-def _freshness(t: Tables) -> DataFrame:
+def _judged(seen: DataFrame) -> DataFrame:
+    """``event_type, status`` from ``event_type, last`` in seconds."""
     now = F.unix_seconds(F.lit("2024-01-30 12:00:00").cast("timestamp"))
-    last = F.max(F.unix_seconds(F.col("ts").cast("timestamp")))
-    ages = t.events.groupBy("event_type").agg(((now - last) / 3600.0).alias("age"))
-    daily = F.col("event_type").isin(list(THRESHOLDS))
+    age, daily = (now - F.col("last")) / 3600.0, F.col("event_type").isin(list(THRESHOLDS))
     warn, fail = F.when(daily, 36).otherwise(6), F.when(daily, 60).otherwise(24)
-    return ages.select("event_type", F.when(F.col("age") > fail, "fail").when(F.col("age") > warn, "warn").otherwise("ok").alias("status"))
+    return seen.select("event_type", F.when(age > fail, "fail").when(age > warn, "warn").otherwise("ok").alias("status"))
+
+
+def _freshness(t: Tables) -> DataFrame:
+    return _judged(t.events.groupBy("event_type").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("last")))
 
 
 @query(f"""WITH {STATES} SELECT event_type, status FROM f UNION ALL
 SELECT 'overall', CASE max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'ok' END FROM f""")
 def q_freshness(t: Tables) -> DataFrame:
-    """Age of each source against its thresholds at a given moment, and the worst of all."""
-    rows = _freshness(t)
+    """Age of each job's last report against its thresholds at a given moment, and the worst of all.
+
+    The jobs are the kinds of events; their reports go through the telemetry table, in two merges of different fields.
+    """
+    jobs = Telemetry(t.spark, fresh_folder(t.spark, "telemetry"))
+    last = F.date_format(F.max(F.col("ts").cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss")
+    jobs.merge(t.events.groupBy(F.col("event_type").alias("job")).agg(F.count("*").alias("docs_written")))
+    jobs.merge(t.events.groupBy(F.col("event_type").alias("job")).agg(last.alias("last_synced_at")))
+    seen = jobs.rows().where("docs_written > 0").select(F.col("job").alias("event_type"), F.unix_seconds(F.to_timestamp("last_synced_at")).alias("last"))
+    rows = _judged(seen)
     rank = F.max(F.when(F.col("status") == "fail", 2).when(F.col("status") == "warn", 1).otherwise(0))
     return rows.unionByName(rows.agg(F.lit("overall").alias("event_type"), F.when(rank == 2, "fail").when(rank == 1, "warn").otherwise("ok").alias("status")))
 

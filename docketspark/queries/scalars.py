@@ -377,3 +377,24 @@ def q_lenient_numeric(t: Tables) -> DataFrame:
 @query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[,\s]+'), lambda x: x <> '')) AS n_tokens FROM documents""")
 def q_split_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS published FROM events""")
+def q_rfc_date(t: Tables) -> DataFrame:
+    """Dates as feeds write them, in several zones, back to instants in UTC."""
+    k = F.col("event_id") % 4
+    zone = F.when(k == 0, "GMT").when(k == 1, "EDT").when(k == 2, "+0530").otherwise("-0800")
+    minutes = F.when(k == 0, 0).when(k == 1, -240).when(k == 2, 330).otherwise(-480)
+    local = F.col("ts") + F.make_dt_interval(mins=minutes)
+    written = F.concat(F.when(k < 2, F.date_format(local, "EEE, ")).otherwise(""), F.date_format(local, "d MMM yyyy HH:mm:ss "), zone)
+    odd = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("on "), written)).otherwise(written)
+    return t.events.select("event_id", D.rfc_date(odd).alias("published"))
+
+
+@query(r"""SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS html,
+md5(CASE WHEN regexp_matches(text, '[",\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END) AS csv,
+md5(regexp_replace(replace(replace(text, '\', '\\'), '|', '\|'), '[\r\n]+', ' ', 'g')) AS markdown FROM documents""")
+def q_escape(t: Tables) -> DataFrame:
+    """Texts as a page, a cell of a CSV file and a cell of a table would hold them."""
+    text = F.col("text")
+    return t.documents.select("doc_id", F.md5(T.escape_html(text)).alias("html"), F.md5(T.escape_csv(text)).alias("csv"), F.md5(T.escape_markdown(text)).alias("markdown"))
