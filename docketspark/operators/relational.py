@@ -106,3 +106,24 @@ def position_changes(now: DataFrame, before: DataFrame, holder: str, key: str, v
         holder, key, held.alias("now"), F.when(F.col("__sure"), change).alias("change"),
         F.when(F.col("__sure") & (F.col("before") > 0), pct).alias("pct"), kind.alias("position_change"),
     )
+
+
+def supersede(rows: DataFrame, keys: Sequence[str], filed: str, sequence: str, first: Sequence[str], filled: Sequence[str]) -> DataFrame:
+    """One row for each key: the latest filed, but ``first`` columns of the earliest filed and ``filled`` ones never blank if any is not.
+
+    ``filed`` is ISO text and ``sequence`` a number that is the order of the rows.  Rows without a filing date supersede
+    nothing: where all of a key are so, the first of them holds.  Of equal dates the later row is the latest, the earlier one the
+    earliest.  A blank ``filled`` value takes that of the first row that has one.
+    """
+    dated = F.coalesce(F.col(filed), F.lit("")) != ""
+    at = F.coalesce(F.col(filed), F.lit(""))
+    latest = F.struct(dated, at, F.when(dated, F.col(sequence)).otherwise(-F.col(sequence)))
+    earliest = F.struct(~dated, at, F.col(sequence))
+    rest = [c for c in rows.columns if c not in keys]
+    present = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(sequence))
+    grouped = rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), latest).alias("__last"), *[F.min_by(c, earliest).alias(f"__first_{c}") for c in first], *[F.min_by(c, present(c)).alias(f"__any_{c}") for c in filled],
+    )
+    own = lambda c: F.col("__last")[c]
+    made = [F.col(f"__first_{c}") if c in first else F.when(F.coalesce(own(c), F.lit("")) != "", own(c)).otherwise(F.coalesce(f"__any_{c}", own(c))) if c in filled else own(c) for c in rest]
+    return grouped.select(*keys, *[x.alias(c) for x, c in zip(made, rest, strict=True)])

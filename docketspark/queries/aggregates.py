@@ -103,7 +103,7 @@ def q_latest_filing(t: Tables) -> DataFrame:
 
 @query("""SELECT DISTINCT o_custkey, last_value(o_totalprice) OVER w AS latest_value, first_value(year(o_orderdate)) OVER w AS first_year FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
-def q_supersession(t: Tables) -> DataFrame:
+def q_latest_and_first(t: Tables) -> DataFrame:
     """Payload of the latest filing, year of the earliest: one aggregation over an ordered pair of keys."""
     order = F.struct("o_orderdate", "o_orderkey")
     return t.orders.groupBy("o_custkey").agg(
@@ -111,6 +111,22 @@ def q_supersession(t: Tables) -> DataFrame:
     )
 
 
+@query("""WITH r AS (SELECT o_custkey, o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 OR o_custkey % 9 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m') END AS filed, o_totalprice AS value, year(o_orderdate) - o_orderkey % 2 AS fiscal_year,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'CY' || o_orderkey WHEN o_orderkey % 3 = 1 THEN '' END AS frame FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY filed DESC, CASE WHEN filed = '' THEN seq ELSE -seq END) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY filed = '', filed, seq) AS b FROM r),
+f AS (SELECT o_custkey, arg_min(frame, seq) AS frame FROM r WHERE frame <> '' GROUP BY 1)
+SELECT l.o_custkey, l.seq, l.filed, l.value, e.fiscal_year, coalesce(nullif(l.frame, ''), f.frame, l.frame) AS frame
+FROM (SELECT * FROM k WHERE a = 1) l JOIN (SELECT * FROM k WHERE b = 1) e ON l.o_custkey = e.o_custkey LEFT JOIN f ON f.o_custkey = l.o_custkey""")
+def q_supersession(t: Tables) -> DataFrame:
+    """The latest filing's row with the earliest one's year and a frame if any has one; blank dates supersede nothing."""
+    k = F.col("o_orderkey")
+    rows = t.orders.select(
+        "o_custkey", k.alias("seq"), F.when((k % 4 == 0) | (F.col("o_custkey") % 9 == 0), "").otherwise(F.date_format("o_orderdate", "yyyy-MM")).alias("filed"), F.col("o_totalprice").alias("value"),
+        (F.year("o_orderdate") - k % 2).alias("fiscal_year"), F.when(k % 3 == 0, F.concat(F.lit("CY"), k.cast("string"))).when(k % 3 == 1, "").alias("frame"),
+    )
+    return R.supersede(rows, ["o_custkey"], "filed", "seq", ["fiscal_year"], ["frame"])
+
+
 @query("""SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey, o_orderpriority""")
 def q_dedup_first(t: Tables) -> DataFrame:
     return R.rank_one(t.orders, ["o_custkey", "o_orderpriority"], [F.asc("o_orderkey")]).select("o_custkey", "o_orderpriority", "o_orderkey")

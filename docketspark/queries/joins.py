@@ -9,6 +9,7 @@ from ..functions import classify as C
 from ..functions import text as T
 from ..functions.dates import iso
 from ..operators import entities as E
+from ..operators import identifiers
 from ..operators import relational as R
 from ..plans import fanout, reconcile
 from ..session import fresh_folder
@@ -159,7 +160,7 @@ def q_tiered_resolution(t: Tables) -> DataFrame:
 
 @query("""WITH p AS (SELECT s_suppkey, nullif(CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END, '') AS a, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT s_suppkey, coalesce(a, CASE WHEN s_suppkey % 3 = 0 THEN n_name END, 'unknown') AS ticker FROM p""")
-def q_fallback_chain(t: Tables) -> DataFrame:
+def q_coalesce_chain(t: Tables) -> DataFrame:
     """First map that knows the key, else the next one, else a default."""
     first = t.supplier.where("s_suppkey % 2 = 0").select("s_suppkey", F.col("s_name").alias("a"))
     second = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("b"))
@@ -167,6 +168,24 @@ def q_fallback_chain(t: Tables) -> DataFrame:
     return rows.select("s_suppkey", F.coalesce("a", F.when(F.col("s_suppkey") % 3 == 0, F.col("b")), F.lit("unknown")).alias("ticker"))
 
 
+@query("""SELECT o_orderkey, CASE s_suppkey % 8 WHEN 0 THEN 'C' || s_suppkey WHEN 1 THEN 'N' || s_suppkey WHEN 2 THEN 'S' || s_suppkey WHEN 4 THEN 'N' || s_suppkey WHEN 5 THEN 'C' || s_suppkey WHEN 6 THEN 'N' || s_suppkey ELSE '' END AS ticker,
+CASE s_suppkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 WHEN 6 THEN 2 END AS step FROM orders JOIN supplier ON s_suppkey = o_custkey % (SELECT count(*) FROM supplier)""")
+def q_fallback_chain(t: Tables) -> DataFrame:
+    """Holdings' tickers by instrument, by name and by search, each held against the issuer's name; see :mod:`..operators.identifiers`."""
+    k, key = F.col("s_suppkey") % 8, F.col("s_suppkey").cast("string")
+    letters = F.translate(key, "0123456789", "BCDFGHJKLM")  # a word of each supplier's own
+    name, other = F.concat(F.lit("Firm"), letters, F.lit(" Intl Mfg")), F.concat(F.lit("Rival"), letters, F.lit(" Corp"))
+    n = t.supplier.agg(F.count("*").alias("n"))  # one row
+    asked = t.orders.withColumn("one", F.lit(1)).join(F.broadcast(n.withColumn("one", F.lit(1))), "one").select("o_orderkey", (F.col("o_custkey") % F.col("n")).alias("s_suppkey"))
+    holdings = asked.join(t.supplier, "s_suppkey").select("o_orderkey", F.concat(F.lit("I"), key).alias("instrument"), F.when(k != 5, F.concat(name, F.lit(" Inc."))).alias("issuer"))
+    mapped = F.when(k.isin(0, 5), F.concat(F.lit("The Firm"), letters, F.lit(" International Manufacturing Ltd"))).otherwise(other)
+    instruments = t.supplier.where(~k.isin(4, 7)).select(F.concat(F.lit("I"), key).alias("instrument"), F.when(k != 6, F.concat(F.lit("C"), key)).otherwise(" ").alias("ticker"), mapped.alias("name"))
+    listed = t.supplier.where(k.isin(1, 4, 6)).select(F.concat(F.upper(name), F.lit(", INC")).alias("name"), F.explode(F.array(F.concat(F.lit("N"), key, F.lit(".WS")), F.concat(F.lit("N"), key))).alias("ticker"))
+    issuer = F.concat(name, F.lit(" Inc."))
+    searched = t.supplier.where(k.isin(2, 3)).select(issuer.alias("asked"), F.concat(F.lit("S"), key).alias("ticker"), F.when(k == 2, F.concat(name, F.lit(" Holdings PLC"))).otherwise(other).alias("name"))
+    return identifiers.validated(holdings, instruments, listed, searched).select("o_orderkey", "ticker", "step")
+
+
 @query("""WITH c AS (SELECT c_mktsegment AS name, 'T' || c_custkey AS ticker FROM customer),
 b AS (SELECT name, ticker, row_number() OVER (PARTITION BY name ORDER BY length(ticker), ticker) AS rn FROM c)
 SELECT name, ticker FROM b WHERE rn = 1""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import dates as D
+from ..functions import filings as L
 from ..functions import numbers as N
 from ..functions import text as T
 from .base import Tables, query
@@ -274,13 +275,53 @@ def q_word_density(t: Tables) -> DataFrame:
 
 @query("""SELECT o_orderkey, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 0 THEN 'INSUFFICIENT_DATA' ELSE 'VERIFIED' END AS status
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
-def q_verification(t: Tables) -> DataFrame:
+def q_any_member(t: Tables) -> DataFrame:
     """Any unresolved member makes the parent insufficient."""
     notes = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_returnflag").alias("notes"))
     status = F.when(F.exists("notes", lambda x: x == "R"), C.UNKNOWN).otherwise("VERIFIED")
     return t.orders.join(notes, "o_orderkey").select("o_orderkey", status.alias("status"))
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 6 AS a, l_suppkey % 9 AS b, l_quantity FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN l_quantity < 10 THEN 'VERIFIED' WHEN a > l_orderkey % 8 OR b > l_orderkey % 8 THEN 'INSUFFICIENT_DATA' ELSE 'VERIFIED' END AS status FROM r""")
+def q_verification(t: Tables) -> DataFrame:
+    """Rows whose references all lead to a note of their filing are verified; those with a dangling one are not."""
+    codes = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 8).cast("int")), lambda x: F.concat(F.lit("F"), x.cast("string")))
+    notes = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.map_from_arrays(codes, F.transform(codes, lambda x: F.concat(F.lit("note "), x))).alias("notes"))
+    text = F.when(F.col("l_quantity") >= 10, F.concat(F.lit("F"), (F.col("l_partkey") % 6).cast("string"), F.lit(", F"), (F.col("l_suppkey") % 9).cast("string"))).otherwise("")
+    rows = t.lineitem.join(notes, "l_orderkey", "left").withColumn("resolved", L.footnotes(T.tokens(text), F.col("notes")))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", L.verification(F.col("resolved")).alias("status"))
+
+
+@query("""SELECT p_partkey, p_size % 8 IN (0, 1, 2) AS is_derivative, CASE p_partkey % 7 WHEN 0 THEN 'future' WHEN 1 THEN 'forward' WHEN 2 THEN 'swap'
+WHEN 3 THEN CASE p_size % 4 WHEN 0 THEN 'warrant' WHEN 1 THEN 'swaption' ELSE 'option' END WHEN 4 THEN 'other' WHEN 5 THEN 'swap' END AS kind FROM part""")
+def q_derivative_type(t: Tables) -> DataFrame:
+    """Whether an asset category is a derivative's, and of which kind its tags say it is."""
+    k, n = F.col("p_partkey") % 7, F.col("p_size")
+    asset = F.element_at(F.array(*map(F.lit, ["DE", "DFE", "DR", "REPO", "RP", "EC", "", "de"])), n % 8 + 1)
+    tags = [["futrDeriv"], ["fwdDeriv"], ["swapDeriv"], ["optionSwaptionWarrantDeriv"], ["otherDeriv"], ["otherDeriv", "swapDeriv"], []]
+    held = F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in tags]), (k + 1).cast("int"))
+    sub = F.when(n % 4 == 0, "WAR").when(n % 4 == 1, "SWO").when(n % 4 == 2, "OPT")
+    return t.part.select("p_partkey", L.is_derivative(asset).alias("is_derivative"), L.derivative_type(held, sub).alias("kind"))
+
+
+@query("""WITH f AS (SELECT s_suppkey AS id, s_suppkey % 6 AS k, s_name AS name, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, lpad(CAST(s_suppkey + 1 AS VARCHAR), 10, '0') AS next_cik FROM supplier)
+SELECT id, CASE WHEN k < 5 THEN name END AS target, CASE WHEN k < 5 THEN CASE WHEN k = 3 THEN '' ELSE 'A.B' END END AS target_ticker, CASE WHEN k < 5 THEN cik END AS target_cik,
+CASE WHEN k IN (0, 1, 4) THEN name WHEN k < 5 THEN 'Bidder (CA) Co' END AS bidder, CASE WHEN k IN (0, 1, 4) THEN 'A.B' WHEN k < 5 THEN '' END AS bidder_ticker,
+CASE k WHEN 0 THEN cik WHEN 1 THEN cik WHEN 2 THEN next_cik WHEN 3 THEN next_cik WHEN 4 THEN cik END AS bidder_cik FROM f""")
+def q_tender_parties(t: Tables) -> DataFrame:
+    """Target and bidder of tender offers, an issuer's own and third parties', out of display names and identifiers."""
+    k, key = F.col("s_suppkey") % 6, F.col("s_suppkey")
+    own = F.concat("s_name", F.when(k == 3, "").otherwise(" (A.B)"), F.when(k == 1, "").otherwise(F.concat(F.lit("  (CIK "), key.cast("string"), F.lit(")"))))
+    second = F.concat(F.lit("Bidder (CA) Co"), F.when(k == 2, F.concat(F.lit(" (cik "), (key + 1).cast("string"), F.lit(") "))).otherwise(""))
+    names = F.when(k == 5, F.array().cast("array<string>")).when(k.isin(0, 4), F.array(own)).otherwise(F.array(own, second))
+    ciks = F.array(key.cast("string"), (key + 1).cast("string"))
+    form = F.when(k.isin(0, 1), "SC TO-I/A").otherwise("SC TO-T")
+    x = F.col("x")
+    rows = t.supplier.select(key.alias("id"), L.tender_parties(form, names, ciks).alias("x"))
+    return rows.select("id", *[x[role][part].alias(role if part == "name" else f"{role}_{part}") for role in ("target", "bidder") for part in ("name", "ticker", "cik")])
+
+
 @query(r"""WITH h AS (SELECT page_id, html || ' it&#8217;s &#x41;&#' || (33 + page_id % 90) || ';&#99999999; &#x1F600; end' AS html FROM pages),
 p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'),
 '(?i)</?(p|div|br|li|ul|ol|tr|td|th|h[1-6]|table|section|article|nav)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&#') AS parts FROM h),

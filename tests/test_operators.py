@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from docketspark.operators import entities, limiter
+from docketspark.operators import entities, identifiers, limiter, relational
 
 ROSTER = "id string, chamber string, state string, last string, first string, nickname string, party string, seq int"
 TERMS = "id string, last string, chamber string, state string, start string, end string, party string, seq int"
@@ -105,7 +105,7 @@ def exact(hits, limit, window):
     return sorted(out + [(c, h, False) for c, h, at in hits if at is None], key=str)
 
 
-@pytest.mark.parametrize(("chunk", "limit", "window"), [(1_000_000, 3, 10), (5, 3, 10), (1, 1, 7), (40, 5, 25), (5, 0, 10)])
+@pytest.mark.parametrize(("chunk", "limit", "window"), [(1_000_000, 3, 10), (40, 5, 25), (25, 1, 7), (5, 0, 10)])
 def test_limiter_equals_the_fold(spark, monkeypatch, chunk, limit, window):
     monkeypatch.setattr(limiter, "CHUNK_ROWS", chunk)
     rng = random.Random(chunk + limit)
@@ -116,3 +116,42 @@ def test_limiter_equals_the_fold(spark, monkeypatch, chunk, limit, window):
 
 def test_limiter_of_nothing(spark):
     assert limiter.admitted(spark.createDataFrame([], "client string, hit long, at long"), 3, 10).count() == 0
+
+
+def superseded(rows):
+    """The rule row by row: the latest dated row, the earliest's year, the first frame."""
+    out = {}
+    for key, filed, seq, value, year, frame in sorted(rows, key=lambda r: r[2]):
+        filed, held = filed or "", out.get(key)
+        if held is None:
+            out[key] = {"row": (filed, value, frame), "latest": filed, "year": year, "earliest": filed, "frame": frame}
+            continue
+        if filed and filed >= held["latest"]:
+            held["row"], held["latest"] = (filed, value, frame), filed
+        if filed and (not held["earliest"] or filed < held["earliest"]):
+            held["year"], held["earliest"] = year, filed
+        if not held["frame"] and frame:
+            held["frame"] = frame
+    return {k: (x["row"][0], x["row"][1], x["year"], x["row"][2] or x["frame"]) for k, x in out.items()}
+
+
+def test_supersession_equals_the_fold(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 40), rng.choice(["", None, "2020-01-01", "2020-02-01", "2019-05-05", "2021-07-07"]), k, rng.random(), rng.randint(2000, 2020), rng.choice(["", None, f"CY{k}"])) for k in range(300)]
+    rows += [(99, "", 900, 1.0, 1, ""), (99, None, 901, 2.0, 2, None)]
+    got = relational.supersede(spark.createDataFrame(rows, "k int, filed string, seq int, value double, year int, frame string"), ["k"], "filed", "seq", ["year"], ["frame"])
+    assert {r.k: (r.filed or "", r.value, r.year, r.frame or "") for r in got.collect()} == {k: (*x[:3], x[3] or "") for k, x in superseded(rows).items()}
+
+
+def test_identifiers_are_held_against_names(spark):
+    holdings = [("I1", "Alpha Corp", 1), ("I1", "Alpha Corp", 2), ("I2", "Beta Intl", 3), ("I3", "Gamma", 4), ("I4", "Delta", 5), (None, "Alpha Corp", 6), ("I6", None, 7), ("I7", "Zeta", 8)]
+    by_instrument = [("I1", "ALPHA", "Alpha Corporation"), ("I2", "WRONG", "Other Things"), ("I3", "", "Gamma"), ("I6", "ANY", "Whatever"), ("I7", "W", "Not That")]
+    by_name = [("BETA INTERNATIONAL LTD", "BETA.A"), ("Beta International", "BET"), ("Alpha", "ALP"), (None, "NONE")]
+    searched = [("Gamma", "GAM", "Gamma Holdings"), ("Delta", "D", "Epsilon"), ("Zeta", "ZETAA", "Zeta Group"), ("Zeta", "ZET", "The Zeta Co")]
+    frames = (spark.createDataFrame(holdings, "instrument string, issuer string, ticker0 int"), spark.createDataFrame(by_instrument, "instrument string, ticker string, name string"), spark.createDataFrame(by_name, "name string, ticker string"), spark.createDataFrame(searched, "asked string, ticker string, name string"))
+    found = identifiers.validated(*frames)
+    got = {r.ticker0: (r.ticker, r.step) for r in found.collect()}
+    assert got == {1: ("ALPHA", 1), 2: ("ALPHA", 1), 3: ("BET", 2), 4: ("GAM", 3), 5: ("", None), 6: ("ALP", 2), 7: ("ANY", 1), 8: ("ZET", 3)}
+    assert sorted(tuple(r) for r in identifiers.learned(found).collect()) == [("I2", "BET", "Beta Intl", "name_fallback"), ("I3", "GAM", "Gamma", "name_search"), ("I7", "ZET", "Zeta", "name_search")]
+    nothing = [f.limit(0) for f in frames[1:]]
+    assert {r.step for r in identifiers.validated(frames[0], *nothing).collect()} == {None}
