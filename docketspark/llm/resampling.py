@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import by_batch, ship, slices, written
+from .xxh64 import LONG, at_every_byte, xxh64_spans
 
 U = np.uint64
 ORDERS = 3
@@ -43,75 +43,13 @@ ORDERS = 3
 GROUP_BYTES = 1 << 18
 #: Rows that one task ranks, about; and the most ranges.
 PER_RANGE, MOST_RANGES = 100_000, 1000
-#: Longer n-grams are hashed one by one.
-LONG = 512
-
-# The primes of XXH64 and the reflected polynomial of CRC-32.
-P1, P2, P3, P4, P5 = (U(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+# Fixed value: the reflected polynomial of CRC-32.
 CRC_POLYNOMIAL = 0xEDB88320
 
 #: What every byte becomes: digits and letters stay, A-Z are lower-cased, bytes of other code points stay, the rest parts words.
 FOLD = bytes(b if chr(b).isdigit() or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def at_every_byte(data: np.ndarray) -> np.ndarray:
-    """The 8-byte little-endian number that begins at each byte of ``data``, zeros behind its end."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-
-
-def _left(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x << U(bits)) | (x >> U(64 - bits))
-
-
-def _round(value: np.ndarray, lane: np.ndarray) -> np.ndarray:
-    return _left(value + lane * P2, 31) * P1
-
-
-def xxh64_runs(numbers: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """XXH64 with seed 0 of every run of ``length`` bytes; ``numbers`` is :func:`at_every_byte` of the buffer."""
-    at, left = starts, length
-    if length >= 32:
-        with np.errstate(over="ignore"):
-            sums = [np.full(len(starts), x, U) for x in (P1 + P2, P2, U(0), U(0) - P1)]
-        while left >= 32:
-            sums = [_round(x, numbers[at + 8 * k]) for k, x in enumerate(sums)]
-            at, left = at + 32, left - 32
-        value = _left(sums[0], 1) + _left(sums[1], 7) + _left(sums[2], 12) + _left(sums[3], 18)
-        for x in sums:
-            value = (value ^ _round(np.zeros_like(x), x)) * P1 + P4
-    else:
-        value = np.full(len(starts), P5, U)
-    value = value + U(length)
-    while left >= 8:
-        value = _left(value ^ _round(np.zeros_like(value), numbers[at]), 27) * P1 + P4
-        at, left = at + 8, left - 8
-    rest = numbers[at]
-    if left >= 4:
-        value = _left(value ^ ((rest & U(0xFFFFFFFF)) * P1), 23) * P2 + P3
-        rest, left = rest >> U(32), left - 4
-    for k in range(left):
-        value = _left(value ^ (((rest >> U(8 * k)) & U(255)) * P5), 11) * P1
-    value = (value ^ (value >> U(33))) * P2
-    value = (value ^ (value >> U(29))) * P3
-    return value ^ (value >> U(32))
-
-
-def xxh64_spans(data: np.ndarray, numbers: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """XXH64 of every span, a vectorised call for each length."""
-    out = np.empty(len(starts), U)
-    short = np.minimum(lengths, LONG + 1).astype(np.uint16)
-    order = np.argsort(short, kind="stable")
-    ends = np.cumsum(np.bincount(short, minlength=1))
-    for length in np.flatnonzero(np.diff(ends, prepend=0)):
-        own = order[ends[length - 1] if length else 0 : ends[length]]
-        if length <= LONG:
-            out[own] = xxh64_runs(numbers, starts[own], int(length))
-        else:
-            out[own] = [xxhash.xxh64_intdigest(data[a : a + n]) for a, n in zip(starts[own].tolist(), lengths[own].tolist(), strict=True)]
-    return out
-
-
 def _byte_steps() -> np.ndarray:
     """What one zero byte behind it makes of a checksum's lowest byte."""
     step = np.arange(256, dtype=np.uint32)

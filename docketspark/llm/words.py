@@ -1,14 +1,16 @@
 """Vectorised word hashing: whole batches of texts are hashed as one byte buffer with numpy.
 
-A word is a run of bytes outside the separator set; a word's hash is a polynomial of random byte weights
-modulo 2**64, taken from prefix sums, so no Python code runs per word.
+A word is a run of bytes outside the separator set; a word's hash is the XXH64 of its bytes, computed for all words of one
+length together, so no Python code runs per word of usual length.  A text's key is the 128-bit XXH3 of its words' hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from .shared import GROUP_BYTES
+from .xxh64 import at_every_byte, xxh64_spans
 
 U = np.uint64
 #: Bytes \x20 and \x09-\x0D, which part words.
@@ -102,7 +104,8 @@ def word_hashes(
             return
         data = np.frombuffer(b" ".join(group), np.uint8)
         starts, ends = spans(data, parts)
-        out.append(polynomial(WEIGHTS[data], starts, ends if prefix is None else np.minimum(ends, starts + prefix)))
+        lengths = ends - starts if prefix is None else np.minimum(ends - starts, prefix)
+        out.append(xxh64_spans(data, at_every_byte(data), starts, lengths))
         firsts = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))[:-1]
         which = np.searchsorted(firsts, starts, "right") - 1
         np.add.at(counts, np.array(owners)[which] + 1, 1)
@@ -137,7 +140,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
         return np.zeros(0, U), out_bounds
     factors = numbers(2, 2 * width + 1) | U(1)
     runs = np.zeros(len(words), U)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         runs[: len(words) - k] += words[k:] * factors[k]
     place = np.arange(len(words))
     keep = place + width <= np.repeat(bounds[1:], n)
@@ -149,11 +152,12 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def sequence_keys(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each text's whole word sequence; equal sequences have equal pairs."""
-    salt = mix(np.diff(bounds).astype(U))
-    first = polynomial(words, bounds[:-1], bounds[1:]) ^ salt
-    second = polynomial(mix(words + U(7)), bounds[:-1], bounds[1:], 0xD1342543DE82EF95) ^ salt
-    return first, second
+    """The two halves of a 128-bit hash of each text's whole word sequence; equal sequences have equal pairs."""
+    data = memoryview(np.ascontiguousarray(words, "<u8")).cast("B")
+    ends = (bounds * 8).tolist()
+    keys = b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True))
+    both = np.frombuffer(keys, "<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -8,7 +8,8 @@ import random
 import numpy as np
 import pytest
 
-from docketspark.llm import embedding_dedup, line_dedup, minhash_dedup
+from docketspark.llm import embedding_dedup, line_dedup, minhash_dedup, substring_dedup
+from docketspark.llm import words as W
 from docketspark.llm.graph import components
 from docketspark.llm.line_dedup import CuckooFilter, LineIndex
 
@@ -250,3 +251,33 @@ def test_clean_lines_keeps_columns(spark):
     assert out.columns == df.columns and out.where("doc_id = 1").first().text == "own one\nshort"
     assert out.where("doc_id = 1").first().n_chars == len("own one\nshort")
     assert hashlib.sha256(out.where("doc_id = 3").first().text.encode()).hexdigest() == hashlib.sha256(LINES[2][1].encode()).hexdigest()
+
+
+def thue_morse(n: int, a: str, b: str) -> list[str]:
+    return [b if bin(k).count("1") % 2 else a for k in range(n)]
+
+
+def test_structured_texts_stay_apart(spark):
+    """Words, and sequences of words, whose polynomials agree modulo 2**64 for every base."""
+    letters = ["".join(thue_morse(n, *ab)) for n in (1024, 2048, 4096) for ab in ("ab", "ba")]
+    hashes, bounds = W.word_hashes(letters)
+    assert len(set(hashes.tolist())) == 6
+    sequences = [" ".join(thue_morse(1024, *ab)) for ab in (("one", "two"), ("two", "one"))]
+    keys = W.sequence_keys(*W.word_hashes(sequences))
+    assert keys[0][0] != keys[0][1] and keys[1][0] != keys[1][1]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(letters)), "doc_id long, text string"), shingle=4, percent=80).collect()}
+    assert got == {k: k for k in range(6)}
+
+
+def test_no_structured_text_is_cut_for_another(spark):
+    def text(a, b):
+        return " ".join("".join(thue_morse(1024, a, b)) + str(k) for k in range(60))
+
+    docs = spark.createDataFrame([(1, text("a", "b")), (2, text("b", "a"))], "doc_id long, text string")
+    assert {r.n_repeated for r in substring_dedup.dedup_passages(docs, least=50, shingle=5, similarity=0.8).collect()} == {0}
+
+
+@pytest.mark.parametrize("texts", [["a"], ["a", "b"], ["a b", None, "c"], [""]])
+def test_tables_of_fewer_words_than_a_shingle(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in minhash_dedup.near_duplicates(rows, shingle=4, percent=80).collect()} == set(range(len(texts)))

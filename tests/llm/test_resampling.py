@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from differential import SMALL
-from docketspark.llm import queries, resampling
+from docketspark.llm import queries, resampling, xxh64
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 RNG = random.Random(1)
@@ -47,7 +47,7 @@ def test_buckets_equal_zlib(limit):
 def test_hashes_equal_the_library():
     data = np.frombuffer(bytes(RNG.randrange(256) for _ in range(3000)), np.uint8)
     starts, lengths = np.array([RNG.randrange(2000) for _ in range(600)]), np.array([RNG.randrange(0, 700) for _ in range(600)])
-    got = resampling.xxh64_spans(data, resampling.at_every_byte(data), starts, lengths)
+    got = xxh64.xxh64_spans(data, xxh64.at_every_byte(data), starts, lengths)
     assert got.tolist() == [xxhash.xxh64_intdigest(data[a : a + n].tobytes()) for a, n in zip(starts, lengths, strict=True)]
 
 
