@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from .coverage import Coverage
 
 
 class QueryError(ValueError):
@@ -55,7 +56,7 @@ class Spec:
     ``date`` is the column of ``since`` and ``until``; None binds them to the sort field, which must then be a date; without
     ``dated`` there is no window.  ``ascending`` is the default order.  ``complete`` adds the arguments that depend on others.
     ``gap`` says whether a request falls into a known gap, ``shallow`` what to say with every answer of a shallow table, and
-    ``since`` and ``until`` name all window ends of a request.
+    ``since`` and ``until`` name all window ends of a request.  ``notes`` says what else a request's answer can't tell.
     """
 
     table: str
@@ -75,6 +76,7 @@ class Spec:
     shallow: str | None = None
     since: tuple[str, ...] = ("since",)
     until: tuple[str, ...] = ("until",)
+    notes: Callable[[Mapping[str, Any], Coverage | None], list[str | None]] = lambda arguments, held: []
 
 
 @dataclass

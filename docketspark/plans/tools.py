@@ -67,7 +67,9 @@ class Registry:
         except QueryError as error:
             return one.select(*_row(None, None, F.lit(False), F.lit(str(error))))
         given = [[arguments[x] for x in names if arguments.get(x)] for names in (spec.since, spec.until)]
-        say = lambda n, truncated: F.lit(coverage.notice(warehouse.covered(spec.table), n, truncated, *given, spec.gap(arguments), spec.shallow))
+        held = warehouse.covered(spec.table)
+        notes = spec.notes(arguments, held)
+        say = lambda n, truncated: F.lit(coverage.joined(coverage.notice(held, n, truncated, *given, spec.gap(arguments), spec.shallow), *notes))
         n = F.count("rn").over(Window.partitionBy("one"))  # of a page
         rows = one.select(F.lit(1).alias("one")).join(page.select("rn", F.col(spec.key).cast("string").alias("key"), F.lit(1).alias("one")), "one", "left")
         verdict = F.when(n == 0, say(0, False)).when(n >= limit, say(1, True)).otherwise(say(1, False)).cast("string")

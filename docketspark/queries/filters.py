@@ -10,6 +10,8 @@ from ..functions import text as T
 from ..functions.dates import iso
 from ..functions.numbers import exact_sum
 from ..operators import relational as R
+from ..session import fresh_folder
+from ..sources import readers
 from .base import Tables, query
 
 DAY = "%Y-%m-%d"
@@ -89,6 +91,27 @@ def q_delimited(t: Tables) -> DataFrame:
     )
 
 
+@query("""SELECT l_orderkey || '-' || l_linenumber AS instrument, strftime(l_shipdate, '%Y-%m-%d') AS settlement_date, CAST(l_quantity AS BIGINT) AS quantity, CASE WHEN l_partkey % 5 > 0 THEN l_extendedprice END AS price,
+CASE WHEN l_partkey % 5 > 0 THEN CAST(l_quantity AS BIGINT) * l_extendedprice ELSE 0 END AS fail_value FROM lineitem""")
+def q_settlements(t: Tables) -> DataFrame:
+    """Lines of a settlement file, with headers, notes and prices that are no numbers, through the reader."""
+    price = F.when(F.col("l_partkey") % 5 > 0, F.col("l_extendedprice").cast("string")).otherwise(".")
+    line = F.concat_ws("|", F.date_format("l_shipdate", "yyyyMMdd"), F.concat_ws("-", "l_orderkey", "l_linenumber"), F.lit("SYM"), F.col("l_quantity").cast("long").cast("string"), F.lit("A NAME"), price)
+    odd = F.when(F.col("l_linenumber") == 1, F.array(F.lit("SETTLEMENT DATE|CUSIP|SYMBOL|QUANTITY (FAILS)|DESCRIPTION|PRICE"), line, F.lit("Trailer record count 7"))).otherwise(F.array(line))
+    path = fresh_folder(t.spark, "settlements")
+    t.lineitem.select(F.explode(odd).alias("value")).write.text(path)
+    return readers.settlements(t.spark, path).select("instrument", "settlement_date", "quantity", "price", "fail_value")
+
+
+@query("""SELECT o_orderkey, 'cache' AS source, true AS warned FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey, 'live', false FROM customer""")
+def q_live_fallback(t: Tables) -> DataFrame:
+    """A live source that fails gives the cached rows and a warning; one that answers gives its own."""
+    cached = t.orders.where("o_orderstatus = 'F'").select("o_orderkey")
+    failed, warning = readers.live_first(lambda: t.spark.read.parquet(f"{t.folder}/no-such-service.parquet").select("o_orderkey"), lambda: cached)
+    fine, silence = readers.live_first(lambda: t.customer.select(F.col("c_custkey").alias("o_orderkey")), lambda: cached)
+    return failed.withColumn("warned", F.lit(warning is not None)).unionByName(fine.withColumn("warned", F.lit(silence is not None)))
+
+
 @query("""SELECT event_type, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k_sum, count(*) AS n FROM events GROUP BY event_type""")
 def q_json_props(t: Tables) -> DataFrame:
     k = F.from_json("props", "k long")["k"]

@@ -17,6 +17,7 @@ from ..functions import classify as C
 from ..functions import text as X
 from ..functions.dates import iso
 from ..operators import relational as R
+from ..plans import coverage
 from ..plans.spec import Parameter, Spec
 from ..plans.tools import Registry, Warehouse
 from ..session import fresh_folder
@@ -46,14 +47,14 @@ def any_of(column: str) -> Parameter:
     return Parameter(lambda v: F.col(column).isin(*v[:30]), list)
 
 
-Request = tuple[dict[str, Any], str, str]
+Request = tuple[dict[str, Any], str, str] | tuple[dict[str, Any], str, str, list[str]]
 
 
 def tool(name: str, spec: Spec, view: Callable[[Tables], DataFrame], sql: str, requests: list[Request], date: str | None) -> None:
     """Register a tool and its query ``q_tool_<name>``.
 
-    ``sql`` is the view; a request has its arguments, its predicate in SQL and its order in SQL.  An order of "!" marks a
-    request that is refused, its predicate being the error's text.
+    ``sql`` is the view; a request has its arguments, its predicate in SQL, its order in SQL and the notes that its verdict
+    ends with.  An order of "!" marks a request that is refused, its predicate being the error's text.
     """
     TOOLS.add(name, spec)
 
@@ -65,24 +66,24 @@ def tool(name: str, spec: Spec, view: Callable[[Tables], DataFrame], sql: str, r
         half = F.pmod(F.xxhash64(spec.key), F.lit(2))
         for k in (0, 1):
             store.upsert(rows.where(half == k).withColumn("seq", F.lit(1)), k)
-        answers = [TOOLS.answer(name, warehouse, asked).select(F.lit(k).alias("request"), "*") for k, (asked, _, _) in enumerate(requests)]
+        answers = [TOOLS.answer(name, warehouse, asked).select(F.lit(k).alias("request"), "*") for k, (asked, *_) in enumerate(requests)]
         return reduce(DataFrame.unionByName, answers)
 
     parts = []
-    for k, (asked, where, order) in enumerate(requests):
+    for k, (asked, where, order, *notes) in enumerate(requests):
         if order == "!":
             parts.append(f"SELECT {k} AS request, NULL::BIGINT AS rn, NULL::VARCHAR AS key, false AS has_more, '{where}' AS verdict")
             continue
         limit = asked.get("limit", spec.default_limit)
         since, until = ([asked[x] for x in names if asked.get(x)] for names in (spec.since, spec.until))
-        parts.append(_page_sql(k, where, order, limit, spec.key, min(since, default=None), max(until, default=None), date is not None))
+        parts.append(_page_sql(k, where, order, limit, spec.key, min(since, default=None), max(until, default=None), date is not None, *notes))
     held = f"SELECT min({date}) FILTER (WHERE {date} >= '1900-01-01') AS low, max({date}) AS high FROM v" if date else "SELECT NULL AS low, NULL AS high"
     SQL[f"q_tool_{name}"] = f"WITH v AS ({sql}), c AS ({held}) " + " UNION ALL ".join(f"({x})" for x in parts)
     run.__doc__ = f"Pages and verdicts of {name}."
     QUERIES[f"q_tool_{name}"] = lambda spark, folder: run(Tables(spark, folder))
 
 
-def _page_sql(k: int, where: str, order: str, limit: int, key: str, since: str | None, until: str | None, dated: bool) -> str:
+def _page_sql(k: int, where: str, order: str, limit: int, key: str, since: str | None, until: str | None, dated: bool, notes: list[str] = []) -> str:  # noqa: B006
     """One request's page with its verdict, the first rule of the survey's A.4 that fits."""
     before = f"'{since}' < low" if since else "false"
     after = f"'{until}' > high" if until else "false"
@@ -94,6 +95,8 @@ def _page_sql(k: int, where: str, order: str, limit: int, key: str, since: str |
     ELSE {empty} || CASE WHEN {before} OR {after} THEN ', the window reaches to the ' || {side} || ' side' ELSE '' END END"""
     partial = f"CASE WHEN {before} OR {after} THEN 'partial coverage on the ' || {side} || ' side: the table holds ' || low || ' to ' || high END" if since or until else "NULL"
     verdict = f"CASE WHEN n = 0 THEN {empty} WHEN n >= {limit} THEN {partial} END" if dated else "NULL::VARCHAR"
+    if notes:
+        verdict = f"concat_ws('; ', {verdict}, {', '.join(notes)})"
     return f"""WITH p AS (SELECT row_number() OVER (ORDER BY {order}) AS rn, CAST({key} AS VARCHAR) AS key FROM v WHERE {where}),
 n AS (SELECT count(*) AS n FROM p)
 SELECT {k} AS request, rn, key, n > {limit} AS has_more, {verdict} AS verdict FROM n CROSS JOIN c LEFT JOIN p ON rn <= {limit}"""
@@ -112,6 +115,7 @@ tool(
         },
         {"disclosure_date": "disclosure_date", "transaction_date": "transaction_date", "total_value": "value"}, "disclosure_date",
         numeric_sorts=frozenset({"total_value"}), complete=lambda a: {"include_non_open_market": not a.get("transaction_type"), **a},
+        notes=lambda a, held: [coverage.beyond([a[x] for x in ("until",) if a.get(x)], held.high), coverage.unanchored(a.get("officer_name"), a.get("ticker"))],
         derive=lambda df: df.withColumns({"nature": C.nature(F.col("code")), "direction": C.direction(F.col("code"), F.col("ad"))}),
     ),
     lambda t: t.orders.select(
@@ -129,9 +133,9 @@ FROM (SELECT o_orderkey AS id, 'T' || (o_custkey % 50) AS ticker, o_orderpriorit
         ({"ticker": "T7", "limit": 10}, "ticker = 'T7'", "disclosure_date DESC NULLS LAST, id"),
         ({"transaction_type": "buy", "since": "1990-01-01", "limit": 5}, "direction = 'buy' AND nature IN ('OPEN_MARKET', 'INSUFFICIENT_DATA') AND disclosure_date >= '1990-01-01'", "disclosure_date DESC NULLS LAST, id"),
         ({"sort_by": "transaction_date", "sort_order": "asc", "since": "1996-01-01", "until": "1996-02-01", "include_non_open_market": False}, "nature IN ('OPEN_MARKET', 'INSUFFICIENT_DATA') AND transaction_date BETWEEN '1996-01-01' AND '1996-02-01'", "transaction_date ASC NULLS LAST, id"),
-        ({"officer_name": "low", "transaction_codes": ["G", "X"], "min_value": 300000.0, "limit": 20}, "regexp_matches(lower(officer), '\\blow\\b') AND code IN ('G', 'X') AND value >= 300000", "disclosure_date DESC NULLS LAST, id"),
-        ({"since": "2040-01-01", "until": "2041-01-01"}, "disclosure_date BETWEEN '2040-01-01' AND '2041-01-01'", "id"),
-        ({"ticker": "none", "until": "2041-01-01"}, "ticker = 'none'", "id"),
+        ({"officer_name": "low", "transaction_codes": ["G", "X"], "min_value": 300000.0, "limit": 20}, "regexp_matches(lower(officer), '\\blow\\b') AND code IN ('G', 'X') AND value >= 300000", "disclosure_date DESC NULLS LAST, id", ["'the search for ''low'' has no identifier beside the name, so an empty or short answer proves nothing'"]),
+        ({"since": "2040-01-01", "until": "2041-01-01"}, "disclosure_date BETWEEN '2040-01-01' AND '2041-01-01'", "id", ["'loaded through ' || high || ' only; later days are missing'"]),
+        ({"ticker": "none", "until": "2041-01-01"}, "ticker = 'none'", "id", ["'loaded through ' || high || ' only; later days are missing'"]),
         ({"sort_by": "total_value", "since": "1996-01-01"}, "INVALID_QUERY: a date window can''t be combined with sorting by total_value", "!"),
         ({"transaction_type": "hold"}, "INVALID_ARGUMENT: transaction_type must be one of buy, sell", "!"),
     ],
@@ -214,6 +218,7 @@ tool(
         "congress", "id",
         {"bioguide_id": equals("bioguide_id"), "member_name": holds("member"), "transaction_type": equals("transaction_type", choices=("view", "click", "purchase", "error", "signup")), "min_amount": at_least("amount_min")},
         {"disclosure_date": "disclosure_date", "transaction_date": "transaction_date", "amount_min": "amount_min"}, "disclosure_date", numeric_sorts=frozenset({"amount_min"}),
+        notes=lambda a, held: [coverage.unanchored(a.get("member_name"), a.get("bioguide_id"))],
     ),
     lambda t: t.events.select(
         F.col("event_id").alias("id"), F.concat(F.lit("B"), F.col("user_id").cast("string")).alias("bioguide_id"), F.concat(F.lit("Member "), F.col("user_id").cast("string")).alias("member"),
@@ -223,7 +228,8 @@ tool(
   strftime(ts - INTERVAL 20 DAY, '%Y-%m-%d') AS transaction_date FROM events""",
     [
         ({"bioguide_id": "B8", "limit": 10}, "bioguide_id = 'B8'", "disclosure_date DESC NULLS LAST, id"),
-        ({"member_name": "12", "transaction_type": "click"}, "regexp_matches(lower(member), '\\b12\\b') AND transaction_type = 'click'", "disclosure_date DESC NULLS LAST, id"),
+        ({"member_name": "12", "transaction_type": "click"}, "regexp_matches(lower(member), '\\b12\\b') AND transaction_type = 'click'", "disclosure_date DESC NULLS LAST, id", ["'the search for ''12'' has no identifier beside the name, so an empty or short answer proves nothing'"]),
+        ({"member_name": "member", "bioguide_id": "B9", "limit": 2}, "bioguide_id = 'B9'", "disclosure_date DESC NULLS LAST, id"),
         ({"sort_by": "amount_min", "min_amount": 20.0, "limit": 7}, "amount_min >= 20", "amount_min DESC NULLS LAST, id"),
         ({"sort_by": "transaction_date", "until": "2023-12-20", "limit": 9, "sort_order": "asc"}, "transaction_date <= '2023-12-20'", "transaction_date ASC NULLS LAST, id"),
         ({"since": "2024-01-20", "until": "2026-01-01", "limit": 12}, "disclosure_date BETWEEN '2024-01-20' AND '2026-01-01'", "disclosure_date DESC NULLS LAST, id"),
@@ -401,14 +407,15 @@ tool(
         "complaints", "id",
         {"id": equals("id", int, point=True), "company": holds("company"), "product": equals("product"), "issue": holds("issue"), "state": equals("state"), "timely_response": equals("timely", bool)},
         {"date_received": "date_received", "company": "company"}, "date_received",
+        notes=lambda a, held: [coverage.narrowed("timely_response", a.get("timely_response") is not None, "complaints without an answer")],
     ),
     lambda t: t.events.join(t.customer, F.col("user_id") == F.col("c_custkey")).select(
         F.col("event_id").alias("id"), F.col("c_name").alias("company"), F.col("c_mktsegment").alias("product"), F.col("props").alias("issue"), F.concat(F.lit("S"), F.col("c_nationkey").cast("string")).alias("state"),
-        (F.col("event_id") % 3 == 0).alias("timely"), iso(F.col("ts")).alias("date_received"),
+        F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 3 == 0).alias("timely"), iso(F.col("ts")).alias("date_received"),
     ),
-    "SELECT event_id AS id, c_name AS company, c_mktsegment AS product, props AS issue, 'S' || c_nationkey AS state, event_id % 3 = 0 AS timely, strftime(ts, '%Y-%m-%d') AS date_received FROM events JOIN customer ON user_id = c_custkey",
+    "SELECT event_id AS id, c_name AS company, c_mktsegment AS product, props AS issue, 'S' || c_nationkey AS state, CASE WHEN event_id % 7 > 0 THEN event_id % 3 = 0 END AS timely, strftime(ts, '%Y-%m-%d') AS date_received FROM events JOIN customer ON user_id = c_custkey",
     [
-        ({"product": "BUILDING", "timely_response": False, "limit": 5}, "product = 'BUILDING' AND NOT timely", "date_received DESC NULLS LAST, id"),
+        ({"product": "BUILDING", "timely_response": False, "limit": 5}, "product = 'BUILDING' AND NOT timely", "date_received DESC NULLS LAST, id", ["'the filter on timely_response leaves out complaints without an answer, which never have it'"]),
         ({"company": "#000000008", "issue": "k"}, "contains(lower(company), '#000000008') AND regexp_matches(lower(issue), '\\bk\\b')", "date_received DESC NULLS LAST, id"),
         ({"state": "S2", "since": "2024-01-15", "until": "2024-01-15"}, "state = 'S2' AND date_received = '2024-01-15'", "date_received DESC NULLS LAST, id"),
         ({"id": 3}, "id = 3", "id"),
