@@ -59,7 +59,7 @@ class Conflict(RuntimeError):
     """Another writer published first."""
 
 
-class _Files:
+class Files:
     """The few operations on Spark's file systems that publishing needs."""
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -112,7 +112,7 @@ class KeyedStore:
         self.spark, self.folder, self.keys, self.sequence, self.date, self.present = spark, folder.rstrip("/"), list(keys), sequence, date, present
         self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         self.rows_per_bucket = rows_per_bucket
-        self.files = _Files(spark, self.folder)
+        self.files = Files(spark, self.folder)
 
     # the pointer
 

@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketspark.operators import relational as R
-from docketspark.plans import coverage, fanout
-from docketspark.plans.reconcile import reconcile
+from docketspark.plans import coverage, fanout, report
+from docketspark.plans.reconcile import Adapter, reconcile, reconcile_all, states
 from docketspark.plans.spec import Parameter, QueryError, Spec, plan, run
 
 ROWS = [(1, "a", "2024-01-01", 10.0), (2, "b", "2024-02-01", 30.0), (3, "a", "2024-03-01", None), (4, "a", "2024-03-01", 5.0)]
@@ -156,3 +156,37 @@ def test_position_changes_say_what_is_unknown(spark):
         ("first", "a"): (5, *unknown),
         ("none", "a"): (1, *unknown),
     }
+
+
+def adapters(spark):
+    first = Adapter(
+        "a|b <x>", spark.createDataFrame([(1, 2020, "1"), (1, 2019, "0"), (2, 2021, "2"), (3, None, "3"), (None, 2020, "4")], "key long, year int, seq string"),
+        spark.createDataFrame([(1, "x"), (1, ""), (9, None), (None, "x")], "key long, kind string"), ("x", "never"), lambda: F.when(F.col("key") == "2", "nil").otherwise("odd"),
+    )
+    return [first, Adapter("none", spark.createDataFrame([], "key long, year int, seq string"), spark.createDataFrame([(5, "k")], "key long, kind string"))]
+
+
+def test_reconcile_all(spark):
+    got = {(r.collection, r.part, r["name"]): (r.n, r.share) for r in reconcile_all(adapters(spark)).collect()}
+    one = {k[1:]: v for k, v in got.items() if k[0] == "a|b <x>"}
+    assert one[("total", "source")][0] == 3 and abs(one[("total", "source")][1] - 100 / 3) < 1e-9
+    assert [one[("total", x)][0] for x in ("present", "missing", "extra")] == [1, 2, 1]
+    assert {k[1]: v[0] for k, v in one.items() if k[0] == "source"} == {"2019": 1, "2021": 1, "-": 1}
+    assert {k[1]: v[0] for k, v in one.items() if k[0] == "kind"} == {"x": 2, "(none)": 2, "never": 0}
+    assert {k[1]: v[0] for k, v in one.items() if k[0] == "class"} == {"recoverable": 0, "nil": 1, "unreadable": 0, "gone": 0, "unclassified": 1}
+    assert one[("unexplained", "unexplained")] == (1, None)
+    assert got[("none", "total", "source")] == (0, 0.0) and got[("none", "total", "extra")] == (1, None)
+    some = {(r.collection, r.part, r["name"]): r.n for r in reconcile_all(adapters(spark), first=1).collect()}
+    assert some[("a|b <x>", "class", "unclassified")] == 1 and ("a|b <x>", "unexplained", "unexplained") not in some
+
+
+def test_reports(spark, tmp_path):
+    tallies, keys = reconcile_all(adapters(spark)), states(adapters(spark))
+    report.write(tallies, keys, str(tmp_path))
+    text, page = (tmp_path / "report.md").read_text(), (tmp_path / "report.html").read_text()
+    assert "# a\\|b <x>" in text and "| never | 0 | READS ZERO |" in text and "| 2021 | 1 | 0 | 1 | 0.00 % |" in text and "| unexplained (should be 0) | 1 |" in text
+    assert "<h1>a|b &lt;x&gt;</h1>" in page and "<td>33.33 %</td>" in page and "<h1>none</h1>" in page
+    listed = spark.read.option("header", True).csv(f"{tmp_path}/missing")
+    assert sorted(tuple(r) for r in listed.collect()) == [("a|b <x>", "2", "2021"), ("a|b <x>", "3", "-")]
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        report.write(tallies, keys, str(tmp_path))
