@@ -5,7 +5,7 @@ all, so copies cost one row.  Each class vector is turned by pseudo-random rotat
 Hadamard transform, three times over); its hash is the coordinate of largest magnitude with its sign.  A table's
 bucket joins ``hashes`` such values, and every vector also enters the buckets of its next most likely values
 (multiprobe).  Vectors of one label that share a bucket are candidates; a large bucket is worked on in blocks of
-bounded size, every block meeting every other once, and a pair only counts in one bucket that both share, the one
+bounded size, each a call of its own, every block meeting every other once, and a pair only counts in one bucket that both share, the one
 with the smallest key.
 
 A block verifies its pairs by cosine in double precision, on vectors scaled by their largest component, and returns,
@@ -111,12 +111,13 @@ def settled_block(keys_a: np.ndarray, keys_b: np.ndarray, bucket: int) -> np.nda
     return out == 0
 
 
-def unit_vectors(lists: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def unit_vectors(lists: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: which vectors, and those scaled to norm 1 in double precision, whatever their magnitude."""
-    sizes, out = np.array([len(x) for x in lists]), {}
+    flat, sizes, out = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(), {}
+    starts = np.cumsum(sizes) - sizes
     for size in np.unique(sizes):
         these = np.flatnonzero(sizes == size)
-        x = np.array([lists[k] for k in these], float)
+        x = flat[starts[these][:, None] + np.arange(size)].astype(float)
         x /= np.abs(x).max(axis=1)[:, None]
         out[int(size)] = these, x / np.sqrt((x * x).sum(axis=1))[:, None]
     return out
@@ -128,14 +129,16 @@ def verify_unit(table: pa.Table, least: float) -> pa.Table:
     key = table.column("key").to_numpy()
     lists = table.column("keys").combine_chunks()
     all_keys = lists.flatten().to_numpy().reshape(len(ids), -1)
-    vectors = table.column("vector").to_pylist()
+    vectors = table.column("vector").combine_chunks()
     counts = np.zeros(len(ids), np.int64)
     links: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        np.add.at(counts, a, copies[b])
-        np.add.at(counts, b, copies[a])
-        links.append((a, b))
+    def contract(a: np.ndarray, b: np.ndarray) -> None:
+        """Keep of some pairs one link a vector, at once, so that a call never holds the pairs of several blocks."""
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        low = lowest(at[: len(a)], at[len(a) :], len(nodes))
+        tied = np.flatnonzero(low != np.arange(len(nodes)))
+        links.append((nodes[tied], nodes[low[tied]]))
 
     for these, x in unit_vectors(vectors).values():
         order = np.lexsort((second[these], first[these], bucket[these]))
@@ -157,7 +160,10 @@ def verify_unit(table: pa.Table, least: float) -> pa.Table:
             near = np.einsum("ij,ij->i", x[order[i]], x[order[j]]) >= least
             a, b = rows[i[near]], rows[j[near]]
             good = settled_pairs(all_keys[a], all_keys[b], key[a])
-            keep(a[good], b[good])
+            a, b = a[good], b[good]
+            np.add.at(counts, a, copies[b])
+            np.add.at(counts, b, copies[a])
+            contract(a, b)
             at = end
         for g in np.setdiff1d(np.flatnonzero(sizes > 1), few):
             part = np.arange(bounds[g], bounds[g + 1])
@@ -169,7 +175,7 @@ def verify_unit(table: pa.Table, least: float) -> pa.Table:
             np.add.at(counts, rows[left], near @ copies[rows[right]])
             np.add.at(counts, rows[right], near.T @ copies[rows[left]])
             i, j = np.nonzero(near)
-            links.append((rows[left[i]], rows[right[j]]))
+            contract(rows[left[i]], rows[right[j]])
     a, b = (np.concatenate(x) for x in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
     low = lowest(a, b, len(ids))
     tied, touched = np.flatnonzero(low != np.arange(len(ids))), np.flatnonzero(counts)
@@ -177,6 +183,29 @@ def verify_unit(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": np.concatenate([ids[tied], ids[touched]]), "b": np.concatenate([ids[low[tied]], ids[touched]]), "n": n})
 
 
+def dealt_to_calls(classes: DataFrame) -> DataFrame:
+    """A row for each vector of ``classes`` and each block that it enters, with ``unit``, the call that works on it.
+
+    A call holds the two sides of one block of a large bucket, or small buckets of about four blocks' vectors, so its
+    rows don't grow with the largest bucket.
+    """
+    bucket = F.xxhash64("label", "key").alias("bucket")
+    entered = classes.select("node", "label", F.explode(F.array_distinct("keys")).alias("key")).select(bucket)
+    sizes = cut(entered.groupBy("bucket").count().where("count > 1"))
+    large = cut(sizes.where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("n_blocks")))
+    shared = sizes.where(F.col("count") <= BLOCK).agg(F.sum("count")).first()[0] or 0
+    full = classes.select("node", F.col("count").alias("copies"), "vector", "keys", "label", F.explode(F.array_distinct("keys")).alias("key"))
+    full = full.select("node", "copies", "vector", "keys", "key", bucket)
+    dealt = join_checked(full, large, "bucket", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
+        "bucket", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "node", "copies", "vector", "keys", "n_blocks"
+    )
+    # small buckets share calls of about four blocks; each block of a large bucket is a call of its own
+    few = F.pmod("bucket", F.lit(1 + shared // (4 * BLOCK)))
+    return spread.withColumn("unit", F.when(F.col("n_blocks") > 1, F.xxhash64("bucket", "first", "second")).otherwise(few)).drop("n_blocks")
+
+
 def near_duplicates(
     vectors: DataFrame, least: float = 0.93, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES
 ) -> DataFrame:
@@ -197,26 +226,15 @@ def near_duplicates(
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = np.zeros((batch.num_rows, tables * probes), np.int32)
-        for these, x in unit_vectors(batch.column("vector").to_pylist()).values():
+        for these, x in unit_vectors(batch.column("vector")).values():
             keys[these] = buckets(x, tables, hashes, probes)
         offsets = pa.array(np.arange(0, keys.size + 1, tables * probes), pa.int32())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], [*batch.schema.names, "keys"])
 
     classes = cut(by_batch(classes, hashed, f"class long, class2 int, vec_id long, node long, label string, vector {kind}, count long, keys array<int>"))
-    bucket = F.xxhash64("label", "key").alias("bucket")
-    entered = classes.select("node", "label", F.explode(F.array_distinct("keys")).alias("key")).select(bucket)
-    large = cut(entered.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("n_blocks")))
-    full = classes.select("node", F.col("count").alias("copies"), "vector", "keys", "label", F.explode(F.array_distinct("keys")).alias("key"))
-    full = full.select("node", "copies", "vector", "keys", "key", bucket)
-    dealt = join_checked(full, large, "bucket", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "bucket", "key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "node", "copies", "vector", "keys"
-    )
-    units = max(1, classes.count() * tables * probes // (4 * BLOCK))  # blocks of small buckets share a call
     ship(vectors.sparkSession)
     settled = cut(
-        spread.groupBy(F.pmod(F.xxhash64("bucket", "first", "second"), F.lit(units)).alias("unit")).applyInArrow(
+        dealt_to_calls(classes).groupBy("unit").applyInArrow(
             lambda table: verify_unit(table, least), "a long, b long, n long"
         )
     )

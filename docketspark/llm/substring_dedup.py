@@ -48,8 +48,8 @@ from .shared import GROUP_BYTES, by_batch, cut, join_checked, join_spread, rewri
 FUNCTIONS, AGREE = 4, 2
 #: Shingles without a match that a passage may hold between two matching stretches.
 GAP = 12
-#: Windows that one block holds at most on each side.
-BLOCK = 2048
+#: Windows that one block holds at most on each side, and windows of groups of one block that a call holds on average.
+BLOCK, CALL = 2048, 2048
 #: A min-hash with more open windows than this is a common phrase; of so many phrases the shingles are put last.
 COMMON, PHRASES = 64, 20_000
 #: Groups of at most so many windows are compared beside others with the same smallest document.
@@ -508,6 +508,34 @@ def first_window(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.struct(*NODE, "at")).alias("o"))
 
 
+def dealt_to_calls(members: DataFrame, left: DataFrame, width: int) -> DataFrame:
+    """``unit, pair, doc_id, tag, start, centre, asks``: the windows of each call on the groups that have pairs left.
+
+    ``members`` has ``pair, doc_id, tag, at, open``; ``left`` has for each group its ``count``, open ones ``n_open``, its
+    smallest window ``x`` but for the first, and its largest document ``y`` with an open window.  Each block of a large
+    group is a call of its own.  Groups of one block share calls of about ``CALL`` windows, small ones with those whose
+    smallest windows lie near each other in one document, so that a call holds a stretch of text once for all of them.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    left = left.where(node("x.") < F.col("y")).withColumns({"n_rows": blocks("count"), "n_columns": blocks("n_open")})
+    near = F.xxhash64("x.doc_id", "x.tag", F.shiftright(centre_of("x.at"), 8))
+    left = cut(left.withColumn("call", F.when(F.col("count") <= TOGETHER, near).otherwise(F.xxhash64("pair"))).drop("x"))
+    shared = left.where("n_rows = 1 and n_columns = 1").agg(F.sum(F.col("count") + F.col("n_open"))).first()[0] or 0
+    members = join_spread(members, left.drop("n_open"), "pair", node(), counts=left).where(node() <= F.col("y")).drop("y")
+    around = F.greatest(centre_of("at") - (width - 1 + NEAR), F.lit(0)).cast("int")
+    members = written(members.withColumn("start", around).withColumn("centre", centre_of("at").cast("int")).drop("at"))
+    spot = F.xxhash64(*NODE, "start")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(spot, F.col(n)).cast("int")
+    plain = ["pair", "call", "n_rows", "n_columns", *NODE, "start", "centre"]
+    dealt = members.select(*plain, F.lit(False).alias("asks"), deal("n_rows").alias("row"), each("n_columns").alias("column")).unionByName(
+        members.where("open").select(*plain, F.lit(True).alias("asks"), each("n_rows").alias("row"), deal("n_columns").alias("column"))
+    )
+    alone = (F.col("n_rows") > 1) | (F.col("n_columns") > 1)
+    unit = F.when(alone, F.xxhash64("pair", "row", "column")).otherwise(F.pmod("call", F.lit(1 + shared // CALL)))
+    return dealt.select(unit.alias("unit"), "pair", *NODE, "start", "centre", "asks")
+
+
 def settle(docs: DataFrame, rows: DataFrame, explained: DataFrame, shingle: int, similarity: float, width: int, functions: int) -> DataFrame:
     """``doc_id, tag, o_doc_id, o_tag, spans``: what smaller documents repeat of the windows that are still open.
 
@@ -524,26 +552,14 @@ def settle(docs: DataFrame, rows: DataFrame, explained: DataFrame, shingle: int,
     sure = cut(verify(docs, cut(candidates(linked_to(members, firsts, "pair", groups), 1, width)), shingle, similarity, width))
     # what is open now has met its group's first window; all others of smaller documents are left
     members = join_spread(still_open(members, sure), firsts, "pair", node(), counts=groups)
-    is_first = F.struct(*NODE, "at") == F.col("o")
+    window = F.struct(*NODE, "at")
     left = members.groupBy("pair").agg(
-        F.count("*").alias("count"), F.sum(F.col("open").cast("long")).alias("n_open"), F.min(F.when(~is_first, node())).alias("x"), F.max(F.when(F.col("open"), node())).alias("y")
-    )
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    left = cut(left.where("x < y").select("pair", "count", "y", F.xxhash64("x").alias("x"), blocks("count").alias("n_rows"), blocks("n_open").alias("n_columns")))
-    members = join_spread(members.drop("o"), left, "pair", node(), counts=left).where(node() <= F.col("y")).drop("y")
-    around = F.greatest(centre_of("at") - (width - 1 + NEAR), F.lit(0)).cast("int")
-    members = written(members.withColumn("start", around).withColumn("centre", centre_of("at").cast("int")).drop("at"))
-    spot = F.xxhash64(*NODE, "start")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    deal = lambda n: F.pmod(spot, F.col(n)).cast("int")
-    plain = ["pair", "x", "count", *NODE, "start", "centre"]
-    dealt = members.select(*plain, F.lit(False).alias("asks"), deal("n_rows").alias("row"), each("n_columns").alias("column")).unionByName(
-        members.where("open").select(*plain, F.lit(True).alias("asks"), each("n_rows").alias("row"), deal("n_columns").alias("column"))
+        F.count("*").alias("count"),
+        F.sum(F.col("open").cast("long")).alias("n_open"),
+        F.min(F.when(window != F.col("o"), window)).alias("x"),
+        F.max(F.when(F.col("open"), node())).alias("y"),
     )
-    # small groups with one smallest document share a call, in which a stretch of text is held once for all of them
-    unit = F.when(F.col("count") <= TOGETHER, F.xxhash64("x", F.shiftright("centre", 8))).otherwise(F.xxhash64("pair", "row", "column"))
-    dealt = dealt.withColumn("unit", F.pmod(unit, F.lit(1 + members.count() // 2048)))
-    dealt = written(dealt.select("unit", "pair", *NODE, "start", "centre", "asks"))
+    dealt = written(dealt_to_calls(members.drop("o"), left, width))
     asked = dealt.select("unit", *NODE, "start").distinct()
     span = F.struct("start", (F.col("start") + 3 * width).alias("end"))
     texts = clipped(asked.groupBy(*NODE).agg(F.collect_set(span).alias("at")), docs, shingle)

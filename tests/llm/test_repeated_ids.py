@@ -81,3 +81,67 @@ def test_passages_among_common_phrases_against_brute_force(spark, monkeypatch):
         wanted[doc] = len({k + j for k in starts for j in range(50)})
     rows = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
     assert {r.doc_id: r.n_repeated for r in substring_dedup.dedup_passages(rows).collect()} == wanted
+
+
+def test_windows_of_one_group_meet_wherever_they_lie(spark, monkeypatch):
+    """Documents whose groups are all led by an unrelated one are compared in one call, far apart as the passages are."""
+    monkeypatch.setattr(substring_dedup, "CALL", 1)
+    rng, docs = random.Random(8), {}
+    for k in range(40):
+        passage = words(rng, 55)
+        for part in range(0, 55, 45):  # two documents that hold most of the passage's shingles, and too few to repeat it
+            docs[10 * k + part // 45] = [*words(rng, 60), *passage[part : part + 45], *words(rng, 60)]
+        docs[10 * k + 2] = [*words(rng, 55), *passage[4:49], *words(rng, 60)]
+        docs[10 * k + 3] = [*words(rng, 20), *passage, *words(rng, 60)]
+        docs[10 * k + 4] = [*words(rng, 900 + 260 * (k % 3)), *passage, *words(rng, 60)]
+    wanted = {}
+    for doc, own in docs.items():
+        smaller = {tuple(x[k : k + 50]) for other, x in docs.items() if other < doc for k in range(len(x) - 49)}
+        starts = [k for k in range(len(own) - 49) if tuple(own[k : k + 50]) in smaller]
+        wanted[doc] = len({k + j for k in starts for j in range(50)})
+    rows = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string")
+    assert {r.doc_id: r.n_repeated for r in substring_dedup.dedup_passages(rows).collect()} == wanted
+
+
+def test_calls_of_passages_stay_bounded(spark, monkeypatch):
+    """The largest call is no larger for a group of four times the windows, and every pair of a group meets in a call."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 16)
+    largest = []
+    for n in (100, 200, 400):
+        at = F.expr("shiftleft(id * 300, 32)")
+        windows = [spark.range(n).select(F.lit(1).cast("long").alias("pair"), "id", at.alias("at"))]
+        windows.append(spark.range(60).select((F.col("id") % 20 + 2).alias("pair"), "id", at.alias("at")))
+        members = windows[0].union(windows[1]).select("pair", F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("tag"), "at", (F.col("id") % 2 == 0).alias("open"))
+        window, node = F.struct("doc_id", "tag", "at"), F.struct("doc_id", "tag")
+        left = members.groupBy("pair").agg(
+            F.count("*").alias("count"), F.sum(F.col("open").cast("long")).alias("n_open"), F.min(window).alias("x"), F.max(F.when(F.col("open"), node)).alias("y")
+        )
+        dealt = substring_dedup.dealt_to_calls(members, left, 46).collect()
+        sides: dict[int, list] = {}
+        for r in dealt:
+            if r.pair == 1:
+                sides.setdefault(r.unit, []).append(r)
+        met = {(a.doc_id, b.doc_id) for call in sides.values() for a in call if a.asks for b in call if not b.asks}
+        last = max(k for k in range(n) if k % 2 == 0)
+        assert met == {(a, b) for a in range(0, n, 2) for b in range(last + 1)}
+        largest.append(max(len(call) for call in sides.values()))
+        together: dict[int, set] = {}
+        for r in dealt:
+            if r.pair > 1:
+                together.setdefault(r.pair, set()).add(r.unit)
+        assert all(len(x) == 1 for x in together.values())
+    assert max(largest) <= 2 * 2 * 16
+
+
+def test_calls_of_vectors_stay_bounded(spark, monkeypatch):
+    """The largest call is no larger for a bucket of four times the vectors."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    for n in (100, 200, 400):
+        hot = spark.range(n).select(F.col("id").alias("node"), F.lit("1").alias("label"), F.lit(1).cast("long").alias("count"), F.array(F.lit(1.0)).alias("vector"), F.array(F.lit(7), F.col("id").cast("int") + 8).alias("keys"))
+        dealt = embedding_dedup.dealt_to_calls(hot).where("key = 7").collect()
+        calls: dict[int, list] = {}
+        for r in dealt:
+            calls.setdefault(r.unit, []).append(r)
+        assert max(len(x) for x in calls.values()) <= 2 * 2 * 16
+        met = {(a.node, b.node) for call in calls.values() for a in call if a.own == a.first for b in call if b.own == b.second}
+        assert all((a, b) in met or (b, a) in met for a in range(n) for b in range(a))
