@@ -514,12 +514,17 @@ def dealt_to_calls(members: DataFrame, left: DataFrame, width: int) -> DataFrame
     ``members`` has ``pair, doc_id, tag, at, open``; ``left`` has for each group its ``count``, open ones ``n_open``, its
     smallest window ``x`` but for the first, and its largest document ``y`` with an open window.  Each block of a large
     group is a call of its own.  Groups of one block share calls of about ``CALL`` windows, small ones with those whose
-    smallest windows lie near each other in one document, so that a call holds a stretch of text once for all of them.
+    smallest windows lie near each other in one document, so that a call holds a stretch of text once for all of them;
+    where those are more than two calls' windows they are dealt to several.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     left = left.where(node("x.") < F.col("y")).withColumns({"n_rows": blocks("count"), "n_columns": blocks("n_open")})
     near = F.xxhash64("x.doc_id", "x.tag", F.shiftright(centre_of("x.at"), 8))
-    left = cut(left.withColumn("call", F.when(F.col("count") <= TOGETHER, near).otherwise(F.xxhash64("pair"))).drop("x"))
+    left = cut(left.withColumn("near", F.when(F.col("count") <= TOGETHER, near).otherwise(F.xxhash64("pair"))).drop("x"))
+    heavy = left.where("n_rows = 1 and n_columns = 1").groupBy("near").agg(F.sum(F.col("count") + F.col("n_open")).alias("n"))
+    heavy = cut(heavy.where(F.col("n") > 2 * CALL).select("near", F.ceil(F.col("n") / CALL).alias("parts")))
+    part = F.pmod(F.xxhash64("pair"), F.coalesce("parts", F.lit(1)))
+    left = cut(join_checked(left, heavy, "near", "left").withColumn("call", F.xxhash64("near", part)).drop("near", "parts"))
     shared = left.where("n_rows = 1 and n_columns = 1").agg(F.sum(F.col("count") + F.col("n_open"))).first()[0] or 0
     members = join_spread(members, left.drop("n_open"), "pair", node(), counts=left).where(node() <= F.col("y")).drop("y")
     around = F.greatest(centre_of("at") - (width - 1 + NEAR), F.lit(0)).cast("int")

@@ -145,3 +145,21 @@ def test_calls_of_vectors_stay_bounded(spark, monkeypatch):
         assert max(len(x) for x in calls.values()) <= 2 * 2 * 16
         met = {(a.node, b.node) for call in calls.values() for a in call if a.own == a.first for b in call if b.own == b.second}
         assert all((a, b) in met or (b, a) in met for a in range(n) for b in range(a))
+
+
+def test_calls_of_many_small_groups_stay_bounded(spark, monkeypatch):
+    """Groups whose smallest windows lie at one place are dealt to several calls, each group to one of them."""
+    monkeypatch.setattr(substring_dedup, "CALL", 64)
+    for n in (100, 400):
+        both = F.explode(F.array(F.lit(1), F.lit(2)))
+        members = spark.range(n).select(F.col("id").alias("pair"), both.alias("k")).select(
+            "pair", F.when(F.col("k") == 1, 0).otherwise(F.col("pair") + 1).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"),
+            F.expr("shiftleft(1000L, 32)").alias("at"), (F.col("k") == 2).alias("open"),
+        )
+        left = members.groupBy("pair").agg(
+            F.count("*").alias("count"), F.sum(F.col("open").cast("long")).alias("n_open"), F.min(F.struct("doc_id", "tag", "at")).alias("x"),
+            F.max(F.when(F.col("open"), F.struct("doc_id", "tag"))).alias("y"),
+        )
+        dealt = substring_dedup.dealt_to_calls(members, left, 46).groupBy("unit").agg(F.count("*").alias("n"), F.collect_set("pair").alias("pairs")).collect()
+        assert sum(r.n for r in dealt) == 3 * n and max(r.n for r in dealt) <= 6 * 64
+        assert sorted(p for r in dealt for p in r.pairs) == list(range(n))
