@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .shared import GROUP_BYTES, by_batch, cut, join_checked, join_spread, rewrite, ship, tagged, written
+from .shared import node as one_number
 
 #: Hash functions, and how many must agree on a candidate.
 FUNCTIONS, AGREE = 4, 2
@@ -94,18 +95,42 @@ def late(runs: np.ndarray, owner: np.ndarray, near: int) -> np.ndarray:
     Of equal minima those that are not late are taken first, so a text that repeats a few words has no more windows
     than others.
     """
-    order = np.lexsort((np.arange(len(runs)), runs))
-    place = order
-    linked = (runs[order][1:] == runs[order][:-1]) & (owner[order][1:] == owner[order][:-1]) & (np.diff(place) <= near)
-    chain = np.concatenate(([0], np.cumsum(~linked))) if len(runs) else np.zeros(0, np.int64)
-    begins = np.flatnonzero(np.concatenate(([True], ~linked))) if len(runs) else chain
-    stretch = (place - place[begins[chain]]) // near if len(runs) else chain
-    again = np.concatenate(([False], linked & (stretch[1:] == stretch[:-1]))) if len(runs) else np.zeros(0, bool)
+    order = np.argsort(runs)
+    same = runs[order][1:] == runs[order][:-1]
     out = np.zeros(len(runs), bool)
-    out[order] = again
+    if not same.any():
+        return out
+    place = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]  # those that occur more than once
+    place = place[np.lexsort((place, runs[place]))]
+    linked = (runs[place][1:] == runs[place][:-1]) & (owner[place][1:] == owner[place][:-1]) & (np.diff(place) <= near)
+    chain = np.concatenate(([0], np.cumsum(~linked)))
+    begins = np.flatnonzero(np.concatenate(([True], ~linked)))
+    stretch = (place - place[begins[chain]]) // near
+    out[place] = np.concatenate(([False], linked & (stretch[1:] == stretch[:-1])))
     return out
 
 
+def nearest_smaller(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each value the nearest before it that is not larger, else -1, and the nearest behind it that is smaller, else
+    ``len(key)``, both within its run of equal ``doc``.
+
+    All values look at once: one that is no end yet is left by way of the end found for it so far, which halves what a
+    chain of such steps still has before it.
+    """
+    n = len(key)
+    begins = np.concatenate(([True], doc[1:] != doc[:-1])) if n else np.zeros(0, bool)
+    before, behind = np.arange(-1, n - 1), np.arange(1, n + 1)
+    before[begins] = -1
+    behind[np.roll(begins, -1)] = n
+    for at, end, smaller in ((before, -1, np.less_equal), (behind, n, np.less)):
+        todo = np.flatnonzero(at != end)
+        while len(todo):
+            todo = todo[~smaller(key[at[todo]], key[todo])]
+            at[todo] = at[at[todo]]
+            todo = todo[at[todo] != end]
+    return before, behind
+
+
 def sliding_argmin(values: np.ndarray, width: int, last: np.ndarray | None = None) -> np.ndarray:
     """Place of the smallest of each ``width`` adjacent values, by their upper 39 bits.
 
@@ -143,22 +168,14 @@ def windows(
     at = sliding_argmin(value, width, last)
     inside = owner[: len(at)] == owner[width - 1 :]
     at = at[inside]
-    at = np.unique(at)
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at  # places of minima only rise
     doc = owner[at]
-    left, right = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
     key = value[at] & ~np.uint64((2 << PLACE_BITS) - 1)
-    stack: list[int] = []
     # the Cartesian tree: the nearest smaller values beside a sliding minimum are sliding minima themselves
-    firsts, lasts = bounds[doc], bounds[doc + 1] - 1
-    keys, docs, places = key.tolist(), doc.tolist(), at.tolist()
-    for k in range(len(keys)):
-        while stack and (docs[stack[-1]] != docs[k] or keys[stack[-1]] > keys[k]):
-            top = stack.pop()
-            right[top] = places[k] - 1 if docs[top] == docs[k] else lasts[top]
-        left[k] = places[stack[-1]] + 1 if stack else firsts[k]
-        stack.append(k)
-    for top in stack:
-        right[top] = lasts[top]
+    before, behind = nearest_smaller(key, doc)
+    left, right = bounds[doc], bounds[doc + 1] - 1
+    held, ended = before >= 0, behind < len(at)
+    left[held], right[ended] = at[before[held]] + 1, at[behind[ended]] - 1
     begin = bounds[doc]
     return doc, key, left - begin, at - begin, right - begin
 
@@ -264,22 +281,29 @@ def candidates(linked: DataFrame, agree: int, width: int) -> DataFrame:
     return by_batch(met, join, f"doc_id long, tag long, o_doc_id long, o_tag long, a {SPAN}, b {SPAN}").where("size(a) > 0")
 
 
-def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, gap: int = GAP) -> list[tuple[int, int]]:
+def ranking(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The order that sorts ``values``, equal ones as they stand, the sorted values, and whether all are distinct."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    return order, ranked, not (ranked[1:] == ranked[:-1]).any()
+
+
+def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, gap: int = GAP, plain: bool | None = None, ranks: tuple | None = None) -> list[tuple[int, int]]:
     """Verified stretches ``[start, end)`` of shingles of ``one`` that ``two`` nearly repeats.
 
     Stretches of matching shingles are joined over gaps of up to ``gap`` shingles; a joined stretch counts if its
     shingle set and that of the matching stretch of ``two`` are similar enough, else its parts are tried alone.
+    ``plain`` (all of ``one`` distinct) and ``ranks``, the :func:`ranking` of ``two``, may be given where they are known.
     """
-    order = np.argsort(two, kind="stable")
-    ranked = two[order]
+    order, ranked, two_plain = ranking(two) if ranks is None else ranks
     at = np.minimum(np.searchsorted(ranked, one), max(0, len(two) - 1))
-    hits = np.flatnonzero(ranked[at] == one) if len(two) else np.zeros(0, np.int64)
+    hits = (ranked[at] == one).nonzero()[0] if len(two) else np.zeros(0, np.int64)
     if not len(hits):
         return []
     place = order[at[hits]]
 
-    step, jump = np.diff(hits), np.abs(np.diff(place) - 1)
-    one_plain, two_plain = (not (x[1:] == x[:-1]).any() for x in (np.sort(one), ranked))
+    step, jump = hits[1:] - hits[:-1], np.abs(place[1:] - place[:-1] - 1)
+    one_plain = ranking(one)[2] if plain is None else plain
 
     def similar(i: int, j: int) -> bool:
         low, high = int(place[i : j + 1].min()), int(place[i : j + 1].max()) + 1
@@ -303,10 +327,13 @@ def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, ga
         apart = step[i:j] > reach + 1
         if strict:
             apart |= jump[i:j] > reach
-        begin = i
-        for k in [*(np.flatnonzero(apart) + i).tolist(), j]:
-            settle(begin, k, reach, strict)
-            begin = k + 1
+        ends = apart.nonzero()[0] + i
+        if not len(ends):
+            return settle(i, j, reach, strict)
+        begins, ends = np.concatenate(([i], ends + 1)), np.concatenate((ends, [j]))
+        wide = (hits[ends] - hits[begins] + 1 >= width).nonzero()[0]
+        for k in wide.tolist():
+            settle(int(begins[k]), int(ends[k]), reach, strict)
 
     split(0, len(hits) - 1, gap, False)
     return out
@@ -430,6 +457,8 @@ def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int
     bounds = np.flatnonzero(np.concatenate(([True], change, [True]))) if len(windows) else []
     closed: dict[tuple, list[tuple[int, int]]] = {}
     needs: dict[tuple, float] = {}
+    plain: dict[tuple, bool] = {}
+    ranks: dict[tuple, tuple] = {}  # of this call's windows, each ranked once for all that meet it
     tried: set[tuple] = set()  # what is held around one centre holds every stretch over another of the same NEAR places
     out: list[tuple] = []
     for first, last in zip(bounds[:-1], bounds[1:], strict=True):
@@ -449,6 +478,7 @@ def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int
                 continue  # another group of this call has explained it
             if names[k] not in needs:
                 needs[names[k]] = similarity * fewest(mine, width)
+                plain[names[k]] = ranking(mine)[2]
             low, high = max(0, centre - width + 1), min(centre, len(mine) - width)
             around = mine[low : high + width]
             place = np.minimum(np.searchsorted(known, around), len(known) - 1)
@@ -469,7 +499,10 @@ def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int
                 if near in tried:
                     continue
                 tried.add(near)
-                spans = passages(mine, held[row], similarity, width)
+                other = names[others[row]]
+                if other not in ranks:
+                    ranks[other] = ranking(held[row])
+                spans = passages(mine, held[row], similarity, width, plain=plain[names[k]], ranks=ranks[other])
                 if spans:
                     closed.setdefault(node, []).extend((start[k] + x, start[k] + y) for x, y in spans)
                     out.append((*node, *names[others[row]][:2], [{"start": int(start[k] + x), "end": int(start[k] + y + shingle - 1)} for x, y in spans]))
@@ -589,10 +622,10 @@ def repeated_passages(docs: DataFrame, least: int = 50, shingle: int = 5, simila
     classes = keys.groupBy("k1", "k2").agg(F.min(node()).alias("rep"), F.max(node()).alias("last")).where("rep < last")
     copies = cut(keys.join(classes, ["k1", "k2"]).where(node() != F.col("rep")).select(*NODE, F.col("rep.doc_id").alias("other")).distinct())
     heads = join_checked(plain, copies.select(*NODE), NODE, "left_anti")
-    rows = all_windows(heads, shingle, width, functions)
-    groups = rows.groupBy("key").agg(F.count("*").alias("count"), *[g(x).alias(f"{g.__name__}_{x}") for x in NODE for g in (F.min, F.max)])
-    groups = groups.where("min_doc_id < max_doc_id or min_tag < max_tag").select("key", "count")
-    groups = cut(groups)  # before the join, which would find all windows anew
+    rows = written(all_windows(heads, shingle, width, functions))  # read twice, found once
+    number = one_number("doc_id")
+    groups = rows.groupBy("key").agg(F.count("*").alias("count"), F.min(number).alias("x"), F.max(number).alias("y"))
+    groups = cut(groups.where("x < y").select("key", "count"))
     rows = written(join_spread(rows, groups, "key", node(), counts=groups).drop("count"))
     rows = rows.withColumn("open", F.lit(True))
     linked = linked_to(rows, first_window(rows, "key"), "key", groups)

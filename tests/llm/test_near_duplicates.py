@@ -281,3 +281,36 @@ def test_no_structured_text_is_cut_for_another(spark):
 def test_tables_of_fewer_words_than_a_shingle(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     assert {r.component_id for r in minhash_dedup.near_duplicates(rows, shingle=4, percent=80).collect()} == set(range(len(texts)))
+
+
+def test_windows_are_found_once(spark, monkeypatch):
+    found, real = spark.sparkContext.accumulator(0), substring_dedup.all_windows
+
+    def counted(docs, *sizes):
+        rows = real(docs, *sizes)
+
+        def count(batches):
+            for batch in batches:
+                found.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(count, rows.schema)
+
+    passage = " ".join(f"p{k}" for k in range(80))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(150)) + " " + passage) for k in range(6)], "doc_id long, text string")
+    n = real(docs.selectExpr("doc_id", "text", "0L as tag"), 5, 46, 4).count()
+    monkeypatch.setattr(substring_dedup, "all_windows", counted)
+    got = {r.doc_id: r.n_repeated for r in substring_dedup.dedup_passages(docs, least=50, shingle=5, similarity=0.8).collect()}
+    assert got == {k: 80 if k else 0 for k in range(6)}
+    assert found.value == n
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_nearest_smaller_values_against_plain_python(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(0, 60))
+    key, doc = rng.integers(0, 8, n).astype(np.uint64), np.sort(rng.integers(0, 4, n))
+    before, behind = substring_dedup.nearest_smaller(key, doc)
+    for i in range(n):
+        assert before[i] == max((j for j in range(i) if doc[j] == doc[i] and key[j] <= key[i]), default=-1)
+        assert behind[i] == min((j for j in range(i + 1, n) if doc[j] == doc[i] and key[j] < key[i]), default=n)
