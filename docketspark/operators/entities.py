@@ -12,7 +12,8 @@ Four tiers, the first that answers wins:
 Every tier is a key that must lead to exactly one entry.  The roster writes out all its keys and one aggregate counts
 the entries of each, so a list of candidates is never gathered; a name writes out the keys that it asks for, and one
 equi-join answers the first three tiers.  Terms of office are dealt to the calendar years that they touch, so the fourth
-tier too is an equi-join, by year, and only then by the days.  Names are asked and not rows: however many rows share a
+tier too is an equi-join, by state and year, and only then by the days; terms of one period are merged before.  Roster,
+terms and names grow with the tables and are larger than their files, so no join broadcasts them.  Names are asked and not rows: however many rows share a
 name, it is looked up once, and the answer joins back by the name.
 
 Results for odd input: blank and null count alike; a row without a last name is led nowhere; a day that is no date is in
@@ -91,15 +92,20 @@ def index(roster: DataFrame) -> DataFrame:
 
 def in_office(names: DataFrame, terms: DataFrame) -> DataFrame:
     """Names (columns :data:`KEY`) with the ``id`` of the only former member in office on their day."""
-    # an entry is one member's terms under one chamber, state and name; it counts once however many terms hold the day
-    years = F.explode(F.sequence(_year("start"), F.greatest(_year("start"), _year("end"))))
+    # an entry is one member's terms under one chamber, state and name; it counts once however many terms hold the day.
+    # Of entries with one period the first and the last suffice: an answer is certain where these are one over all periods
+    key = ["chamber", "state", "last", "start", "end"]
     former = _former(terms).where(_year("start").isNotNull() & _year("end").isNotNull())
-    dealt = former.select("id", F.col("chamber").alias("__chamber"), F.col("state").alias("of_state"), F.col("last").alias("__last"), "start", "end", years.alias("year"))
+    entry = F.struct("id", F.col("state").alias("of_state"))
+    periods = former.groupBy(*key).agg(F.min(entry).alias("low"), F.max(entry).alias("high"))
+    anywhere = periods.where(F.col("chamber") == SENATE).groupBy("chamber", "last", "start", "end").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    periods = periods.unionByName(anywhere.withColumn("state", F.lit("")))  # no term has a blank state of its own
+    years = F.explode(F.sequence(_year("start"), F.greatest(_year("start"), _year("end"))))
+    dealt = periods.select(*[F.col(x).alias(f"__{x}") for x in key[:3]], "start", "end", "low", "high", years.alias("year"))
     days = names.where("__day <> ''").withColumn("year", _year("__day"))
-    held = days.join(dealt, ["__chamber", "__last", "year"]).where("start <= __day and __day <= end")
-    held = held.where((F.col("__state") == F.col("of_state")) | ((F.col("__state") == "") & (F.col("__chamber") == SENATE)))
-    entries = held.groupBy(*KEY).agg(F.count_distinct("id", "of_state").alias("n"), F.min("id").alias("id"))
-    return entries.where("n = 1").drop("n")
+    held = days.join(dealt.hint("merge"), ["__chamber", "__state", "__last", "year"]).where("start <= __day and __day <= end")
+    entries = held.groupBy(*KEY).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return entries.where("low = high").select(*KEY, F.col("low")["id"].alias("id"))
 
 
 def answers(names: DataFrame, roster: DataFrame, terms: DataFrame) -> DataFrame:
@@ -114,7 +120,7 @@ def answers(names: DataFrame, roster: DataFrame, terms: DataFrame) -> DataFrame:
         F.struct(F.lit(3).alias("at"), F.when(state != "", _key("word", chamber, state, last)).otherwise(_key("word", chamber, last)).alias("key")),
     )
     asked = names.withColumn("__a", F.explode(asked)).select(*KEY, "__a.*").where("key is not null")
-    found = asked.join(index(roster), "key").select(*KEY, "at", "id")
+    found = asked.join(index(roster).hint("merge"), "key").select(*KEY, "at", "id")
     found = found.unionByName(in_office(names, terms).withColumn("at", F.lit(len(ORDER) - 1)))
     first = found.groupBy(*KEY).agg(F.min(F.struct("at", "id")).alias("x"))
     return first.select(*KEY, F.col("x")["id"].alias("__id"), F.element_at(F.array(*map(F.lit, ORDER)), F.col("x")["at"] + 1).alias("tier"))
@@ -137,8 +143,8 @@ def resolve(rows: DataFrame, roster: DataFrame, terms: DataFrame) -> DataFrame:
     """
     asked = asked_names(rows).withColumn("__open", _text("id") == "")
     names = answers(asked.where("__open").select(*KEY).distinct(), roster, terms)
-    names = names.join(facts(roster, terms).withColumnRenamed("id", "__id"), "__id", "left").withColumn("__open", F.lit(True))
-    joined = asked.join(names, [*KEY, "__open"], "left")
+    names = names.join(facts(roster, terms).withColumnRenamed("id", "__id").hint("merge"), "__id", "left").withColumn("__open", F.lit(True))
+    joined = asked.join(names.hint("merge"), [*KEY, "__open"], "left")
     filled = {
         "id": F.when(F.col("__open"), F.coalesce("__id", _text("id"))).otherwise(F.col("id")),
         "party": F.when(F.col("__id").isNotNull() & (_text("party") == ""), F.coalesce("known_party", F.lit(""))).otherwise(F.col("party")),

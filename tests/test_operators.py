@@ -155,3 +155,12 @@ def test_identifiers_are_held_against_names(spark):
     assert sorted(tuple(r) for r in identifiers.learned(found).collect()) == [("I2", "BET", "Beta Intl", "name_fallback"), ("I3", "GAM", "Gamma", "name_search"), ("I7", "ZET", "Zeta", "name_search")]
     nothing = [f.limit(0) for f in frames[1:]]
     assert {r.step for r in identifiers.validated(frames[0], *nothing).collect()} == {None}
+
+
+def test_resolution_broadcasts_nothing_that_grows_and_counts_each_entry_of_one_period(spark):
+    terms = [("H1", "Ray", "senate", "TX", "2001-01-03", "2003-01-03", "R", 1), ("H2", "Ray", "senate", "CA", "2001-01-03", "2003-01-03", "D", 1), ("H3", "Hall", "house", "TX", "2001-01-03", "2003-01-03", "D", 1), ("H4", "Hall", "house", "TX", "2001-01-03", "2003-01-03", "D", 1)]
+    asked = [("senate", "TX", "Ray"), ("senate", "", "Ray"), ("house", "TX", "Hall")]
+    rows = spark.createDataFrame([(k, "", *who, None, "2002-01-01", None, "", "x") for k, who in enumerate(asked)], ROWS).drop("tier")
+    found = entities.resolve(rows, spark.createDataFrame([], ROSTER), spark.createDataFrame(terms, TERMS))
+    assert {r.n: (r.id, r.tier) for r in found.collect()} == {0: ("H1", 4), 1: ("", None), 2: ("", None)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
