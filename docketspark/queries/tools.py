@@ -331,7 +331,7 @@ tool(
         {"publication_date": "publication_date", "title": "title"}, "publication_date", date="publication_date",
     ),
     lambda t: t.events.select(
-        F.concat(F.lit("2024-"), F.lpad(F.col("event_id").cast("string"), 6, "0")).alias("document_number"), F.col("event_type").alias("document_type"), F.concat(F.lit("Notice "), F.col("user_id").cast("string")).alias("title"),
+        F.concat(F.lit("2024-"), X.pad_key(F.col("event_id").cast("string"), 6)).alias("document_number"), F.col("event_type").alias("document_type"), F.concat(F.lit("Notice "), F.col("user_id").cast("string")).alias("title"),
         F.col("props").alias("abstract"), F.when(F.col("event_id") % 4 == 0, "air").alias("topic"), F.array(F.concat(F.lit("a"), (F.col("user_id") % 6).cast("string")), F.lit("all")).alias("agencies"),
         F.array(F.concat(F.lit("Agency "), (F.col("user_id") % 6).cast("string")), F.lit("Office of All")).alias("agency_names"), iso(F.col("ts")).alias("publication_date"),
     ),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docketspark.operators import relational as R
 from docketspark.plans.spec import Parameter, Spec
 from docketspark.plans.tools import Registry, Warehouse
+from docketspark.queries.tools import QUERIES
 
 SCHEMA = "id long, name string, kind string, day string, seq int"
 
@@ -64,3 +65,12 @@ def test_refusals(tools, warehouse):
     assert tools.answer("get_nothing", warehouse, {}).first().verdict == "UNKNOWN_TOOL: get_nothing"
     with pytest.raises(ValueError, match="registered already"):
         tools.add("get_things", tools.specs["get_things"])
+
+
+def test_register_documents_of_long_numbers_stay_apart(spark, tmp_path):
+    day = "timestamp_ntz'2024-01-10 00:00:00'"
+    events = spark.range(1, 13).selectExpr("id * 1000000 + id % 2 as event_id", "3L as user_id", "'click' as event_type", "'' as props", f"{day} as ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["q_tool_get_federal_register_documents"](spark, str(tmp_path)).where("request = 2").collect()
+    wanted = sorted(f"2024-{k * 1000000 + k % 2}" for k in range(1, 13))
+    assert [r.key for r in sorted(got, key=lambda r: r.rn)] == wanted
