@@ -4,7 +4,8 @@ Rows are dealt to buckets by the lowest bits of their key's hash.  A bucket is a
 small text file, names the version of every bucket.  A batch reads the buckets that its keys fall into, merges, writes
 their new versions into a folder of its own and then publishes a pointer that names these and leaves the others.  What a
 batch writes is thus bounded by its keys: at most one bucket for each, of about ``rows_per_bucket`` rows however large the
-table is, because a bucket that outgrows that is written as halves, each told apart by one more bit.  The pointer has a
+table is, because a bucket that outgrows that is written in parts, told apart by as many more bits as that takes.  Large
+buckets are written by several tasks, so no task holds more rows than a bounded number.  The pointer has a
 line for each bucket and is the only thing of the table's size in buckets.
 
 A pointer is written under another name and renamed, which fails where the number is taken, so of two writers one
@@ -24,6 +25,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,8 @@ from pyspark.sql import types as T
 
 from ..operators import relational as R
 
+#: About how many rows a task writes; a bucket of more is written by several.
+ROWS_PER_TASK = 250_000
 #: Coverage takes the smallest date over plausible ones only.
 FLOOR = "1900-01-01"
 
@@ -152,9 +156,12 @@ class KeyedStore:
 
     # writing
 
+    def _hashed(self) -> Column:
+        return F.xxhash64(*[F.struct(F.col(k).isNull(), F.col(k)) for k in self.keys])
+
     def _place(self, rows: DataFrame, buckets: Sequence[Bucket]) -> DataFrame:
         """``rows`` with the bits and the code of their bucket."""
-        hashed = F.xxhash64(*[F.struct(F.col(k).isNull(), F.col(k)) for k in self.keys])
+        hashed = self._hashed()
         depths = sorted({b.bits for b in buckets})
         at = [F.struct(F.lit(d).alias("__bits"), hashed.bitwiseAND(F.lit((1 << d) - 1).cast("long")).alias("__code")) for d in depths]
         if len(depths) == 1:
@@ -176,10 +183,24 @@ class KeyedStore:
         both = held.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
         return self._latest(both, F.col("__new"))
 
-    def _write(self, rows: DataFrame) -> list[Bucket]:
-        """New versions of the buckets of ``rows``, halved as long as one is too large."""
+    def _dealt(self, rows: DataFrame, most: dict[tuple[int, int], int]) -> DataFrame:
+        """``rows`` with those of a bucket in one task, or in several by their keys where ``most`` of it is too many."""
+        parts = {at: -(-n // ROWS_PER_TASK) or 1 for at, n in most.items()}
+        if max(parts.values(), default=1) == 1:
+            return rows.repartition("__bits", "__code")
+        firsts = accumulate(parts.values(), initial=0)
+        directory = self.spark.createDataFrame([(*at, first, n) for (at, n), first in zip(parts.items(), firsts)], "__bits int, __code long, __first long, __parts long")
+        task = F.col("__first") + F.pmod(F.shiftrightunsigned(self._hashed(), 40), F.col("__parts"))
+        dealt = rows.join(F.broadcast(directory), ["__bits", "__code"]).repartitionById(sum(parts.values()), task.cast("int"))
+        return dealt.select(*self.schema.fieldNames(), "__bits", "__code")
+
+    def _write(self, rows: DataFrame, most: dict[tuple[int, int], int]) -> list[Bucket]:
+        """New versions of the buckets of ``rows``, parted by as many bits as one that is too large takes.
+
+        ``most`` has at most how many rows each bucket holds, by its bits and code.
+        """
         version = uuid.uuid4().hex
-        rows.repartition("__bits", "__code").write.partitionBy("__bits", "__code").parquet(f"{self.folder}/data/{version}")
+        self._dealt(rows, most).write.partitionBy("__bits", "__code").parquet(f"{self.folder}/data/{version}")
         back = self.spark.read.schema(T.StructType([*self.schema, T.StructField("__bits", T.IntegerType()), T.StructField("__code", T.LongType())])).parquet(f"{self.folder}/data/{version}")
         dates = [F.min(F.when(F.col(self.date) >= FLOOR, F.col(self.date))), F.max(self.date)] if self.date else [F.lit(None), F.lit(None)]
         found = back.groupBy("__bits", "__code").agg(F.count(F.lit(1)), *dates).collect()  # a row for each bucket
@@ -187,8 +208,10 @@ class KeyedStore:
         large = [b for b in buckets if b.rows > self.rows_per_bucket]
         if not large:
             return buckets
-        halves = [Bucket(b.bits + 1, b.code + k * (1 << b.bits)) for b in large for k in (0, 1)]
-        split = self._write(self._place(self._rows(large), halves))
+        more = {b: (-(-b.rows // self.rows_per_bucket) - 1).bit_length() for b in large}
+        halves = [Bucket(b.bits + more[b], b.code + k * (1 << b.bits)) for b in large for k in range(1 << more[b])]
+        size = {(b.bits + more[b], b.code + k * (1 << b.bits)): b.rows >> more[b] for b in large for k in range(1 << more[b])}
+        split = self._write(self._place(self._rows(large), halves), size)
         below = lambda half: any(b.bits >= half.bits and b.code & ((1 << half.bits) - 1) == half.code for b in split)
         return [b for b in buckets if b not in large] + split + [half for half in halves if not below(half)]
 
@@ -203,11 +226,12 @@ class KeyedStore:
         path = f"{self.folder}/data/{uuid.uuid4().hex}-staged"
         staged.write.parquet(path)
         staged = self.spark.read.schema(staged.schema).parquet(path)
-        asked = {tuple(x) for x in staged.select("__bits", "__code").distinct().collect()}  # a row for each bucket
+        asked = {(bits, code): n for bits, code, n in staged.groupBy("__bits", "__code").count().collect()}  # a row for each bucket
         touched = [b for b in old.buckets if (b.bits, b.code) in asked]
         others = [b for b in old.buckets if (b.bits, b.code) not in asked]
         held = self._place(self._rows([b for b in touched if b.version]), touched or old.buckets)
-        new = self._write(self._merged(held, staged)) if touched else []
+        most = {(b.bits, b.code): b.rows + asked[b.bits, b.code] for b in touched}
+        new = self._write(self._merged(held, staged), most) if touched else []
         pointer = self._publish(old, old.batch if number is None else number, others + new)
         self.files.delete(path)
         return pointer

@@ -3,10 +3,11 @@
 import os
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from docketspark.streaming import manifest
+from docketspark.streaming import keyed_store, manifest
 from docketspark.streaming.keyed_store import Conflict, KeyedStore
 
 SCHEMA = "k long, v string, seq int, day string"
@@ -164,3 +165,15 @@ def test_transitions_that_can_not_follow_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="in_progress can't follow completed"):
         kept.move("u", "in_progress")
     assert manifest.due(spark.createDataFrame([("u",), ("v",)], "unit string"), kept.states()).collect() == [("v", None, 0)]
+
+
+def test_no_task_writes_more_than_its_share_of_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed_store, "ROWS_PER_TASK", 200)
+    s = store(spark, tmp_path, rows_per_bucket=1000)
+    rows = spark.range(6000).selectExpr("id as k", "'a' as v", "1 as seq", "cast(null as string) as day")
+    s.upsert(rows, 0)
+    counts = [pq.read_metadata(p).num_rows for p in files_of(tmp_path)]
+    assert max(counts) < 600 and s.count() == 6000 and held(s) == [(k, "a", 1) for k in range(6000)]
+    assert len({p.split("/data/")[1].split("/")[0] for p in files_of(tmp_path)}) <= 3  # parted at once, not in halves of halves
+    s.upsert(rows.where("k % 3 = 0").selectExpr("k", "'b' as v", "2 as seq", "day"), 1)
+    assert held(s) == [(k, "a" if k % 3 else "b", 1 if k % 3 else 2) for k in range(6000)]
