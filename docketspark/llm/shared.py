@@ -41,6 +41,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete what :func:`written` wrote, once all that was read from it is written itself."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def width(value: Column, kind: T.DataType) -> Column:
     """About how many bytes a value takes."""
     if isinstance(kind, T.StringType | T.BinaryType):
@@ -64,24 +72,28 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", limi
     return left.join(F.broadcast(right) if small(right, limit) else right, on, how)
 
 
-def join_spread(rows: DataFrame, keyed: DataFrame, on: str | list[str], salt: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def join_spread(
+    rows: DataFrame, keyed: DataFrame, on: str | list[str], salt: Column, how: str = "inner", counts: DataFrame | None = None, hashed: bool = False
+) -> DataFrame:
     """Join many ``rows`` of a key with its one row of ``keyed``; a hot key's rows go to ``SALTS`` tasks.
 
     ``counts`` holds ``on`` and a ``count`` of rows, where known.  Only the ``HOT_KEYS`` largest keys are looked at, so
-    they alone are broadcast; their rows are dealt by ``salt`` and their row of ``keyed`` is copied.
+    they alone are broadcast; their rows are dealt by ``salt`` and their row of ``keyed`` is copied.  With ``hashed`` each
+    task holds its share of ``keyed``, a few numbers for each key, instead of sorting the rows.
     """
     on = [on] if isinstance(on, str) else on
     counts = rows.groupBy(*on).count() if counts is None else counts.select(*on, "count")
     most = counts.orderBy(F.desc("count")).limit(HOT_KEYS)
     hot = [row[:-1] for row in most.collect() if row["count"] > HOT_ROWS]
+    held = (lambda df: df.hint("shuffle_hash")) if hashed else (lambda df: df)
     if not hot:
-        return rows.join(keyed, on, how)
+        return rows.join(held(keyed), on, how)
     hot = F.broadcast(rows.sparkSession.createDataFrame(hot, counts.select(*on).schema).withColumn("__hot", F.lit(True)))
     dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).otherwise(0)
     many = rows.join(hot, on, "left").withColumn("__salt", dealt).drop("__hot")
     copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     one = keyed.join(hot, on, "left").withColumn("__salt", copies).drop("__hot")
-    return many.join(one, [*on, "__salt"], how).drop("__salt")
+    return many.join(held(one), [*on, "__salt"], how).drop("__salt")
 
 
 def tagged(rows: DataFrame, key: str, content: Column) -> DataFrame:

@@ -38,11 +38,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import GROUP_BYTES, by_batch, cut, join_checked, join_spread, rewrite, ship, tagged, written
+from .shared import GROUP_BYTES, by_batch, cut, forget, join_checked, join_spread, rewrite, ship, tagged, written
 from .shared import node as one_number
 
 #: Hash functions, and how many must agree on a candidate.
@@ -181,17 +182,37 @@ def windows(
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, k1, k2, n_words`` of the word sequences."""
+    """``doc_id, tag, k1, k2, n_words`` of the word sequences: the 128-bit XXH3 of the words (A-Z lower-cased), joined by a space."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, bounds = W.word_hashes(batch.column("text").to_pylist())
-        k1, k2 = W.sequence_keys(hashes, bounds)
-        columns = [*(batch.column(x) for x in NODE), pa.array(W.signed(k1)), pa.array(W.signed(k2)), pa.array(np.diff(bounds), pa.int64())]
+        keys, counts = [], []
+        for text in batch.column("text").to_pylist():
+            words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: at W.SPACES alone
+            keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            counts.append(len(words))
+        both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+        columns = [*(batch.column(x) for x in NODE), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(counts, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, [*NODE, "k1", "k2", "n_words"])
 
     return by_batch(docs, work, "doc_id long, tag long, k1 long, k2 long, n_words long")
 
 
+def marked(common: np.ndarray) -> np.ndarray:
+    """A table of at least eight places for each of some hashes, true where the low bits of one of them point."""
+    table = np.zeros(1 << max(16, (8 * len(common)).bit_length()), bool)
+    table[common & W.U(len(table) - 1)] = True
+    return table
+
+
+def among(values: np.ndarray, common: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which hashes are in ``common`` (sorted); only those that ``table``, its :func:`marked`, lets through are looked up."""
+    out = np.zeros(len(values), bool)
+    maybe = np.flatnonzero(table[values & W.U(len(table) - 1)])
+    if len(maybe):
+        out[maybe] = common[np.minimum(np.searchsorted(common, values[maybe]), len(common) - 1)] == values[maybe]
+    return out
+
+
 def texts_windows(texts: list, shingle: int, width: int, functions: int, common: np.ndarray | None = None):
     """Compact windows of a batch of texts under all functions: keys, which text, packed places, function by function.
 
@@ -199,13 +220,13 @@ def texts_windows(texts: list, shingle: int, width: int, functions: int, common:
     """
     hashes, bounds = W.word_hashes(texts)
     runs, ends = W.shingles(hashes, bounds, shingle)
-    first = 0
+    first, table = 0, None if common is None else marked(common)
     while first < len(texts):
         stop = max(first + 1, int(np.searchsorted(ends, ends[first] + GROUP_BYTES // 8, "right")) - 1)
         stop = min(stop, len(texts))
         some, own = runs[ends[first] : ends[stop]], ends[first : stop + 1] - ends[first]
         last = late(some, np.repeat(np.arange(len(own) - 1), np.diff(own)), width // 2)
-        put_last = None if common is None else np.isin(some, common)
+        put_last = None if common is None else among(some, common, table)
         keys, owners, places = [], [], []
         for f in range(functions):
             doc, key, left, centre, right = windows(some, own, width, f, last, put_last)
@@ -288,11 +309,18 @@ def ranking(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
     return order, ranked, not (ranked[1:] == ranked[:-1]).any()
 
 
+def distinct(values: np.ndarray) -> int:
+    """How many different values there are."""
+    ranked = np.sort(values)
+    return int((ranked[1:] != ranked[:-1]).sum()) + 1 if len(ranked) else 0
+
+
 def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, gap: int = GAP, plain: bool | None = None, ranks: tuple | None = None) -> list[tuple[int, int]]:
     """Verified stretches ``[start, end)`` of shingles of ``one`` that ``two`` nearly repeats.
 
     Stretches of matching shingles are joined over gaps of up to ``gap`` shingles; a joined stretch counts if its
-    shingle set and that of the matching stretch of ``two`` are similar enough, else its parts are tried alone.
+    shingle set and that of the matching stretch of ``two`` are similar enough, else its parts are tried alone.  Where
+    all of ``one`` are distinct a stretch needs ``similarity * width`` matches, so parts with fewer are not tried.
     ``plain`` (all of ``one`` distinct) and ``ranks``, the :func:`ranking` of ``two``, may be given where they are known.
     """
     order, ranked, two_plain = ranking(two) if ranks is None else ranks
@@ -302,40 +330,43 @@ def passages(one: np.ndarray, two: np.ndarray, similarity: float, width: int, ga
         return []
     place = order[at[hits]]
 
-    step, jump = hits[1:] - hits[:-1], np.abs(place[1:] - place[:-1] - 1)
     one_plain = ranking(one)[2] if plain is None else plain
+    least = similarity * width if one_plain else 1
+    if len(hits) < least:
+        return []
+    step = hits[1:] - hits[:-1] - 1
+    apart = np.maximum(step, np.abs(place[1:] - place[:-1] - 1))
 
     def similar(i: int, j: int) -> bool:
+        if one_plain and j + 1 - i < similarity * int(hits[j] - hits[i] + 1):
+            return False  # the matching stretch of ``two`` holds all that is matched, so it can't raise the likeness
         low, high = int(place[i : j + 1].min()), int(place[i : j + 1].max()) + 1
         # a matched shingle's first place in ``two`` lies in that stretch, so the sets share what is matched and no more
-        both = j + 1 - i if one_plain else len(np.unique(one[hits[i : j + 1]]))
-        a = int(hits[j] - hits[i]) + 1 if one_plain else len(np.unique(one[hits[i] : hits[j] + 1]))
-        b = high - low if two_plain else len(np.unique(two[low:high]))
+        both = j + 1 - i if one_plain else distinct(one[hits[i : j + 1]])
+        a = int(hits[j] - hits[i]) + 1 if one_plain else distinct(one[hits[i] : hits[j] + 1])
+        b = high - low if two_plain else distinct(two[low:high])
         return both >= similarity * (a + b - both)
 
     out = []
 
-    def settle(i: int, j: int, reach: int, strict: bool) -> None:
-        if hits[j] - hits[i] + 1 < width:
-            return
+    def settle(i: int, j: int, reach: int) -> None:
         if similar(i, j):
             out.append((int(hits[i]), int(hits[j]) + 1))
-        elif not strict or reach > 0:  # part it also where the other text jumps, then at smaller gaps
-            split(i, j, reach // 2 if strict else reach, True)
-
-    def split(i: int, j: int, reach: int, strict: bool) -> None:
-        apart = step[i:j] > reach + 1
-        if strict:
-            apart |= jump[i:j] > reach
-        ends = apart.nonzero()[0] + i
-        if not len(ends):
-            return settle(i, j, reach, strict)
+            return
+        most = int(apart[i:j].max()) if j > i else 0
+        while reach >= most and reach:  # where nothing is that far apart, the same stretch would be tried again
+            reach //= 2
+        if reach < most:  # part it also where the other text jumps, then at smaller gaps
+            split(i, j, reach, apart)
+
+    def split(i: int, j: int, reach: int, far: np.ndarray) -> None:
+        ends = (far[i:j] > reach).nonzero()[0] + i
         begins, ends = np.concatenate(([i], ends + 1)), np.concatenate((ends, [j]))
-        wide = (hits[ends] - hits[begins] + 1 >= width).nonzero()[0]
+        wide = ((hits[ends] - hits[begins] + 1 >= width) & (ends - begins + 1 >= least)).nonzero()[0]
         for k in wide.tolist():
-            settle(int(begins[k]), int(ends[k]), reach, strict)
+            settle(int(begins[k]), int(ends[k]), reach if far is step else reach // 2)
 
-    split(0, len(hits) - 1, gap, False)
+    split(0, len(hits) - 1, gap, step)
     return out
 
 
@@ -392,25 +423,31 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float, w
 
 
 def pairs_of_windows(docs: DataFrame, shingle: int, width: int, functions: int, common: np.ndarray) -> DataFrame:
-    """``pair, doc_id, tag, at``: two functions' windows of one document that can hold one passage.
+    """``pair, doc_id, tag, at, open``: two functions' windows of one document that can hold one passage.
 
     The windows must overlap by ``width`` shingles, each must cover the other's centre, and the centres must lie within
     ``width``; ``at`` is what both cover, with the first centre.  Only those count that lie within ``width`` of one of
-    the document's ``places`` (sorted).  Shingles in ``common`` come last in every function's order, so a phrase of many
+    the document's ``places`` (sorted).  ``open`` says that none of the document's ``spans`` (or null) holds the centre.
+    Shingles in ``common`` come last in every function's order, so a phrase of many
     documents is a centre only in passages of nothing but such phrases.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)  # bounded by PHRASES
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        asked = batch.column("places")
         step = (1 << 31) + 4 * width
-        asked = asked.flatten().to_numpy() + np.repeat(np.arange(batch.num_rows) * step, asked.value_lengths().to_numpy())
+        line_of = lambda lists: np.repeat(np.arange(batch.num_rows) * step, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        asked = batch.column("places")
+        asked = asked.flatten().to_numpy() + line_of(asked)
+        spans = batch.column("spans")
+        starts, stops = (spans.flatten().field(k).to_numpy() + line_of(spans) for k in (0, 1))
+        order = np.argsort(starts)
+        starts, stops = starts[order], np.concatenate(([0], np.maximum.accumulate(stops[order])))
         for key, owner, at in texts_windows(batch.column("text").to_pylist(), shingle, width, functions, shared.value):
             f, left, c, right = unpacked(at)
             near = np.searchsorted(asked, owner * step + c + width, "right") > np.searchsorted(asked, owner * step + c - width, "left")
             key, f, left, c, right, owner = (x[near] for x in (key, f, left, c, right, owner))
-            order = np.lexsort((f, c, owner))
+            order = np.argsort((owner * step + c) << FUNCTION_BITS | f, kind="stable")
             key, f, left, c, right, owner = (x[order] for x in (key, f, left, c, right, owner))
             line = owner * step + c
             counts = np.searchsorted(line, line + width, "left") - np.arange(len(c)) - 1  # later windows within a width
@@ -422,20 +459,22 @@ def pairs_of_windows(docs: DataFrame, shingle: int, width: int, functions: int,
             one, two = np.where(f[i] > f[j], key[j], key[i]), np.where(f[i] > f[j], key[i], key[j])
             parts.append((W.mix(one * W.U(0x9E3779B97F4A7C15) + W.mix(two + W.U(3))), owner[i], packed(0, low, c[i], high)))
         pair, owner, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        rows = pa.array(owner)
-        return pa.RecordBatch.from_arrays([pa.array(W.signed(pair)), *(batch.column(x).take(rows) for x in NODE), pa.array(at)], ["pair", *NODE, "at"])
+        rows, centre = pa.array(owner), owner * step + unpacked(at)[2]
+        is_open = stops[np.searchsorted(starts, centre, "right")] <= centre
+        return pa.RecordBatch.from_arrays([pa.array(W.signed(pair)), *(batch.column(x).take(rows) for x in NODE), pa.array(at), pa.array(is_open)], ["pair", *NODE, "at", "open"])
 
-    return by_batch(docs, work, "pair long, doc_id long, tag long, at long")
+    return by_batch(docs, work, "pair long, doc_id long, tag long, at long, open boolean")
 
 
-def fewest(values: np.ndarray, width: int) -> int:
-    """The smallest number of distinct values in ``width`` adjacent ones."""
-    n, distinct = len(values), len(np.unique(values))
-    if n <= width or distinct == n:
-        return min(distinct, width)
-    order = np.lexsort((np.arange(n), values))
+def fewest(values: np.ndarray, width: int, ranks: tuple | None = None) -> int:
+    """The smallest number of distinct values in ``width`` adjacent ones; ``ranks`` is their :func:`ranking` where known."""
+    n, (order, ranked, plain) = len(values), ranking(values) if ranks is None else ranks
+    if plain:
+        return min(n, width)
+    again = ranked[1:] == ranked[:-1]
+    if n <= width:
+        return n - int(again.sum())
     before = np.full(n, -1)
-    again = values[order][1:] == values[order][:-1]
     before[order[1:][again]] = order[:-1][again]
     starts = np.arange(n - width + 1)
     return int((before[starts[:, None] + np.arange(width)] < starts[:, None]).sum(axis=1).min())
@@ -469,7 +508,8 @@ def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int
         held = [text[names[o]] for o in others]
         values, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
         known, at = np.unique(values, return_inverse=True)
-        code = np.unique(at * len(held) + owner)  # each shingle of a window once
+        code = np.sort(at * len(held) + owner)
+        code = code[np.concatenate(([True], code[1:] != code[:-1]))]  # each shingle of a window once
         holder, begin = code % len(held), np.searchsorted(code, np.arange(len(known) + 1) * len(held))
         for k in asking:
             node, mine = names[k][:2], text[names[k]]
@@ -477,8 +517,9 @@ def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int
             if len(mine) < width or any(x <= start[k] + centre < y for x, y in closed.get(node, ())):
                 continue  # another group of this call has explained it
             if names[k] not in needs:
-                needs[names[k]] = similarity * fewest(mine, width)
-                plain[names[k]] = ranking(mine)[2]
+                own_ranks = ranks[names[k]] = ranks.get(names[k]) or ranking(mine)
+                needs[names[k]] = similarity * fewest(mine, width, own_ranks)
+                plain[names[k]] = own_ranks[2]
             low, high = max(0, centre - width + 1), min(centre, len(mine) - width)
             around = mine[low : high + width]
             place = np.minimum(np.searchsorted(known, around), len(known) - 1)
@@ -492,7 +533,7 @@ def compare_windows(table: pa.Table, similarity: float, width: int, shingle: int
             kept = enough[row]
             marks = np.zeros((int(enough.sum()), len(around) + 1), np.int32)
             marks[(np.cumsum(enough) - 1)[row[kept]], np.repeat(spot, counts)[kept] + 1] = 1
-            total = np.cumsum(marks, axis=1)
+            total = np.cumsum(marks, axis=1, dtype=np.int32)
             best = (total[:, width:] - total[:, :-width]).max(axis=1)
             for row in np.flatnonzero(enough)[best >= needs[names[k]]]:
                 near = (*node, middle[k] // NEAR, *names[others[row]][:2], start[others[row]] - start[k])
@@ -524,9 +565,12 @@ def common_shingles(docs: DataFrame, rows: DataFrame, shingle: int, width: int)
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def still_open(rows: DataFrame, sure: DataFrame) -> DataFrame:
-    """``rows`` with ``open`` false where a verified passage of their document holds their centre."""
-    spans = cut(sure.groupBy(*NODE).agg(F.flatten(F.collect_list("spans")).alias("spans")))
+def explained_spans(sure: DataFrame) -> DataFrame:
+    return cut(sure.groupBy(*NODE).agg(F.flatten(F.collect_list("spans")).alias("spans")))
+
+
+def still_open(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rows`` with ``open`` false where one of the ``spans`` of their document holds their centre."""
     explained = F.exists("spans", lambda s: (centre_of("at") >= s["start"]) & (centre_of("at") < s["end"]))
     return join_checked(rows, spans, NODE, "left").withColumn("open", F.col("open") & ~F.coalesce(explained, F.lit(False))).drop("spans")
 
@@ -537,6 +581,18 @@ def linked_to(rows: DataFrame, centres: DataFrame, key: str, counts: DataFrame)
     return met.select(*NODE, F.col("o.doc_id").alias("o_doc_id"), F.col("o.tag").alias("o_tag"), "at", F.col("o.at").alias("o_at"))
 
 
+def asking_groups(rows: DataFrame, key: str) -> DataFrame:
+    """``key, count, y`` of the groups in which a document with an open window is not the smallest; ``y`` is the largest such ``doc_id``.
+
+    Sums of plain numbers need no sorting.  Where texts of one ``doc_id`` are both smallest and largest their tags are only
+    known to differ, so such a group may be kept without need.
+    """
+    shown = F.when(F.col("open"), F.col("doc_id"))
+    ends = [F.min("doc_id").alias("x"), F.max(shown).alias("y"), F.min("tag").alias("t"), F.max("tag").alias("u")]
+    found = rows.groupBy(key).agg(F.count("*").alias("count"), *ends)
+    return found.where("x < y or x = y and t < u").select(key, "count", "y")
+
+
 def first_window(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(F.struct(*NODE, "at")).alias("o"))
 
@@ -577,19 +633,21 @@ def dealt_to_calls(members: DataFrame, left: DataFrame, width: int) -> DataFrame
 def settle(docs: DataFrame, rows: DataFrame, explained: DataFrame, shingle: int, similarity: float, width: int, functions: int) -> DataFrame:
     """``doc_id, tag, o_doc_id, o_tag, spans``: what smaller documents repeat of the windows that are still open.
 
-    ``rows`` has ``key, doc_id, tag, at, open`` of the groups that hold open windows, ``explained`` what is found.
+    ``rows`` has ``key, doc_id, tag, at, open`` of the groups that hold open windows, ``explained`` each document's spans
+    that are found.
     """
-    places = cut(rows.groupBy(*NODE).agg(F.array_sort(F.collect_set(centre_of("at"))).alias("places")))
+    places = rows.groupBy(*NODE).agg(F.array_sort(F.collect_set(centre_of("at"))).alias("places"))
+    places = cut(join_checked(places, explained, NODE, "left"))
     common = common_shingles(docs, rows, shingle, width)
     pairs = pairs_of_windows(join_checked(docs.select(*NODE, "text"), places, NODE), shingle, width, functions, common)
-    pairs = still_open(written(pairs).withColumn("open", F.lit(True)), explained)
-    groups = pairs.groupBy("pair").agg(F.count("*").alias("count"), F.min(node()).alias("x"), F.max(F.when(F.col("open"), node())).alias("y"))
-    groups = cut(groups.where("x < y").drop("x"))
-    members = written(join_spread(pairs, groups, "pair", node(), counts=groups).where(node() <= F.col("y")).drop("y", "count"))
+    pairs = written(pairs)
+    groups = cut(asking_groups(pairs, "pair"))
+    members = written(join_spread(pairs, groups, "pair", node(), counts=groups, hashed=True).where("doc_id <= y").drop("y", "count"))
+    forget(pairs)
     firsts = cut(first_window(members, "pair"))
     sure = cut(verify(docs, cut(candidates(linked_to(members, firsts, "pair", groups), 1, width)), shingle, similarity, width))
     # what is open now has met its group's first window; all others of smaller documents are left
-    members = join_spread(still_open(members, sure), firsts, "pair", node(), counts=groups)
+    members = join_spread(still_open(members, explained_spans(sure)), firsts, "pair", node(), counts=groups)
     window = F.struct(*NODE, "at")
     left = members.groupBy("pair").agg(
         F.count("*").alias("count"),
@@ -622,18 +680,20 @@ def repeated_passages(docs: DataFrame, least: int = 50, shingle: int = 5, simila
     classes = keys.groupBy("k1", "k2").agg(F.min(node()).alias("rep"), F.max(node()).alias("last")).where("rep < last")
     copies = cut(keys.join(classes, ["k1", "k2"]).where(node() != F.col("rep")).select(*NODE, F.col("rep.doc_id").alias("other")).distinct())
     heads = join_checked(plain, copies.select(*NODE), NODE, "left_anti")
-    rows = written(all_windows(heads, shingle, width, functions))  # read twice, found once
+    found = written(all_windows(heads, shingle, width, functions))  # read twice, found once
     number = one_number("doc_id")
-    groups = rows.groupBy("key").agg(F.count("*").alias("count"), F.min(number).alias("x"), F.max(number).alias("y"))
+    groups = found.groupBy("key").agg(F.count("*").alias("count"), F.min(number).alias("x"), F.max(number).alias("y"))
     groups = cut(groups.where("x < y").select("key", "count"))
-    rows = written(join_spread(rows, groups, "key", node(), counts=groups).drop("count"))
+    rows = written(join_spread(found, groups, "key", node(), counts=groups, hashed=True).drop("count"))
+    forget(found)
     rows = rows.withColumn("open", F.lit(True))
     linked = linked_to(rows, first_window(rows, "key"), "key", groups)
     sure = cut(verify(heads, cut(candidates(linked, agree, width)), shingle, similarity, width))
-    rows = still_open(rows, sure)
-    ends = rows.groupBy("key").agg(F.min(node()).alias("x"), F.max(F.when(F.col("open"), node())).alias("y")).where("x < y").drop("x")
-    left = written(join_spread(rows, ends, "key", node(), counts=groups).where(node() <= F.col("y")).drop("y"))
-    rest = settle(heads, left, sure, shingle, similarity, width, functions)
+    explained = explained_spans(sure)
+    rows = still_open(rows, explained)
+    ends = asking_groups(rows, "key").drop("count")
+    left = written(join_spread(rows, ends, "key", node(), counts=groups, hashed=True).where("doc_id <= y").drop("y"))
+    rest = settle(heads, left, explained, shingle, similarity, width, functions)
     found = sure.unionByName(rest).select(*NODE, F.col("o_doc_id").alias("other"), "spans")
     whole = F.array(F.struct(F.lit(0).cast("int").alias("start"), F.lit(2**31 - 1).cast("int").alias("end")))
     return found.unionByName(copies.select(*NODE, "other", whole.alias("spans")))
@@ -646,6 +706,8 @@ def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def without_passages(text: str | None, spans) -> tuple[str, int, int]:
     """A text without some spans of words, its number of words and how many went."""
     data = (text or "").encode("utf-8", "surrogatepass")
+    if not len(spans):
+        return text or "", len(data.split()), 0
     starts, _ = word_places(data)
     gone = np.zeros(len(starts) + 1, np.int64)
     for span in spans:

@@ -106,9 +106,8 @@ def word_hashes(
         starts, ends = spans(data, parts)
         lengths = ends - starts if prefix is None else np.minimum(ends - starts, prefix)
         out.append(xxh64_spans(data, at_every_byte(data), starts, lengths))
-        firsts = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))[:-1]
-        which = np.searchsorted(firsts, starts, "right") - 1
-        np.add.at(counts, np.array(owners)[which] + 1, 1)
+        firsts = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))
+        np.add.at(counts, np.array(owners) + 1, np.diff(np.searchsorted(starts, firsts)))
         group.clear()
         sizes.clear()
         owners.clear()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -314,3 +315,70 @@ def test_nearest_smaller_values_against_plain_python(seed):
     for i in range(n):
         assert before[i] == max((j for j in range(i) if doc[j] == doc[i] and key[j] <= key[i]), default=-1)
         assert behind[i] == min((j for j in range(i + 1, n) if doc[j] == doc[i] and key[j] < key[i]), default=n)
+
+
+def test_tables_of_windows_are_neither_sorted_nor_left(spark, monkeypatch):
+    plans, tables, cut, written = {}, {}, substring_dedup.cut, substring_dedup.written
+
+    def planned(df):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df)
+
+    def kept(df):
+        tables.setdefault(tuple(df.columns[:1]), []).append(out := written(df))
+        plans[("written", *df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        out.folders = {x.removeprefix("file://").rpartition("/")[0] for x in out.inputFiles()}
+        return out
+
+    monkeypatch.setattr(substring_dedup, "cut", planned)
+    monkeypatch.setattr(substring_dedup, "written", kept)
+    passage = " ".join(f"p{k}" for k in range(80))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(150)) + " " + passage) for k in range(6)], "doc_id long, text string")
+    assert {r.doc_id: r.n_repeated for r in substring_dedup.dedup_passages(docs).collect()} == {k: 80 if k else 0 for k in range(6)}
+    assert "HashAggregate" in plans["pair", "count", "y"] and "SortAggregate" not in plans["pair", "count", "y"]
+    for first in (tables[("key",)][0], tables[("pair",)][0]):  # all windows, and all pairs of them
+        assert first.folders and not any(Path(x).exists() for x in first.folders)
+
+
+def test_groups_that_ask(spark):
+    rows = [("smallest open", 1, 0, True), ("smallest open", 2, 0, False), ("largest open", 1, 0, False), ("largest open", 2, 0, True), ("largest open", 3, 0, False)]
+    rows += [("alone", 1, 0, True), ("alone", 1, 0, True), ("closed", 1, 0, False), ("closed", 2, 0, False), ("two texts", 4, 7, True), ("two texts", 4, 9, True)]
+    found = substring_dedup.asking_groups(spark.createDataFrame(rows, "key string, doc_id long, tag long, open boolean"), "key").collect()
+    assert {r.key: (r["count"], r.y) for r in found} == {"largest open": (3, 2), "two texts": (2, 4)}
+
+
+def test_open_pairs_of_windows_against_plain_python(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(400)) for k in range(3)]
+    spans = [None, [], [(200, 210), (20, 320), (30, 40)]]
+    docs = spark.createDataFrame([(k, 0, texts[k], list(range(0, 400, 5)), spans[k]) for k in range(3)], f"doc_id long, tag long, text string, places array<long>, spans {substring_dedup.SPAN}")
+    got = substring_dedup.pairs_of_windows(docs.coalesce(1), 5, 46, 4, np.zeros(0, np.uint64)).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2} and {r.open for r in got if r.doc_id == 2} == {True, False}
+    for r in got:
+        centre = int(substring_dedup.unpacked(np.array([r["at"]]))[2][0])
+        assert r.open == (not any(a <= centre < b for a, b in spans[r.doc_id] or []))
+
+
+def test_keys_of_whole_texts_and_common_hashes(spark):
+    texts = ["One two\x0b three", " one\tTWO  three\n", "one two three four", "onetwo three", "É a", "é a", None, ""]
+    keys = substring_dedup.text_keys(spark.createDataFrame([(k, 0, x) for k, x in enumerate(texts)], "doc_id long, tag long, text string")).collect()
+    hashes, bounds = W.word_hashes(texts)
+    assert [r.n_words for r in sorted(keys)] == np.diff(bounds).tolist()
+    wanted = list(zip(*W.sequence_keys(hashes, bounds), strict=True))
+    assert [[(a.k1, a.k2) == (b.k1, b.k2) for b in sorted(keys)] for a in sorted(keys)] == [[a == b for b in wanted] for a in wanted]
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        common, values = np.unique(rng.integers(0, 1 << 63, n, np.uint64)), rng.integers(0, 1 << 63, 9000, np.uint64)
+        values[:n] = common[: len(values[:n])] if n else values[:0]
+        assert (substring_dedup.among(values, common, substring_dedup.marked(common)) == np.isin(values, common)).all()
+
+
+def test_hopeless_stretches_are_not_tried_again(monkeypatch):
+    one = np.arange(100, dtype=np.uint64)
+    two = np.concatenate([one[k : k + 20] for k in (80, 40, 0, 60, 20)])  # all in common, but in pieces of 20
+    tried, real = [], np.concatenate
+    monkeypatch.setattr(np, "concatenate", lambda *a, **b: tried.append(1) or real(*a, **b))
+    assert substring_dedup.passages(one, two, 0.8, 46) == [(0, 100)]  # the whole holds the same set
+    other = np.concatenate([np.concatenate((one[k : k + 20], np.arange(1000 + k, 1030 + k, dtype=np.uint64))) for k in (80, 40, 0, 60, 20)])
+    tried.clear()
+    assert substring_dedup.passages(one, other, 0.8, 46) == []
+    assert len(tried) <= 4
