@@ -372,13 +372,10 @@ def test_keys_of_whole_texts_and_common_hashes(spark):
         assert (substring_dedup.among(values, common, substring_dedup.marked(common)) == np.isin(values, common)).all()
 
 
-def test_hopeless_stretches_are_not_tried_again(monkeypatch):
+def test_stretches_with_too_few_matches_hold_no_passage():
     one = np.arange(100, dtype=np.uint64)
-    two = np.concatenate([one[k : k + 20] for k in (80, 40, 0, 60, 20)])  # all in common, but in pieces of 20
-    tried, real = [], np.concatenate
-    monkeypatch.setattr(np, "concatenate", lambda *a, **b: tried.append(1) or real(*a, **b))
-    assert substring_dedup.passages(one, two, 0.8, 46) == [(0, 100)]  # the whole holds the same set
-    other = np.concatenate([np.concatenate((one[k : k + 20], np.arange(1000 + k, 1030 + k, dtype=np.uint64))) for k in (80, 40, 0, 60, 20)])
-    tried.clear()
-    assert substring_dedup.passages(one, other, 0.8, 46) == []
-    assert len(tried) <= 4
+    pieces = [one[k : k + 20] for k in (80, 40, 0, 60, 20)]
+    assert substring_dedup.passages(one, np.concatenate(pieces), 0.8, 46) == [(0, 100)]  # the whole holds the same set
+    apart = [np.concatenate((x, np.arange(1000 + x[0], 1030 + x[0], dtype=np.uint64))) for x in pieces]
+    assert substring_dedup.passages(one, np.concatenate(apart), 0.8, 46) == []
+    assert substring_dedup.passages(one, one[::2].copy(), 0.8, 46) == []
